@@ -8,83 +8,104 @@ totals (at most ``BUCKETS`` rows per group) meet in one place, and the sort runs
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tablemine.domain import col
 
-#: Ordered buckets per group (a power of two: the bucket of a value is found by binary search).
-BUCKETS = 1024
-_STEPS = 10
+#: Least and most ordered buckets per group; between them the number follows the session's shuffle partitions.
+MIN_BUCKETS, MAX_BUCKETS = 64, 8192
 
 
-def _bucket_of(value: Column, splits: Column) -> Column:
-    """Number of splits strictly below ``value``: a ten-step binary search over the sorted split array."""
+def _buckets(spark: SparkSession) -> int:
+    """A power of two near the shuffle partitions: the bucket of a value is found by binary search."""
+    wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return min(MAX_BUCKETS, max(MIN_BUCKETS, 1 << (wanted - 1).bit_length()))
+
+
+def _bucket_of(value: Column, splits: Column, buckets: int) -> Column:
+    """Number of splits strictly below ``value``, by binary search over the sorted split array."""
 
     def step(pos: Column, i: Column) -> Column:
-        nxt = pos + F.call_function("shiftright", F.lit(BUCKETS // 2), i)
-        return F.when(F.coalesce(F.get(splits, nxt - 1) < value, F.lit(False)), nxt).otherwise(pos)
+        nxt = pos + F.call_function("shiftright", F.lit(buckets // 2), i)
+        return F.when(F.get(splits, nxt - 1) < value, nxt).otherwise(pos)
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(_STEPS - 1)), F.lit(0), step)
+    rounds = F.sequence(F.lit(0), F.lit(buckets.bit_length() - 2))
+    return F.aggregate(rounds, F.lit(0), step)
 
 
-def cumulative(df: DataFrame, value: str, *, by: Sequence[str] = (), sums: dict[str, Column] | None = None) -> DataFrame:
+def cumulative(
+    df: DataFrame,
+    value: str,
+    *,
+    by: Sequence[str] = (),
+    sums: dict[str, Column] | None = None,
+    few_groups: bool = True,
+) -> DataFrame:
     """One row per (group, distinct value) in ascending order, with the total of each measure before that value.
 
-    Returns the group columns, ``value`` and for each measure m its total ``m`` at the value and ``m_before``.
-    NULL values are left out. The default measure is the row count ``n``. Only groups that number far fewer than
-    the rows are meant here (columns, classes, learners): the split table has one row per group.
+    Returns the group columns, ``value`` and for each measure m its sum ``m`` at the value, ``m_before`` and the
+    group's ``m_total``. NULL values are left out. The default measure is the row count ``n``.
+
+    The input is read and combined once; splits, bucket totals and running sums all reuse that one shuffle. With
+    ``few_groups`` (columns, classes, learners: bounded by the schema or by a guard) the split and offset tables,
+    one row per group, are broadcast; otherwise Spark chooses the join.
     """
     by = list(by)
+    keys = [col(c) for c in by]
     sums = {"n": F.count(F.lit(1))} if sums is None else sums
-    distinct = df.where(col(value).isNotNull()).groupBy(*[col(c) for c in by], col(value)).agg(
-        *[e.alias(m) for m, e in sums.items()]
-    )
-    splits = distinct.groupBy(*[col(c) for c in by]).agg(
-        F.percentile_approx(col(value).cast("double"), [i / BUCKETS for i in range(1, BUCKETS)], 20000).alias("_splits")
+    buckets = _buckets(df.sparkSession)
+    distinct = df.where(col(value).isNotNull()).groupBy(*keys, col(value)).agg(*[e.alias(m) for m, e in sums.items()])
+    number = col(value).cast("double")
+    probs = F.expr("array(" + ",".join(f"{i / buckets}D" for i in range(1, buckets)) + ")")
+    # The condition always holds; it makes the splits read every measure, so that each use of ``distinct`` has the
+    # same columns and Spark reuses one exchange in place of reading the input again.
+    all_read = F.hash(*sums) >= F.lit(-(2**31))
+    splits = distinct.groupBy(*keys).agg(
+        F.percentile_approx(F.when(all_read, number), probs, max(10000, 10 * buckets)).alias("_splits"),
+        *[F.sum(m).alias(f"{m}_total") for m in sums],
     )
-    bucketed = _attach(distinct, splits, by).select(
-        *[col(c) for c in by], col(value), *sums, _bucket_of(col(value).cast("double"), F.col("_splits")).alias("_b")
+    bucketed = _attach(distinct, splits, by, few_groups).withColumn("_b", _bucket_of(number, F.col("_splits"), buckets)).drop("_splits")
+    per_bucket = bucketed.groupBy(*keys, "_b").agg(*[F.sum(m).alias(f"_s_{m}") for m in sums])
+    groups = keys or [F.lit(0)]
+    lower = W.partitionBy(*groups).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    offsets = per_bucket.select(
+        *keys, "_b", *[F.coalesce(F.sum(f"_s_{m}").over(lower), F.lit(0)).alias(f"_o_{m}") for m in sums]
     )
-    order = W.partitionBy(*[col(c) for c in by]).orderBy("_b") if by else W.partitionBy(F.lit(0)).orderBy("_b")
-    totals = bucketed.groupBy(*[col(c) for c in by], "_b").agg(*[F.sum(m).alias(m) for m in sums])
-    offsets = totals.select(
-        *[col(c) for c in by],
-        "_b",
-        *[
-            F.coalesce(F.sum(m).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias(f"_o_{m}")
-            for m in sums
-        ],
+    inside = W.partitionBy(*keys, "_b").orderBy(col(value)).rowsBetween(W.unboundedPreceding, -1)
+    running = bucketed.select(
+        "*", *[F.coalesce(F.sum(m).over(inside), F.lit(0)).alias(f"_r_{m}") for m in sums]
     )
-    inside = W.partitionBy(*[col(c) for c in by], "_b").orderBy(col(value)).rowsBetween(W.unboundedPreceding, -1)
-    joined = _attach(bucketed, offsets, [*by, "_b"])
-    return joined.select(
-        *[col(c) for c in by],
+    return _attach(running, offsets, [*by, "_b"], few_groups).select(
+        *keys,
         col(value),
         *sums,
-        *[(F.coalesce(F.sum(m).over(inside), F.lit(0)) + F.col(f"_o_{m}")).alias(f"{m}_before") for m in sums],
+        *[(F.col(f"_r_{m}") + F.col(f"_o_{m}")).alias(f"{m}_before") for m in sums],
+        *[f"{m}_total" for m in sums],
     )
 
 
-def _attach(big: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Join a table of at most groups x BUCKETS rows; group values may be NULL, so keys compare null-safe."""
+def _attach(big: DataFrame, small: DataFrame, keys: Sequence[str], few: bool = True) -> DataFrame:
+    """Join per-group facts to rows; group values may be NULL, so keys compare null-safe."""
     if not keys:
         one = small.select(F.struct(*small.columns).alias("_s")).scalar()
-        return big.select("*", *[one.getField(c).alias(c) for c in small.columns])
+        return big.select("*", one.alias("_one")).select(*big.columns, "_one.*")
     renamed = small.select(*[col(c).alias(f"_k{i}") for i, c in enumerate(keys)], *[c for c in small.columns if c not in keys])
-    cond = None
-    for i, c in enumerate(keys):
-        e = col(c).eqNullSafe(F.col(f"_k{i}"))
-        cond = e if cond is None else cond & e
-    return big.join(renamed, cond, "left").drop(*[f"_k{i}" for i in range(len(keys))])
+    condition = reduce(Column.__and__, [col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(keys)])
+    joined = big.join(F.broadcast(renamed) if few else renamed, condition, "left")
+    return joined.drop(*[f"_k{i}" for i in range(len(keys))])
 
 
-def average_rank(df: DataFrame, value: str, *, by: Sequence[str] = ()) -> DataFrame:
-    """(group, value) -> rank, where tied values share the mean of the ranks they cover (1-based)."""
-    c = cumulative(df, value, by=by)
-    return c.select(*[col(b) for b in by], col(value), (F.col("n_before") + (F.col("n") + 1) / 2).alias("rank"))
+def average_rank(df: DataFrame, value: str, *, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
+    """(group, value) -> rank and group size n_total; tied values share the mean of the ranks they cover (1-based).
+
+    With ``weight`` a row stands for that many equal rows.
+    """
+    c = cumulative(df, value, by=by, sums={"n": F.sum(weight) if weight else F.count(F.lit(1))})
+    return c.select(*[col(b) for b in by], col(value), (F.col("n_before") + (F.col("n") + 1) / 2).alias("rank"), "n_total")
 
 
 def long_form(df: DataFrame, names: Sequence[str], *, keep: Sequence[str] = ()) -> DataFrame:
@@ -94,27 +115,27 @@ def long_form(df: DataFrame, names: Sequence[str], *, keep: Sequence[str] = ())
     return out.where(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
-def quantiles_of(long: DataFrame, probs: Sequence[float], *, by: Sequence[str] = ("feature",), value: str = "value") -> DataFrame:
+def quantiles_of(
+    long: DataFrame, probs: Sequence[float], *, by: Sequence[str] = ("feature",), value: str = "value", few_groups: bool = True
+) -> DataFrame:
     """Exact linearly interpolated quantiles per group: (group..., p, q), from the running counts.
 
-    Two order statistics per probability are picked out of :func:`cumulative`; no group is gathered in one place.
+    Two order statistics per probability are picked out of :func:`cumulative` by one map-side combined aggregate; no
+    group is gathered in one place.
     """
     by = list(by)
-    c = cumulative(long, value, by=by)
-    size = long.where(col(value).isNotNull()).groupBy(*[col(b) for b in by]).agg(F.count(F.lit(1)).alias("_size"))
-    ranked = _attach(c, size, by) if by else _attach(c, size, [])
-    at = F.col("_p") * (F.col("_size") - 1)
-    want = ranked.withColumn("_p", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
-    lo, hi = F.floor(at), F.ceil(at)
-    covers = lambda k: (F.col("n_before") <= k) & (k < F.col("n_before") + F.col("n"))
-    picked = want.where(covers(lo) | covers(hi)).groupBy(*[col(b) for b in by], F.col("_p").alias("p")).agg(
-        F.max(F.when(covers(lo), col(value))).alias("_vlo"),
-        F.max(F.when(covers(hi), col(value))).alias("_vhi"),
-        F.first(at - F.floor(at)).alias("_f"),
-    )
-    return picked.select(
-        *[col(b) for b in by], "p", (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_f")).alias("q")
-    )
+    c = cumulative(long, value, by=by, few_groups=few_groups)
+
+    def at(position: Column) -> Column:
+        here = (F.col("n_before") <= position) & (position < F.col("n_before") + F.col("n"))
+        return F.max(F.when(here, col(value)))
+
+    picks = []
+    for p in probs:
+        place = F.lit(float(p)) * (F.col("n_total") - 1)
+        lo, hi = at(F.floor(place)), at(F.ceil(place))
+        picks.append(F.struct(F.lit(float(p)).alias("p"), (lo + (hi - lo) * F.max(place - F.floor(place))).alias("q")))
+    return c.groupBy(*[col(b) for b in by]).agg(F.array(*picks).alias("_q")).select(*[col(b) for b in by], F.inline("_q"))
 
 
 def column_quantiles(df: DataFrame, names: Sequence[str], probs: Sequence[float]) -> dict[str, dict[float, float]]:

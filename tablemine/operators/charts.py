@@ -37,7 +37,7 @@ def box(df: DataFrame, y: str, *, group: str | None = None) -> DataFrame:
     """group, n, q1, median, q3, whisker_low, whisker_high, outliers (count): exact quartiles, whiskers at the most
     extreme value within 1.5 IQR. Missing values are dropped, a missing group is ``Missing``."""
     data = df.select(_group(group).alias("group"), finite(col(y)).alias("value")).where("value is not null")
-    q = quantiles_of(data, [0.25, 0.5, 0.75], by=["group"])
+    q = quantiles_of(data, [0.25, 0.5, 0.75], by=["group"], few_groups=False)
     wide = q.groupBy("group").agg(
         F.max(F.when(F.col("p") == 0.25, F.col("q"))).alias("q1"),
         F.max(F.when(F.col("p") == 0.5, F.col("q"))).alias("median"),
@@ -78,10 +78,8 @@ def line(
     data = df.select(_group(group).alias("group"), at.alias("x"), finite(col(y)).alias("y")).where(
         "x is not null and y is not null"
     )
-    run = cumulative(data, "x", by=["group"], sums={"n": F.count(F.lit(1)), "s": F.sum("y")})
-    size = data.groupBy("group").agg(F.count(F.lit(1)).alias("size"))
-    width = F.greatest(F.ceil(F.col("size") / n), F.lit(1))
-    joined = run.join(size, "group").withColumn("bucket", F.floor(F.col("n_before") / width))
-    return joined.groupBy("group", "bucket").agg(
+    run = cumulative(data, "x", by=["group"], sums={"n": F.count(F.lit(1)), "s": F.sum("y")}, few_groups=False)
+    width = F.greatest(F.ceil(F.col("n_total") / n), F.lit(1))
+    return run.withColumn("bucket", F.floor(F.col("n_before") / width)).groupBy("group", "bucket").agg(
         (F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("x"), (F.sum("s") / F.sum("n")).alias("y")
     )

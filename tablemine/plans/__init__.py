@@ -6,7 +6,7 @@ import importlib
 
 from tablemine.plans.registry import QUERIES, SQL
 
-MODULES = ("tables", "samples", "preparation")
+MODULES = ("tables", "samples", "preparation", "relations", "patterns")
 
 
 def _load() -> None:
