@@ -6,6 +6,7 @@ expressions, so the rewritten table stays in one generated stage with no shuffle
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
@@ -46,7 +47,15 @@ def most_frequent(df: DataFrame, names: list[str]) -> dict[str, str]:
     return {r["column"]: r["value"] for r in best.collect()}
 
 
+Step = Callable[[DataFrame], DataFrame]
+
+
 def impute(df: DataFrame, *, method: str = "average", value: float | str | None = None) -> DataFrame:
+    """Fill missing attributes; see :func:`fit_impute`."""
+    return fit_impute(df, method=method, value=value)(df)
+
+
+def fit_impute(df: DataFrame, *, method: str = "average", value: float | str | None = None) -> Step:
     """Fill missing attributes. average (and any unknown name): mean or most frequent value; default: 0 or most
     frequent; median; constant ``value``; drop removes rows with a missing attribute."""
     domain = domain_of(df)
@@ -54,7 +63,7 @@ def impute(df: DataFrame, *, method: str = "average", value: float | str | None
     if method == "drop":
         present = [finite(col(n)).isNotNull() for n in numeric]
         present += [col(c.name).isNotNull() for c in domain.attributes if c.var_type != CONTINUOUS]
-        return df.where(F.lit(True) if not present else _all(present))
+        return lambda t: t.where(F.lit(True) if not present else _all(present))
     if method == "constant":
         fill = {n: value for n in numeric if isinstance(value, (int, float))}
         fill |= {n: str(value) for n in nominal if value is not None}
@@ -70,7 +79,7 @@ def impute(df: DataFrame, *, method: str = "average", value: float | str | None
     for n, v in fill.items():
         if v is not None:
             changed[n] = F.coalesce(finite(col(n)), F.lit(float(v))) if n in numeric else F.coalesce(col(n), F.lit(v))
-    return _rewrite(df, changed)
+    return lambda t: _rewrite(t, changed)
 
 
 def _all(conditions: list[Column]) -> Column:
@@ -81,6 +90,11 @@ def _all(conditions: list[Column]) -> Column:
 
 
 def normalize(df: DataFrame, *, method: str = "standardize") -> DataFrame:
+    """Rescale continuous attributes; see :func:`fit_normalize`."""
+    return fit_normalize(df, method=method)(df)
+
+
+def fit_normalize(df: DataFrame, *, method: str = "standardize") -> Step:
     """Rescale continuous attributes. standardize: (x - mean) / population sd; center; scale: x / sd;
     minmax to [0, 1]; robust: (x - median) / IQR. A column without spread becomes 0 (scale: unchanged)."""
     names = domain_of(df).continuous()
@@ -89,7 +103,7 @@ def normalize(df: DataFrame, *, method: str = "standardize") -> DataFrame:
         for n, q in column_quantiles(df, names, [0.25, 0.5, 0.75]).items():
             if q:
                 changed[n] = _ratio(finite(col(n)) - q[0.5], q[0.75] - q[0.25])
-        return _rewrite(df, changed)
+        return lambda t: _rewrite(t, changed)
     for n, m in _moments(df, names).items():
         if m["mean"] is None:
             continue
@@ -102,7 +116,7 @@ def normalize(df: DataFrame, *, method: str = "standardize") -> DataFrame:
             changed[n] = _ratio(x - F.lit(m["min"]), m["max"] - m["min"])
         else:
             changed[n] = _ratio(x - F.lit(m["mean"]), m["sd"])
-    return _rewrite(df, changed)
+    return lambda t: _rewrite(t, changed)
 
 
 def _ratio(top: Column, bottom: float) -> Column:
@@ -110,29 +124,33 @@ def _ratio(top: Column, bottom: float) -> Column:
 
 
 def continuize(df: DataFrame, *, treatment: str = "one_hot") -> DataFrame:
+    """Discrete attributes to numbers; see :func:`fit_continuize`."""
+    return fit_continuize(df, treatment=treatment)(df)
+
+
+def fit_continuize(df: DataFrame, *, treatment: str = "one_hot") -> Step:
     """Discrete attributes to numbers. one_hot, first_as_base, as_ordinal, as_normalized_ordinal.
 
     Indicator columns are named ``column=value``; a missing value stays missing in all of them.
     """
     domain = domain_of(df)
     values = discrete_values(df, domain.discrete())
-    out = []
-    for c in domain.columns:
+
+    def encoded(c: ColumnSpec) -> list[Column]:
         if c.name not in values:
-            out.append(stamp(col(c.name), c))
-            continue
+            return [stamp(col(c.name), c)]
         text, vals = col(c.name).cast("string"), values[c.name]
         if treatment in ("as_ordinal", "as_normalized_ordinal"):
             code = F.array_position(F.array(*[F.lit(v) for v in vals]), text)
             code = F.when(code > 0, (code - 1).cast("double"))
             if treatment == "as_normalized_ordinal":
                 code = code / F.lit(float(max(len(vals) - 1, 1)))
-            out.append(stamp(code, replace(c, var_type=CONTINUOUS, values=())))
-        else:
-            for v in vals[1:] if treatment == "first_as_base" else vals:
-                flag = F.when(text.isNotNull(), (text == v).cast("double"))
-                out.append(stamp(flag, ColumnSpec(f"{c.name}={v}", CONTINUOUS, c.role)))
-    return df.select(*out)
+            return [stamp(code, replace(c, var_type=CONTINUOUS, values=()))]
+        kept = vals[1:] if treatment == "first_as_base" else vals
+        flags = [F.when(text.isNotNull(), (text == v).cast("double")) for v in kept]
+        return [stamp(f, ColumnSpec(f"{c.name}={v}", CONTINUOUS, c.role)) for f, v in zip(flags, kept)]
+
+    return lambda t: t.select(*[e for c in domain_of(t).columns for e in encoded(c)])
 
 
 def _number(x: float) -> str:
@@ -179,6 +197,11 @@ def entropy_cuts(df: DataFrame, names: list[str], target: str) -> dict[str, list
 
 
 def discretize(df: DataFrame, *, method: str = "equal_freq", n_bins: int = 4) -> DataFrame:
+    """Continuous attributes to bins; see :func:`fit_discretize`."""
+    return fit_discretize(df, method=method, n_bins=n_bins)(df)
+
+
+def fit_discretize(df: DataFrame, *, method: str = "equal_freq", n_bins: int = 4) -> Step:
     """Continuous attributes to bins labelled ``< a``, ``[a, b)``, ``>= b``. equal_freq, equal_width, entropy."""
     domain = domain_of(df)
     names = domain.continuous()
@@ -196,4 +219,30 @@ def discretize(df: DataFrame, *, method: str = "equal_freq", n_bins: int = 4) ->
         index = bin_index(finite(col(n)), cuts[n])
         changed[n] = F.when(index.isNotNull(), F.get(F.array(*[F.lit(x) for x in labels]), index))
         specs[n] = replace(domain[n], var_type=DISCRETE, values=tuple(labels))
-    return _rewrite(df, changed, specs)
+    return lambda t: _rewrite(t, changed, specs)
+
+
+class Preprocessor:
+    """Preparation steps fitted in order on the training table and replayed on any other table.
+
+    Each step is (name, settings) with name impute, normalize, continuize or discretize.
+    """
+
+    FITTERS = {"impute": fit_impute, "normalize": fit_normalize, "continuize": fit_continuize, "discretize": fit_discretize}
+
+    def __init__(self, *steps: tuple[str, dict]):
+        self.steps = steps
+
+    def fit(self, df: DataFrame) -> Step:
+        fitted = []
+        for name, settings in self.steps:
+            step = self.FITTERS[name](df, **settings)
+            fitted.append(step)
+            df = step(df)
+
+        def replay(t: DataFrame) -> DataFrame:
+            for step in fitted:
+                t = step(t)
+            return t
+
+        return replay

@@ -25,10 +25,11 @@ CLASSIFICATION = ("InfoGain", "GainRatio", "Gini", "ANOVA", "Chi2")
 REGRESSION = ("UnivariateLinearRegression", "RReliefF")
 
 
-def contingency(df: DataFrame, target: str, names: Sequence[str]) -> DataFrame:
+def contingency(df: DataFrame, target: str, names: Sequence[str], cuts: dict[str, list[float]] | None = None) -> DataFrame:
     """feature, bin, cls, n of the rows with both known: one scan, shuffling only combined counts."""
     domain = domain_of(df)
-    cuts = equal_freq_cuts(df, [n for n in names if domain[n].var_type != DISCRETE], BINS)
+    if cuts is None:
+        cuts = equal_freq_cuts(df, [n for n in names if domain[n].var_type != DISCRETE], BINS)
     cells = []
     for n in names:
         binned = bin_index(finite(col(n)), cuts[n]).cast("string") if n in cuts else col(n).cast("string")
