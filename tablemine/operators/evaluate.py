@@ -15,7 +15,7 @@ from tablemine.domain import CLASS, DISCRETE, META, ColumnSpec, col, discrete_va
 from tablemine.functions.ordering import cumulative
 from tablemine.operators.learners.base import PREDICTION, PROBABILITIES, Design, Learner, Model, class_code, unique_name
 from tablemine.operators.learners.linear import LinearRegression
-from tablemine.operators.learners.simple import Constant, Knn, NaiveBayes, NaiveBayesModel, softmax, vote
+from tablemine.operators.learners.simple import Constant, Knn, NaiveBayes, NaiveBayesModel, vote, with_softmax
 from tablemine.operators.sampling import sample, with_fold
 from tablemine.session import cut
 
@@ -185,18 +185,19 @@ def _loo_naive_bayes(df: DataFrame, model: NaiveBayesModel, target: ColumnSpec)
     y = col(target.name).cast("string")
     counts = {r.c: r.n for r in df.groupBy(y.alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()}
     k, n = len(model.classes), sum(counts.values())
+    binned, position_of = model.with_bins(df)
     scores = []
     for c in model.classes:
         size = counts.get(c, 0)
         own = (y == c).cast("int")
         total = F.log((F.lit(size) - own + 1) / F.lit(n - 1 + k))
-        for f, position in model.index.items():
+        for f, position in position_of.items():
             counted = model.counts[f][c]
             here = F.get(F.array(*[F.lit(float(x)) for x in counted]), position)
             share = (here - own + 1) / (F.lit(float(sum(counted))) - own + F.lit(float(len(counted))))
             total = total + F.coalesce(F.log(share), F.lit(0.0))
         scores.append(total)
-    scored = df.withColumn(PROBABILITIES, softmax(scores))
+    scored = with_softmax(binned, scores)
     return scored.withColumn(PREDICTION, model.label_of_best(F.col(PROBABILITIES)))
 
 

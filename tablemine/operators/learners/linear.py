@@ -6,14 +6,16 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LinearSVC, LogisticRegression as SparkLogistic, OneVsRest
 from pyspark.ml.feature import PolynomialExpansion
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression as SparkLinear
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablemine.domain import CONTINUOUS, META, STRING, ColumnSpec, col, stamp
-from tablemine.operators.learners.base import Design, Learner, Model, SparkModel, training_columns
+from tablemine.operators.learners.base import (
+    PREDICTION, PROBABILITIES, Design, Learner, Model, SparkModel, training_columns,
+)
 
 
 class LogisticRegression(Learner):
@@ -134,7 +136,7 @@ class Svm(Learner):
         data = lift(raw.withColumnRenamed("features", "_x"), "_x", "features").select("features", "label")
         n = df.count()
         svc = LinearSVC(maxIter=self.max_iter, regParam=1 / (self.C * n), standardization=False, tol=1e-6)
-        inner = fit_cached(svc if len(classes) == 2 else OneVsRest(classifier=svc), data)
+        inner = fit_cached(svc if len(classes) == 2 else OneVsRest(classifier=svc, parallelism=4), data)
         return SvmModel(self.name, target, classes, design, inner, lift)
 
     def _lift(self, width: int):
@@ -154,15 +156,29 @@ class Svm(Learner):
                 return pd.Series([], dtype=object)
             return pd.Series(list(scale * np.cos(np.stack(x.to_numpy()) @ w + phase)))
 
-        from pyspark.ml.functions import vector_to_array
-
         return lambda df, a, b: df.withColumn(b, array_to_vector(fourier(vector_to_array(a))))
 
 
-class SvmModel(SparkModel):
-    def __init__(self, name, target, classes, design, inner, lift):
-        super().__init__(name, target, classes, design, inner)
-        self.lift = lift
+class SvmModel(Model):
+    """Class with the largest margin; the share of the vote is 1 for it and 0 for the others."""
 
-    def features(self, df):
-        return self.lift(df.withColumn("_x", self.design.vector), "_x", "_features").drop("_x")
+    def __init__(self, name, target, classes, design, inner, lift):
+        super().__init__(name, target, classes)
+        self.design, self.lift = design, lift
+        self.parts = inner.models if hasattr(inner, "models") else [inner]
+
+    def score(self, df: DataFrame) -> DataFrame:
+        out = self.lift(df.withColumn("_x", self.design.vector), "_x", "_features")
+        margins = []
+        for i, part in enumerate(self.parts):
+            part = part.copy().setFeaturesCol("_features").setRawPredictionCol(f"_r{i}").setPredictionCol(f"_p{i}")
+            out = part.transform(out)
+            margins.append(F.get(vector_to_array(F.col(f"_r{i}")), F.lit(1)))
+        if len(self.parts) == 1:
+            margins = [-margins[0], margins[0]]
+        out = out.withColumn("_m", F.array(*margins))
+        out = out.withColumn("_best", F.array_position("_m", F.array_max("_m")) - 1)
+        flags = F.array(*[(F.col("_best") == i).cast("double") for i in range(len(self.classes))])
+        out = out.withColumn(PROBABILITIES, flags).withColumn(PREDICTION, self.label(F.col("_best")))
+        helpers = [f"{c}{i}" for c in ("_r", "_p") for i in range(len(self.parts))]
+        return out.drop("_x", "_features", "_m", "_best", *helpers)

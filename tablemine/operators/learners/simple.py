@@ -45,11 +45,12 @@ class Constant(Learner):
         return ConstantModel(self.name, target, classes, best, [counts.get(c, 0) / total for c in classes])
 
 
-def softmax(scores: Sequence[Column]) -> Column:
-    top = F.greatest(*scores) if len(scores) > 1 else scores[0]
-    parts = F.array(*[F.exp(s - top) for s in scores])
-    total = F.aggregate(parts, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(parts, lambda x: x / total)
+def with_softmax(df: DataFrame, scores: Sequence[Column]) -> DataFrame:
+    """Add ``probabilities`` from log scores. Each stage is a column of its own, so no expression is repeated."""
+    out = df.withColumn("_s", F.array(*scores)).withColumn("_top", F.array_max("_s"))
+    out = out.withColumn("_e", F.transform("_s", lambda s: F.exp(s - F.col("_top"))))
+    out = out.withColumn("_sum", F.aggregate("_e", F.lit(0.0), lambda a, x: a + x))
+    return out.withColumn(PROBABILITIES, F.transform("_e", lambda x: x / F.col("_sum"))).drop("_s", "_top", "_e", "_sum")
 
 
 class NaiveBayesModel(Model):
@@ -71,21 +72,23 @@ class NaiveBayesModel(Model):
                 out[n] = F.when(place > 0, (place - 1).cast("int"))
         return out
 
-    def scores(self) -> list[Column]:
-        out = []
+    def with_bins(self, df: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
+        """The table with one column per feature holding its bin, and those columns."""
+        names = {f: f"_bin{i}" for i, f in enumerate(self.bins)}
+        return df.withColumns({names[f]: e for f, e in self.index.items()}), {f: F.col(n) for f, n in names.items()}
+
+    def score(self, df: DataFrame) -> DataFrame:
+        out, position = self.with_bins(df)
+        scores = []
         for c in self.classes:
             total = F.lit(self.priors[c])
-            for feature, position in self.index.items():
-                cells = self.counts[feature][c]
+            for f, place in position.items():
+                cells = self.counts[f][c]
                 logs = F.array(*[F.lit(math.log((x + 1) / (sum(cells) + len(cells)))) for x in cells])
-                total = total + F.coalesce(F.get(logs, position), F.lit(0.0))
-            out.append(total)
-        return out
-
-    def score(self, df: DataFrame) -> DataFrame:
-        return df.withColumn(PROBABILITIES, softmax(self.scores())).withColumn(
-            PREDICTION, self.label_of_best(F.col(PROBABILITIES))
-        )
+                total = total + F.coalesce(F.get(logs, place), F.lit(0.0))
+            scores.append(total)
+        out = with_softmax(out, scores).drop(*[f"_bin{i}" for i in range(len(self.bins))])
+        return out.withColumn(PREDICTION, self.label_of_best(F.col(PROBABILITIES)))
 
 
 class NaiveBayes(Learner):

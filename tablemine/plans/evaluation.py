@@ -184,12 +184,12 @@ _SHARP_LONG = "(" + " UNION ALL ".join(
     f"SELECT learner, '{c}' AS cls, {p} AS s, (actual = '{c}')::INT AS pos FROM {_SHARP}" for c, p in zip(_FLAGS, ("pa", "pn", "pr"))) + ")"
 _CURVE = f"""
 g AS (SELECT learner, cls, s, count(*) AS n, sum(pos) AS p FROM {_SHARP_LONG} GROUP BY ALL),
-w AS (SELECT learner, cls, row_number() OVER o AS at, count(*) OVER (PARTITION BY learner, cls) + 1 AS size,
+w AS (SELECT learner, cls, row_number() OVER o AS place, count(*) OVER (PARTITION BY learner, cls) + 1 AS size,
   sum(n - p) OVER o / sum(n - p) OVER (PARTITION BY learner, cls) AS fpr, sum(p) OVER o / sum(p) OVER (PARTITION BY learner, cls) AS tpr
   FROM g WINDOW o AS (PARTITION BY learner, cls ORDER BY s DESC ROWS UNBOUNDED PRECEDING)),
 z AS (SELECT * FROM w UNION ALL SELECT DISTINCT learner, cls, 0, size, 0, 0 FROM w),
 r AS (SELECT learner, cls, i.i::INT AS i, fpr, tpr FROM z, (SELECT unnest(range(200)) AS i) i
-  WHERE (size > 200 AND at = floor(i.i * (size - 1) / 199)) OR (size <= 200 AND at = i.i))"""
+  WHERE (size > 200 AND place = floor(i.i * (size - 1) / 199)) OR (size <= 200 AND place = i.i))"""
 
 
 def _sharp(spark, sf):

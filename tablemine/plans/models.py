@@ -26,14 +26,6 @@ def banded(spark, sf):
     return set_roles(df, discrete=["l_linestatus", "band"], target="band", metas=["l_orderkey", "l_linenumber", "l_partkey"])
 
 
-def vectors(spark, sf):
-    """Embeddings: the first four components against the label."""
-    e = table(spark, sf, "embeddings").select(
-        "vec_id", *[F.get("embedding", F.lit(i)).cast("double").alias(f"e{i}") for i in range(4)], F.col("label").cast("string").alias("label")
-    )
-    return set_roles(e, discrete=["label"], target="label", metas=["vec_id"])
-
-
 def numbers(spark, sf):
     """Orders: price in thousands against its square root and the order year."""
     o = table(spark, sf, "orders").select(
@@ -175,13 +167,12 @@ def _knn(spark, sf):
     return rounded(out.select("p_partkey", "prediction", F.array_max("probabilities").alias("share")))
 
 
-def _classify(name, make, data=vectors):
+def _classify(name, make):
     @query(name)
     def _run(spark, sf):
-        df = data(spark, sf)
+        df = banded(spark, sf)
         out = make().fit(df).transform(df)
-        keys = [c for c in ("vec_id", "l_orderkey", "l_linenumber", "l_partkey", "c_custkey") if c in df.columns]
-        return out.select(*keys, "prediction", F.transform("probabilities", lambda p: F.round(p, 6)).alias("probabilities"))
+        return out.select("l_orderkey", "l_linenumber", "l_partkey", "prediction", F.transform("probabilities", lambda p: F.round(p, 6)).alias("probabilities"))
 
 
 def _regress(name, make):
@@ -191,15 +182,15 @@ def _regress(name, make):
         return rounded(make().fit(df).transform(df).select("o_orderkey", "prediction"))
 
 
-_classify("logistic_regression", lambda: LogisticRegression(preprocessor=SCALED), banded)
-_classify("random_forest", lambda: RandomForest(n_estimators=10, max_depth=8), banded)
-_classify("decision_tree", lambda: DecisionTree(), banded)
-_classify("svm_linear", lambda: Svm(kernel="linear", max_iter=20))
-_classify("svm_rbf", lambda: Svm(kernel="rbf", max_iter=20, components=64))
-_classify("svm_poly", lambda: Svm(kernel="poly", degree=2, max_iter=20))
-_classify("neural_network", lambda: NeuralNetwork(hidden_layer_sizes="16", max_iter=40), banded)
-_classify("adaboost", lambda: AdaBoost(n_estimators=5), banded)
-_classify("sgd_classifier", lambda: Sgd(loss="log_loss", max_iter=30), banded)
+_classify("logistic_regression", lambda: LogisticRegression(preprocessor=SCALED))
+_classify("random_forest", lambda: RandomForest(n_estimators=10, max_depth=8))
+_classify("decision_tree", lambda: DecisionTree())
+_classify("svm_linear", lambda: Svm(kernel="linear", max_iter=20, preprocessor=SCALED))
+_classify("svm_rbf", lambda: Svm(kernel="rbf", max_iter=20, components=64, preprocessor=SCALED))
+_classify("svm_poly", lambda: Svm(kernel="poly", degree=2, max_iter=20, preprocessor=SCALED))
+_classify("neural_network", lambda: NeuralNetwork(hidden_layer_sizes="16", max_iter=40))
+_classify("adaboost", lambda: AdaBoost(n_estimators=5))
+_classify("sgd_classifier", lambda: Sgd(loss="log_loss", max_iter=30))
 _regress("decision_tree_regression", lambda: DecisionTree())
 _regress("random_forest_regression", lambda: RandomForest(n_estimators=5, max_depth=6))
 _regress("adaboost_regression", lambda: AdaBoost(n_estimators=5))
