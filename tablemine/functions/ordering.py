@@ -37,26 +37,15 @@ def _bucket_of(value: Column, splits: Column, buckets: int) -> Column:
     return F.aggregate(rounds, F.lit(0), step)
 
 
-def cumulative(
-    df: DataFrame,
-    value: str,
-    *,
-    by: Sequence[str] = (),
-    sums: dict[str, Column] | None = None,
-    few_groups: bool = True,
-) -> DataFrame:
-    """One row per (group, distinct value) in ascending order, with the total of each measure before that value.
+def _in_buckets(
+    df: DataFrame, value: str, by: Sequence[str], sums: dict[str, Column], few_groups: bool
+) -> tuple[DataFrame, DataFrame]:
+    """(distinct values with their measures and bucket ``_b``, bucket table).
 
-    Returns the group columns, ``value`` and for each measure m its sum ``m`` at the value, ``m_before`` and the
-    group's ``m_total``. NULL values are left out. The default measure is the row count ``n``.
-
-    The input is read and combined once; splits, bucket totals and running sums all reuse that one shuffle. With
-    ``few_groups`` (columns, classes, learners: bounded by the schema or by a guard) the split and offset tables,
-    one row per group, are broadcast; otherwise Spark chooses the join.
+    The bucket table holds per (group, ``_b``) each measure's sum ``_s_m``, its sum over the lower buckets ``_o_m`` and
+    over the group ``m_total``. The input is read and combined once: all uses below share that one shuffle.
     """
-    by = list(by)
     keys = [col(c) for c in by]
-    sums = {"n": F.count(F.lit(1))} if sums is None else sums
     buckets = _buckets(df.sparkSession)
     distinct = df.where(col(value).isNotNull()).groupBy(*keys, col(value)).agg(*[e.alias(m) for m, e in sums.items()])
     number = col(value).cast("double")
@@ -65,21 +54,44 @@ def cumulative(
     # same columns and Spark reuses one exchange in place of reading the input again.
     all_read = F.hash(*sums) >= F.lit(-(2**31))
     splits = distinct.groupBy(*keys).agg(
-        F.percentile_approx(F.when(all_read, number), probs, max(10000, 10 * buckets)).alias("_splits"),
-        *[F.sum(m).alias(f"{m}_total") for m in sums],
+        F.percentile_approx(F.when(all_read, number), probs, max(10000, 10 * buckets)).alias("_splits")
     )
     bucketed = _attach(distinct, splits, by, few_groups).withColumn("_b", _bucket_of(number, F.col("_splits"), buckets)).drop("_splits")
     per_bucket = bucketed.groupBy(*keys, "_b").agg(*[F.sum(m).alias(f"_s_{m}") for m in sums])
-    groups = keys or [F.lit(0)]
-    lower = W.partitionBy(*groups).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    offsets = per_bucket.select(
-        *keys, "_b", *[F.coalesce(F.sum(f"_s_{m}").over(lower), F.lit(0)).alias(f"_o_{m}") for m in sums]
+    group = W.partitionBy(*(keys or [F.lit(0)]))
+    lower = group.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    totals = per_bucket.select(
+        *keys,
+        "_b",
+        *[f"_s_{m}" for m in sums],
+        *[F.coalesce(F.sum(f"_s_{m}").over(lower), F.lit(0)).alias(f"_o_{m}") for m in sums],
+        *[F.sum(f"_s_{m}").over(group).alias(f"{m}_total") for m in sums],
     )
+    return bucketed, totals
+
+
+def cumulative(
+    df: DataFrame,
+    value: str,
+    *,
+    by: Sequence[str] = (),
+    sums: dict[str, Column] | None = None,
+    few_groups: bool = True,
+) -> DataFrame:
+    """One row per (group, distinct value) in ascending order, with the total of each measure before that value.
+
+    Returns the group columns, ``value`` and for each measure m its sum ``m`` at the value, ``m_before`` and the
+    group's ``m_total``. NULL values are left out. The default measure is the row count ``n``. With ``few_groups``
+    (columns, classes, learners: bounded by the schema or by a guard) the split and bucket tables, at most groups x
+    buckets rows, are broadcast; otherwise Spark chooses the join.
+    """
+    by = list(by)
+    keys = [col(c) for c in by]
+    sums = {"n": F.count(F.lit(1))} if sums is None else sums
+    bucketed, totals = _in_buckets(df, value, by, sums, few_groups)
     inside = W.partitionBy(*keys, "_b").orderBy(col(value)).rowsBetween(W.unboundedPreceding, -1)
-    running = bucketed.select(
-        "*", *[F.coalesce(F.sum(m).over(inside), F.lit(0)).alias(f"_r_{m}") for m in sums]
-    )
-    return _attach(running, offsets, [*by, "_b"], few_groups).select(
+    running = bucketed.select("*", *[F.coalesce(F.sum(m).over(inside), F.lit(0)).alias(f"_r_{m}") for m in sums])
+    return _attach(running, totals, [*by, "_b"], few_groups).select(
         *keys,
         col(value),
         *sums,
@@ -118,24 +130,32 @@ def long_form(df: DataFrame, names: Sequence[str], *, keep: Sequence[str] = ())
 def quantiles_of(
     long: DataFrame, probs: Sequence[float], *, by: Sequence[str] = ("feature",), value: str = "value", few_groups: bool = True
 ) -> DataFrame:
-    """Exact linearly interpolated quantiles per group: (group..., p, q), from the running counts.
+    """Exact linearly interpolated quantiles per group: (group..., p, q).
 
-    Two order statistics per probability are picked out of :func:`cumulative` by one map-side combined aggregate; no
-    group is gathered in one place.
+    The bucket totals tell which buckets hold the wanted order statistics; only those buckets, at most two per
+    probability, are sorted. No group is gathered in one place, and the other values are never shuffled again.
     """
     by = list(by)
-    c = cumulative(long, value, by=by, few_groups=few_groups)
-
-    def at(position: Column) -> Column:
-        here = (F.col("n_before") <= position) & (position < F.col("n_before") + F.col("n"))
-        return F.max(F.when(here, col(value)))
+    keys = [col(b) for b in by]
+    bucketed, totals = _in_buckets(long, value, by, {"n": F.count(F.lit(1))}, few_groups)
+    places = [F.lit(float(p)) * (F.col("n_total") - 1) for p in probs]
+    ranks = [f(place) for place in places for f in (F.floor, F.ceil)]
+    covers = lambda rank, before, n: (before <= rank) & (rank < before + n)
+    held = reduce(Column.__or__, [covers(r, F.col("_o_n"), F.col("_s_n")) for r in ranks])
+    wanted = totals.where(held).select(*[col(b).alias(f"_k{i}") for i, b in enumerate(by)], F.col("_b").alias("_kb"), "_o_n", "n_total")
+    same = reduce(Column.__and__, [col(b).eqNullSafe(F.col(f"_k{i}")) for i, b in enumerate(by)], F.col("_b") == F.col("_kb"))
+    few = bucketed.join(F.broadcast(wanted) if few_groups else wanted, same)
+    running = W.partitionBy(*keys, "_b").orderBy(col(value)).rowsBetween(W.unboundedPreceding, -1)
+    c = few.withColumn("_before", F.col("_o_n") + F.coalesce(F.sum("n").over(running), F.lit(0)))
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when(covers(rank, F.col("_before"), F.col("n")), col(value)))
 
     picks = []
-    for p in probs:
-        place = F.lit(float(p)) * (F.col("n_total") - 1)
+    for p, place in zip(probs, places):
         lo, hi = at(F.floor(place)), at(F.ceil(place))
         picks.append(F.struct(F.lit(float(p)).alias("p"), (lo + (hi - lo) * F.max(place - F.floor(place))).alias("q")))
-    return c.groupBy(*[col(b) for b in by]).agg(F.array(*picks).alias("_q")).select(*[col(b) for b in by], F.inline("_q"))
+    return c.groupBy(*keys).agg(F.array(*picks).alias("_q")).select(*keys, F.inline("_q"))
 
 
 def column_quantiles(df: DataFrame, names: Sequence[str], probs: Sequence[float]) -> dict[str, dict[float, float]]:
