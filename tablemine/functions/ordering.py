@@ -16,6 +16,8 @@ from pyspark.sql import Window as W
 
 from tablemine.domain import col
 
+#: Per-group tables are broadcast up to this many rows; past it, or with an unknown number of groups, Spark chooses.
+BROADCAST_ROWS = 1_000_000
 #: Least and most ordered buckets per group; between them the number follows the session's shuffle partitions.
 MIN_BUCKETS, MAX_BUCKETS = 64, 8192
 
@@ -38,7 +40,7 @@ def _bucket_of(value: Column, splits: Column, buckets: int) -> Column:
 
 
 def _in_buckets(
-    df: DataFrame, value: str, by: Sequence[str], sums: dict[str, Column], few_groups: bool
+    df: DataFrame, value: str, by: Sequence[str], sums: dict[str, Column], small: bool
 ) -> tuple[DataFrame, DataFrame]:
     """(distinct values with their measures and bucket ``_b``, bucket table).
 
@@ -56,7 +58,7 @@ def _in_buckets(
     splits = distinct.groupBy(*keys).agg(
         F.percentile_approx(F.when(all_read, number), probs, max(10000, 10 * buckets)).alias("_splits")
     )
-    bucketed = _attach(distinct, splits, by, few_groups).withColumn("_b", _bucket_of(number, F.col("_splits"), buckets)).drop("_splits")
+    bucketed = _attach(distinct, splits, by, small).withColumn("_b", _bucket_of(number, F.col("_splits"), buckets)).drop("_splits")
     per_bucket = bucketed.groupBy(*keys, "_b").agg(*[F.sum(m).alias(f"_s_{m}") for m in sums])
     group = W.partitionBy(*(keys or [F.lit(0)]))
     lower = group.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
@@ -76,22 +78,22 @@ def cumulative(
     *,
     by: Sequence[str] = (),
     sums: dict[str, Column] | None = None,
-    few_groups: bool = True,
+    groups: int | None = None,
 ) -> DataFrame:
     """One row per (group, distinct value) in ascending order, with the total of each measure before that value.
 
     Returns the group columns, ``value`` and for each measure m its sum ``m`` at the value, ``m_before`` and the
-    group's ``m_total``. NULL values are left out. The default measure is the row count ``n``. With ``few_groups``
-    (columns, classes, learners: bounded by the schema or by a guard) the split and bucket tables, at most groups x
-    buckets rows, are broadcast; otherwise Spark chooses the join.
+    group's ``m_total``. NULL values are left out. The default measure is the row count ``n``. ``groups`` bounds the
+    number of groups if the caller knows it (columns, classes): see ``BROADCAST_ROWS``.
     """
     by = list(by)
     keys = [col(c) for c in by]
     sums = {"n": F.count(F.lit(1))} if sums is None else sums
-    bucketed, totals = _in_buckets(df, value, by, sums, few_groups)
+    small = _small(df.sparkSession, by, groups)
+    bucketed, totals = _in_buckets(df, value, by, sums, small)
     inside = W.partitionBy(*keys, "_b").orderBy(col(value)).rowsBetween(W.unboundedPreceding, -1)
     running = bucketed.select("*", *[F.coalesce(F.sum(m).over(inside), F.lit(0)).alias(f"_r_{m}") for m in sums])
-    return _attach(running, totals, [*by, "_b"], few_groups).select(
+    return _attach(running, totals, [*by, "_b"], small).select(
         *keys,
         col(value),
         *sums,
@@ -100,23 +102,30 @@ def cumulative(
     )
 
 
-def _attach(big: DataFrame, small: DataFrame, keys: Sequence[str], few: bool = True) -> DataFrame:
+def _small(spark: SparkSession, by: Sequence[str], groups: int | None) -> bool:
+    """Whether a table of one row per group and bucket is proven to be small."""
+    return not by or (groups is not None and groups * _buckets(spark) <= BROADCAST_ROWS)
+
+
+def _attach(big: DataFrame, facts: DataFrame, keys: Sequence[str], small: bool) -> DataFrame:
     """Join per-group facts to rows; group values may be NULL, so keys compare null-safe."""
     if not keys:
-        one = small.select(F.struct(*small.columns).alias("_s")).scalar()
+        one = facts.select(F.struct(*facts.columns).alias("_s")).scalar()
         return big.select("*", one.alias("_one")).select(*big.columns, "_one.*")
-    renamed = small.select(*[col(c).alias(f"_k{i}") for i, c in enumerate(keys)], *[c for c in small.columns if c not in keys])
+    renamed = facts.select(*[col(c).alias(f"_k{i}") for i, c in enumerate(keys)], *[c for c in facts.columns if c not in keys])
     condition = reduce(Column.__and__, [col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(keys)])
-    joined = big.join(F.broadcast(renamed) if few else renamed, condition, "left")
+    joined = big.join(F.broadcast(renamed) if small else renamed, condition, "left")
     return joined.drop(*[f"_k{i}" for i in range(len(keys))])
 
 
-def average_rank(df: DataFrame, value: str, *, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
+def average_rank(
+    df: DataFrame, value: str, *, by: Sequence[str] = (), weight: str | None = None, groups: int | None = None
+) -> DataFrame:
     """(group, value) -> rank and group size n_total; tied values share the mean of the ranks they cover (1-based).
 
     With ``weight`` a row stands for that many equal rows.
     """
-    c = cumulative(df, value, by=by, sums={"n": F.sum(weight) if weight else F.count(F.lit(1))})
+    c = cumulative(df, value, by=by, sums={"n": F.sum(weight) if weight else F.count(F.lit(1))}, groups=groups)
     return c.select(*[col(b) for b in by], col(value), (F.col("n_before") + (F.col("n") + 1) / 2).alias("rank"), "n_total")
 
 
@@ -128,7 +137,7 @@ def long_form(df: DataFrame, names: Sequence[str], *, keep: Sequence[str] = ())
 
 
 def quantiles_of(
-    long: DataFrame, probs: Sequence[float], *, by: Sequence[str] = ("feature",), value: str = "value", few_groups: bool = True
+    long: DataFrame, probs: Sequence[float], *, by: Sequence[str] = ("feature",), value: str = "value", groups: int | None = None
 ) -> DataFrame:
     """Exact linearly interpolated quantiles per group: (group..., p, q).
 
@@ -137,14 +146,15 @@ def quantiles_of(
     """
     by = list(by)
     keys = [col(b) for b in by]
-    bucketed, totals = _in_buckets(long, value, by, {"n": F.count(F.lit(1))}, few_groups)
+    small = _small(long.sparkSession, by, groups)
+    bucketed, totals = _in_buckets(long, value, by, {"n": F.count(F.lit(1))}, small)
     places = [F.lit(float(p)) * (F.col("n_total") - 1) for p in probs]
     ranks = [f(place) for place in places for f in (F.floor, F.ceil)]
     covers = lambda rank, before, n: (before <= rank) & (rank < before + n)
     held = reduce(Column.__or__, [covers(r, F.col("_o_n"), F.col("_s_n")) for r in ranks])
     wanted = totals.where(held).select(*[col(b).alias(f"_k{i}") for i, b in enumerate(by)], F.col("_b").alias("_kb"), "_o_n", "n_total")
     same = reduce(Column.__and__, [col(b).eqNullSafe(F.col(f"_k{i}")) for i, b in enumerate(by)], F.col("_b") == F.col("_kb"))
-    few = bucketed.join(F.broadcast(wanted) if few_groups else wanted, same)
+    few = bucketed.join(F.broadcast(wanted) if small else wanted, same)
     running = W.partitionBy(*keys, "_b").orderBy(col(value)).rowsBetween(W.unboundedPreceding, -1)
     c = few.withColumn("_before", F.col("_o_n") + F.coalesce(F.sum("n").over(running), F.lit(0)))
 
@@ -162,7 +172,7 @@ def column_quantiles(df: DataFrame, names: Sequence[str], probs: Sequence[float]
     """Exact quantiles of numeric columns, collected: columns x probabilities numbers."""
     out: dict[str, dict[float, float]] = {n: {} for n in names}
     if names:
-        for r in quantiles_of(long_form(df, names), probs).collect():
+        for r in quantiles_of(long_form(df, names), probs, groups=len(names)).collect():
             out[r.feature][r.p] = r.q
     return out
 
@@ -191,7 +201,7 @@ def hash_rank(df: DataFrame, key: Sequence[str], *, seed: int | str = 42, by: Se
     groups = [col(c) for c in by] or [F.lit(0)]
     before = W.partitionBy(*groups).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select(*[col(c) for c in by], "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    joined = _attach(h, offsets, [*by, "_b"])
+    joined = _attach(h, offsets, [*by, "_b"], small=not by)
     local = W.partitionBy(*[col(c) for c in by], "_b").orderBy("_h")
     return joined.withColumn(name, F.row_number().over(local) - 1 + F.col("_off")).drop("_h", "_b", "_off")
 

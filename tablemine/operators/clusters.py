@@ -10,9 +10,9 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tablemine.domain import CONTINUOUS, DISCRETE, META, ColumnSpec, col, domain_of, stamp
-from tablemine.functions.ordering import cumulative
 from tablemine.operators.components import connected_components
 from tablemine.operators.neighbors import (
     distances, feature_vector, pack_blocks, pack_chunks, tree_for, unpack, visits,
@@ -173,19 +173,15 @@ def spanning_forest(near: np.ndarray) -> tuple[list[int], list[int]]:
 
 
 def _dense_number(heads: DataFrame) -> DataFrame:
-    """component -> number 1.. in the order of ``head`` (a struct of key columns).
+    """component -> number 1.. in the order of ``head`` (a struct of key columns of any type).
 
-    Heads are ordered by their first key column through the bucketed running count; equal first columns are settled
-    inside a bucket of equal values.
+    Heads are sorted into ranges and written with their range number; counting on from the size of the lower ranges
+    (one row per range) numbers them without one task seeing all.
     """
-    first = heads.schema["head"].dataType.fields[0]
-    if first.dataType.typeName() in ("string", "timestamp", "timestamp_ntz", "date"):
-        from pyspark.sql import Window as W
-
-        return heads.select("component", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("head")).alias("number"))
-    keyed = heads.withColumn("_first", F.col("head").getField(first.name))
-    run = cumulative(keyed, "_first").select("_first", "n_before")
-    from pyspark.sql import Window as W
-
-    inside = W.partitionBy("_first").orderBy("head")
-    return keyed.join(run, "_first").select("component", (F.col("n_before") + F.row_number().over(inside)).alias("number"))
+    ranged = heads.repartitionByRange("head").withColumn("_range", F.spark_partition_id())
+    ranged = cut(ranged)
+    below = W.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = sizes.select("_range", F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_off"))
+    inside = W.partitionBy("_range").orderBy("head")
+    return ranged.join(offsets, "_range").select("component", (F.col("_off") + F.row_number().over(inside)).alias("number"))

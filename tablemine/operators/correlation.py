@@ -36,7 +36,30 @@ def pearson_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
 def spearman_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """a, b, n, r where r is the correlation of average ranks among the rows that have both values.
 
-    Rows are first counted per (pair, value, value). Ranks come from running counts per (pair, side), so a pair's
+    Columns without gaps are ranked once each. A pair with a gappy column needs ranks of its own.
+    """
+    names = list(dict.fromkeys(n for p in pairs for n in p))
+    gaps = df.agg(*[F.count_if(finite(col(n)).isNull()).alias(f"g{i}") for i, n in enumerate(names)]).first()
+    whole = {n for i, n in enumerate(names) if not gaps[f"g{i}"]}
+    easy = [p for p in pairs if whole.issuperset(p)]
+    hard = [p for p in pairs if not whole.issuperset(p)]
+    parts = ([_shared_ranks(df, easy)] if easy else []) + ([_own_ranks(df, hard)] if hard else [])
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def _shared_ranks(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """Replace each column by its ranks, one join per column, then correlate all pairs in one aggregate."""
+    names = list(dict.fromkeys(n for p in pairs for n in p))
+    base = df.select(*[finite(col(n)).alias(f"_c{i}") for i, n in enumerate(names)])
+    rows = base
+    for i in range(len(names)):
+        ranks = average_rank(base.select(f"_c{i}"), f"_c{i}").select(f"_c{i}", F.col("rank").alias(f"_r{i}"))
+        rows = rows.join(ranks, f"_c{i}").drop(f"_c{i}")
+    return pearson_pairs(rows.select(*[F.col(f"_r{i}").alias(n) for i, n in enumerate(names)]), pairs)
+
+
+def _own_ranks(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """Rows are first counted per (pair, value, value). Ranks come from running counts per (pair, side), so a pair's
     ranks see only the rows complete in that pair; the mean rank is (n + 1) / 2, which keeps the sums small.
     """
     cells = F.array(
@@ -50,7 +73,7 @@ def spearman_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     sides = counts.select(
         F.inline(F.array(*[F.struct("pair", F.lit(s).alias("side"), F.col(s).alias("v"), "k") for s in ("x", "y")]))
     )
-    ranks = average_rank(sides, "v", by=["pair", "side"], weight="k")
+    ranks = average_rank(sides, "v", by=["pair", "side"], weight="k", groups=2 * len(pairs))
     rx = ranks.where("side = 'x'").select("pair", F.col("v").alias("x"), F.col("rank").alias("rx"), F.col("n_total").alias("n"))
     ry = ranks.where("side = 'y'").select("pair", F.col("v").alias("y"), F.col("rank").alias("ry"))
     joined = counts.join(rx, ["pair", "x"]).join(ry, ["pair", "y"])

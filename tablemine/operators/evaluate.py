@@ -274,6 +274,11 @@ def score_classification(results: DataFrame) -> DataFrame:
     return table.join(score_auc(results), "learner").select("learner", "CA", "F1", "AUC", "Precision", "Recall")
 
 
+def _curves(results: DataFrame) -> int:
+    """Number of curves: classes times learners, counted on the one column that names them."""
+    return results.select("learner").distinct().count() * len(classes_of(results))
+
+
 def class_scores(results: DataFrame) -> DataFrame:
     """learner, cls, score, positive: one row per row and class."""
     classes = classes_of(results)
@@ -289,7 +294,8 @@ def score_auc(results: DataFrame) -> DataFrame:
     distinct scores.
     """
     run = cumulative(
-        class_scores(results), "score", by=["learner", "cls"], sums={"n": F.count(F.lit(1)), "pos": F.sum("positive")}
+        class_scores(results), "score", by=["learner", "cls"], sums={"n": F.count(F.lit(1)), "pos": F.sum("positive")},
+        groups=_curves(results),
     )
     negative, before = F.col("n") - F.col("pos"), F.col("n_before") - F.col("pos_before")
     area = run.groupBy("learner", "cls").agg(
@@ -341,7 +347,7 @@ def roc(results: DataFrame, *, points: int = 200) -> DataFrame:
     down = class_scores(results).withColumn("down", -F.col("score"))
     run = cumulative(
         down, "down", by=["learner", "cls"],
-        sums={"n": F.count(F.lit(1)), "pos": F.sum("positive"), "one": F.max(F.lit(1))},
+        sums={"n": F.count(F.lit(1)), "pos": F.sum("positive"), "one": F.max(F.lit(1))}, groups=_curves(results),
     )
     tp, fp = F.col("pos_before") + F.col("pos"), (F.col("n_before") + F.col("n")) - (F.col("pos_before") + F.col("pos"))
     p, q = F.col("pos_total"), F.col("n_total") - F.col("pos_total")

@@ -92,7 +92,7 @@ def roll(
     """series, order, value, filtered: 1-D gaussian, max, min or mean along each series. ``order`` is unique within it."""
     run = cumulative(
         df.select(col(series), col(order), col(value).cast("double").alias("_v")), order, by=[series],
-        sums={"n": F.count(F.lit(1)), "v": F.max("_v")}, few_groups=False,
+        sums={"n": F.count(F.lit(1)), "v": F.max("_v")},
     ).select(col(series), col(order), F.col("v"), F.col("n_before").alias("_i"), F.col("n_total").alias("_size"))
     reach, expression = _filter(kind, "v", sigma, size)
     out = _over_line(run, [series], "_i", F.col("_size"), reach, True, lambda w: {"filtered": expression(w)})

@@ -35,7 +35,7 @@ class LogisticRegression(Learner):
         n = sum(counts.values())
         # Spark divides the loss by the total weight, so the penalty is divided by C times that weight.
         estimator = SparkLogistic(
-            maxIter=self.max_iter, tol=1e-9, standardization=False, family="binomial" if len(classes) == 2 else "multinomial",
+            maxIter=self.max_iter, tol=1e-8, standardization=False, family="binomial" if len(classes) == 2 else "multinomial",
             regParam=0.0 if self.penalty == "none" else 1 / (self.C * n), elasticNetParam=1.0 if self.penalty == "l1" else 0.0,
         )
         if self.class_weight:

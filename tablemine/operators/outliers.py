@@ -219,7 +219,7 @@ def _covariance(df: DataFrame, vector: Column, width: int) -> DataFrame:
     try:
         long = rows.select(F.posexplode("v").alias("feature", "value"))
         quart: dict[int, dict[float, float]] = {i: {} for i in range(width)}
-        for r in quantiles_of(long, [0.25, 0.5, 0.75]).collect():
+        for r in quantiles_of(long, [0.25, 0.5, 0.75], groups=width).collect():
             quart[r.feature][r.p] = r.q
         mean = np.array([quart[i].get(0.5, 0.0) for i in range(width)])
         spread = np.array([(quart[i].get(0.75, 0.0) - quart[i].get(0.25, 0.0)) / 1.349 for i in range(width)])

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import traceback
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -44,12 +44,10 @@ def apply_script(
 
 
 def script_batches(
-    df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: T.StructType | str, *, by: Sequence[str] = ()
+    df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: T.StructType | str
 ) -> DataFrame:
-    """Run ``fn`` over pandas batches of the table, or over each group if ``by`` is given.
+    """Run ``fn`` over pandas batches of the table; memory is bounded by the Arrow batch.
 
-    A group must fit one task; without ``by`` memory is bounded by the Arrow batch.
+    Per-group work belongs in Spark aggregates: a group in one pandas frame would have to fit one task.
     """
-    if by:
-        return df.groupBy(*by).applyInPandas(fn, schema)
     return df.mapInPandas(lambda batches: (fn(b) for b in batches), schema)

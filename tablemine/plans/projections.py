@@ -54,5 +54,5 @@ def _pca_explained(spark, sf):
 
 @query("landmark_mds")
 def _mds(spark, sf):
-    e = table(spark, sf, "embeddings").select("vec_id", *[F.get("embedding", F.lit(i)).cast("double").alias(f"e{i}") for i in range(8)])
+    e = table(spark, sf, "embeddings").select("vec_id", *[F.get("embedding", F.lit(i)).cast("double").alias(f"e{i}") for i in range(64)])
     return rounded(landmark_mds(set_roles(e, metas=["vec_id"]), key=["vec_id"]))

@@ -310,14 +310,12 @@ def _state(spark, sf):
 
 
 @query("script_batches", """
-SELECT event_id, value * 10 AS ten, event_type FROM events UNION ALL
-SELECT count(*), 0, event_type || ' group' FROM events GROUP BY event_type""")
+SELECT event_id, value * 10 AS ten, upper(event_type) AS event_type FROM events WHERE value > 20""")
 def _batches(spark, sf):
     events = table(spark, sf, "events").select("event_id", "value", "event_type")
-    shape = "event_id bigint, ten double, event_type string"
-    rows = script_batches(events, lambda p: pd.DataFrame({"event_id": p["event_id"], "ten": p["value"] * 10, "event_type": p["event_type"]}), shape)
-    counts = events.groupBy("event_type", "value").agg(F.count("*").alias("n"))
-    groups = script_batches(
-        counts, lambda p: pd.DataFrame({"event_id": [int(p["n"].sum())], "ten": [0.0], "event_type": [p["event_type"].iloc[0] + " group"]}), shape, by=["event_type"]
-    )
-    return rows.unionByName(groups)
+
+    def script(batch: pd.DataFrame) -> pd.DataFrame:
+        big = batch[batch["value"] > 20]
+        return pd.DataFrame({"event_id": big["event_id"], "ten": big["value"] * 10, "event_type": big["event_type"].str.upper()})
+
+    return script_batches(events, script, "event_id bigint, ten double, event_type string")

@@ -110,10 +110,16 @@ def _time(c, data_type: T.DataType):
 def _inferred(df: DataFrame) -> DataFrame:
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     values: dict[str, list[str]] = {}
-    for name in texts:
-        rows = df.select(col(name).alias("v")).where("v is not null").distinct().limit(DISCRETE_CAP + 1).collect()
-        if len(rows) <= DISCRETE_CAP:
-            values[name] = sorted(r.v for r in rows)
+    if texts:
+        # One sketch pass settles the clearly large columns; the exact count then shuffles a few values per task.
+        rough = df.agg(*[F.approx_count_distinct(col(n), 0.02).alias(f"n{i}") for i, n in enumerate(texts)]).first()
+        near = [n for i, n in enumerate(texts) if rough[f"n{i}"] <= 2 * DISCRETE_CAP]
+        pairs = F.array(*[F.struct(F.lit(n).alias("c"), col(n).alias("v")) for n in near])
+        found = df.select(F.inline(pairs)).where("v is not null").distinct().collect() if near else []
+        for n in near:
+            seen = sorted(r.v for r in found if r.c == n)
+            if len(seen) <= DISCRETE_CAP:
+                values[n] = seen
     specs = []
     for f in df.schema.fields:
         if f.name in values:
