@@ -6,7 +6,8 @@ import math
 
 import numpy as np
 
-_LGAMMA = np.vectorize(math.lgamma, otypes=[float])
+def _lgamma(x: np.ndarray) -> np.ndarray:
+    return np.array([math.lgamma(v) for v in np.ravel(x)]).reshape(np.shape(x))
 
 
 def betainc(a, b, x, rounds: int = 300):
@@ -17,7 +18,7 @@ def betainc(a, b, x, rounds: int = 300):
     p, q, z = np.where(flip, b, a), np.where(flip, a, b), np.where(flip, 1 - x, x)
     tiny = 1e-300
     with np.errstate(divide="ignore", invalid="ignore"):
-        front = np.exp(_LGAMMA(p + q) - _LGAMMA(p) - _LGAMMA(q) + p * np.log(z) + q * np.log1p(-z)) / p
+        front = np.exp(_lgamma(p + q) - _lgamma(p) - _lgamma(q) + p * np.log(z) + q * np.log1p(-z)) / p
     front = np.where((z <= 0) | (z >= 1), 0.0, front)
     c = np.ones_like(z)
     d = 1 - (p + q) * z / (p + 1)
