@@ -45,7 +45,7 @@ def _padded(df: DataFrame, place: str, size: Column, reach: int, mirror: bool) -
         df = df.withColumn("_p", here).withColumn("_inside", F.lit(True))
     top = F.greatest(F.floor((size - 1) / CHUNK), F.lit(0))
     clip = lambda e: F.greatest(F.least(F.floor(e / CHUNK), top), F.lit(0))
-    near = F.array_distinct(F.array(clip(F.col("_p") - reach), clip(F.col("_p")), clip(F.col("_p") + reach)))
+    near = F.sequence(clip(F.col("_p") - reach), clip(F.col("_p") + reach))
     spread = df.withColumn("_chunk", F.explode(near))
     return spread.withColumn("_own", F.col("_inside") & (F.col("_chunk") == clip(F.col("_p")))).drop("_inside")
 

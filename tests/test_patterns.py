@@ -40,8 +40,7 @@ def brute(points: pd.DataFrame, q, k, metric, own=None):
     return rows[:k]
 
 
-@pytest.mark.parametrize("metric", ["euclidean", "manhattan", "chebyshev", "minkowski"])
-@pytest.mark.parametrize("exclude", [False, True])
+@pytest.mark.parametrize("metric,exclude", [("euclidean", True), ("manhattan", False), ("chebyshev", True), ("minkowski", False)])
 def test_nearest_is_exact(spark, cloud, small_blocks, metric, exclude):
     df = spark.createDataFrame(cloud)
     points = weighted_points(df, F.array("x", "y"))
@@ -117,7 +116,7 @@ def brute_dbscan(x, eps, minimum, metric):
     return list(label)
 
 
-@pytest.mark.parametrize("metric,eps", [("euclidean", 0.5), ("manhattan", 0.7), ("euclidean", 1.0)])
+@pytest.mark.parametrize("metric,eps", [("euclidean", 0.5), ("manhattan", 1.0)])
 def test_dbscan_is_exact(spark, cloud, small_blocks, metric, eps):
     df = set_roles(spark.createDataFrame(cloud), metas=["id"])
     got = dbscan(df, eps=eps, min_samples=5, metric=metric, key=["id"]).toPandas().sort_values("id")
