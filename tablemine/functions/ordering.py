@@ -223,3 +223,20 @@ def hash_cut(df: DataFrame, key: Sequence[str], size: int, *, seed: int | str =
     bucket, need = edge[0]["_b"], size - (edge[0]["_cum"] - edge[0]["_n"])
     inside = h.where(F.col("_b") == bucket).select("_h").orderBy("_h").limit(int(need))
     return inside.agg(F.max("_h")).first()[0]
+
+
+def hash_cuts(df: DataFrame, key: Sequence[str], by: str, quota: DataFrame, *, seed: int | str = 42) -> DataFrame:
+    """(_c, _cut) per group of ``by``: rows with ``hash_key <= _cut`` are the ``_q`` first of the group, as ``quota(_c, _q)`` asks.
+
+    As :func:`hash_cut`, for all groups at once: only the bucket a cut falls in, 1 / 65,536 of a group, is ordered.
+    """
+    h = df.select(col(by).alias("_g"), hash_key(key, seed).alias("_h")).withColumn("_b", _prefix(F.col("_h"), 4))
+    counts = h.groupBy("_g", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    run = counts.withColumn("_cum", F.sum("_n").over(W.partitionBy("_g").orderBy("_b")))
+    asked = run.join(quota, F.col("_g").eqNullSafe(F.col("_c")))
+    edge = asked.where((F.col("_cum") >= F.col("_q")) & (F.col("_cum") - F.col("_n") < F.col("_q"))).select(
+        "_c", F.col("_b").alias("_eb"), (F.col("_q") - (F.col("_cum") - F.col("_n"))).alias("_need")
+    )
+    inside = h.join(edge, F.col("_g").eqNullSafe(F.col("_c")) & (F.col("_b") == F.col("_eb")))
+    place = F.row_number().over(W.partitionBy("_c").orderBy("_h"))
+    return inside.withColumn("_p", place).where(F.col("_p") <= F.col("_need")).groupBy("_c").agg(F.max("_h").alias("_cut"))

@@ -127,8 +127,10 @@ def test_and_score(
     elif resampling == "shuffle":
         for i in range(n_repeats):
             train, held = sample(df, pct=train_pct, stratify=by, seed=seed + i, key=key)
+            both = train.withColumn("_fold", F.lit(0)).unionByName(held.withColumn("_fold", F.lit(1)))
+            split = _cut_with_roles(both, df)
             for learner in learners:
-                run(learner, train, held, i)
+                run(learner, split.where("_fold = 0").drop("_fold"), split.where("_fold = 1").drop("_fold"), i)
     elif resampling == "leave_one_out":
         parts = [_leave_one_out(df, learner, target, key) for learner in learners]
     elif resampling == "train":

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tablemine.domain import col, domain_of
-from tablemine.functions.ordering import hash_cut, hash_key, hash_rank
+from tablemine.functions.ordering import hash_cut, hash_cuts, hash_key, hash_rank
 
 
 def sample(
@@ -77,9 +77,9 @@ def _per_class(df, pct, n, stratify, seed, key):
         left = W.partitionBy(F.lit(0)).orderBy((exact - F.floor(exact)).desc(), "_c")
         short = F.lit(min(n, total)) - F.sum(F.floor(exact)).over(W.partitionBy(F.lit(0)))
         quota = sizes.select("_c", (F.floor(exact) + (F.row_number().over(left) <= short).cast("long")).alias("_q"))
-    ranked = hash_rank(df, key, seed=seed, by=[stratify], name="_pos")
-    joined = ranked.join(quota, col(stratify).eqNullSafe(F.col("_c")), "left")
-    chosen = F.col("_pos") < F.col("_q")
+    cuts = hash_cuts(df, key, stratify, quota, seed=seed)
+    joined = df.join(cuts, col(stratify).eqNullSafe(F.col("_c")), "left")
+    chosen = F.coalesce(hash_key(key, seed) <= F.col("_cut"), F.lit(False))
     return (
         joined.where(chosen).select(*[col(c) for c in df.columns]),
         joined.where(~chosen).select(*[col(c) for c in df.columns]),

@@ -44,9 +44,9 @@ def accuracy(model, df):
 
 CLASSIFIERS = [
     LogisticRegression(), LogisticRegression(penalty="l1"), LogisticRegression(penalty="none", max_iter=100), LogisticRegression(class_weight=True),
-    RandomForest(), DecisionTree(), Knn(), Knn(weights="distance", metric="manhattan"), NaiveBayes(), Svm(kernel="linear"), Svm(components=64),
-    Svm(kernel="poly", degree=2), NeuralNetwork(hidden_layer_sizes="8,8"), NeuralNetwork(hidden_layer_sizes=(8,), activation="logistic", solver="lbfgs"),
-    AdaBoost(n_estimators=8), Sgd(max_iter=60), Sgd(loss="modified_huber", penalty="elasticnet", max_iter=60),
+    RandomForest(), DecisionTree(), Knn(), Knn(weights="distance", metric="manhattan"), NaiveBayes(), Svm(kernel="linear", max_iter=8), Svm(components=32, max_iter=8),
+    Svm(kernel="poly", degree=2, max_iter=8), NeuralNetwork(hidden_layer_sizes="8,8"), NeuralNetwork(hidden_layer_sizes=(8,), activation="logistic", solver="lbfgs"),
+    AdaBoost(n_estimators=5), Sgd(max_iter=60), Sgd(loss="modified_huber", penalty="elasticnet", max_iter=60),
 ]
 
 
@@ -149,7 +149,7 @@ def test_preprocessor_inside_a_learner(flowers):
 
 
 @pytest.mark.parametrize("settings,per_learner", [
-    ({}, 150), ({"n_folds": 3, "stratified": False}, 150), ({"resampling": "shuffle", "n_repeats": 2}, 2 * 36), ({"resampling": "train"}, 150),
+    ({}, 150), ({"n_folds": 2, "stratified": False}, 150), ({"resampling": "shuffle", "n_repeats": 2}, 2 * 36), ({"resampling": "train"}, 150),
     ({"resampling": "leave_one_out"}, 150),
 ])
 def test_resampling(flowers, settings, per_learner):
