@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablemine.llm import quality_rules, sql
-from tablemine.llm.common import documents
+from tablemine.llm import mixing, quality_rules, sql
+from tablemine.llm.common import WORD, documents
 from tablemine.llm.registry import query
 
 
@@ -17,3 +17,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & F.col("kept")).alias("kept")
     )
+
+
+@query("op1_mix_sources", sql.MIX_SOURCES)
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD))
+    got = mixing.mix(documents(spark, sf_dir).select("doc_id", "source", "text"), (5, 2, 1), size=size)
+    return got.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))

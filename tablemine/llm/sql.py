@@ -17,3 +17,26 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
     OR 10 * n_dup_lines > n_words OR word_chars < 2 * n_words OR word_chars > 15 * n_words) AS kept
 FROM m
 """
+
+MIX_SOURCES = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    substr(md5('42:' || coalesce(doc_id::VARCHAR, 'NULL')), 1, 15) AS h FROM documents),
+s AS (SELECT source, sum(size)::DOUBLE AS source_size FROM d GROUP BY source),
+w AS (SELECT *, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight, 2 * source_size AS cap FROM s),
+c AS (
+  SELECT *, 1.5 * sum(source_size) OVER () AS budget,
+    coalesce(sum(cap) OVER (ORDER BY cap / weight, encode(source) NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capped,
+    sum(weight) OVER (ORDER BY cap / weight, encode(source) NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS others FROM w),
+l AS (SELECT max((budget - capped) / others) FILTER (WHERE (budget - capped) / others * weight <= cap) AS level FROM c),
+t AS (SELECT source, source_size, least(cap, coalesce(level * weight, cap)) AS target FROM c, l),
+g AS (SELECT source, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM t),
+e AS (
+  SELECT d.*, g.source_size, g.target, whole, target - whole * g.source_size AS budget,
+    sum(size) OVER (PARTITION BY d.source ORDER BY h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum,
+    sum(size) OVER (PARTITION BY d.source, h) AS same
+  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, size, source_size::BIGINT AS source_size, target,
+  (size * (whole + (budget > 0 AND (cum <= budget OR 2 * (budget - (cum - same)) >= same AND cum - same < budget))::INT))::BIGINT AS taken
+FROM e
+"""
