@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablemine.llm import mixing, quality_rules, sql
+from tablemine.llm import mixing, packing, quality_rules, records, sql
 from tablemine.llm.common import WORD, documents
 from tablemine.llm.registry import query
 
@@ -24,3 +25,17 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD))
     got = mixing.mix(documents(spark, sf_dir).select("doc_id", "source", "text"), (5, 2, 1), size=size)
     return got.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+@query("op7_token_records")
+def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = records.records_folder(spark)
+    records.write_records(documents(spark, sf_dir).select("doc_id", "text"), folder, public_tokenizers.path("byte_bpe_50k.json"))
+    got = records.read_records(spark, folder)
+    return got.select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op9_pack")
+def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = packing.pack(documents(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+    return got.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
