@@ -12,6 +12,18 @@ from collections.abc import Iterable, Sequence
 PIECES = 800_000
 
 
+_UNSAFE = re.compile(r"\s ")
+_CUT = re.compile(r"(?<=\S)(?= )")
+
+
+def segments(text: str) -> list[str]:
+    """``text`` cut wherever a space follows a character that is no white space; the first may be empty."""
+    if _UNSAFE.search(text):
+        return _CUT.split(text)
+    first, *rest = text.split(" ")
+    return [first, *[" " + x for x in rest]]
+
+
 class Pieces:
     """Encodes texts as little-endian unsigned 32-bit ids.
 
@@ -20,8 +32,6 @@ class Pieces:
     space. Others encode every text whole. Special strings hold no space, so they stay in one piece.
     """
 
-    _unsafe = re.compile(r"\s ")
-    _cut = re.compile(r"(?<=\S)(?= )")
     _stops = re.compile(r"(?<=[^\W\d_])(?=[.,;:!?])|(?<=[.,;:!?])(?=\n)|(?<=[.,;:!?]\n)(?=[^\W_])")
 
     def __init__(self, path: str):
@@ -47,12 +57,7 @@ class Pieces:
         self.known: dict[str, bytes] = {}
 
     def cut(self, text: str) -> list[str]:
-        if not self.separable:
-            return [text]
-        if self._unsafe.search(text):
-            return self._cut.split(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
+        return segments(text) if self.separable else [text]
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         """Ids of each text, begin, end and padding left out; NULL is empty."""
@@ -62,10 +67,10 @@ class Pieces:
             new.update(c)
         if len(self.known) + len(new) > PIECES:
             self.known = {}
-        new -= self.known.keys()
+        new = new.difference(self.known)
         if self.separable and self.parted:
             split = {p: x for p in new if len(x := self._stops.split(p)) > 1}
-            self._learn((new - split.keys()).union(*split.values()) - self.known.keys())
+            self._learn((new - split.keys()).union(*split.values()).difference(self.known))
             for p, x in split.items():
                 self.known[p] = b"".join(map(self.known.__getitem__, x))
         else:

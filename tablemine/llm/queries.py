@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablemine.llm import mixing, packing, quality_rules, records, sql
+from tablemine.llm import mixing, packing, quality_rules, records, sql, token_counts
 from tablemine.llm.common import WORD, documents
 from tablemine.llm.registry import query
 
@@ -39,3 +39,9 @@ def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = packing.pack(documents(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
     return got.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query("op4_token_counts")
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+    return got.withColumn("over_limit", F.col("n_tokens") > 512)
