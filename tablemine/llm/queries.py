@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablemine.llm import mixing, packing, quality_rules, records, sql, token_counts
+from tablemine.llm import jaccard_join, mixing, packing, quality_rules, records, sql, token_counts
 from tablemine.llm.common import WORD, documents
 from tablemine.llm.registry import query
 
@@ -45,3 +45,8 @@ def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
     return got.withColumn("over_limit", F.col("n_tokens") > 512)
+
+
+@query("op8_jaccard_join")
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_groups(documents(spark, sf_dir).select("doc_id", "text"))
