@@ -47,9 +47,9 @@ def frequencies(rows: DataFrame, width: int) -> np.ndarray:
 
         table = np.zeros(1 << BUCKET_BITS, np.int64)
         for b in parts:
-            texts = b.column("text")
-            for i, j in batches(texts.to_pylist(), 8_000_000):
-                sets = shingle_sets(texts.slice(i, j - i), width)
+            texts = b.column("text").to_pylist()
+            for i, j in batches(texts, 8_000_000):
+                sets = shingle_sets(texts[i:j], width)
                 table += np.bincount(_buckets(np.concatenate(sets)), minlength=1 << BUCKET_BITS)
         task = TaskContext.get().partitionId()
         out = [planes(table[k * step : (k + 1) * step]) for k in range(TABLE_PARTS)]
@@ -84,10 +84,10 @@ def prefixes(rows: DataFrame, width: int, threshold: Fraction, table: np.ndarray
     def each(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sent.value
         for b in parts:
-            texts = b.column("text")
-            for i, j in batches(texts.to_pylist(), 8_000_000):
+            texts = b.column("text").to_pylist()
+            for i, j in batches(texts, 8_000_000):
                 out: list[list] = [[], [], [], [], []]
-                for s in shingle_sets(texts.slice(i, j - i), width):
+                for s in shingle_sets(texts[i:j], width):
                     n = len(s)
                     often = counts[_buckets(s)]
                     k = n - -(-n * threshold.numerator // threshold.denominator) + 1 if n else 0
@@ -137,9 +137,9 @@ def _verified(pairs: DataFrame, outlines: DataFrame, rows: DataFrame, first: Dat
 
     def sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
-            text = b.column("text")
-            for i, j in batches(text.to_pylist(), 8_000_000):
-                found = [s for s in shingle_sets(text.slice(i, j - i), width) if len(s)]
+            text = b.column("text").to_pylist()
+            for i, j in batches(text, 8_000_000):
+                found = [s for s in shingle_sets(text[i:j], width) if len(s)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([_name(s) for s in found], pa.int64()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], ["id", "grams"]
                 )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -11,14 +13,13 @@ import pyarrow.compute as pc
 ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
-def words_in(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+def words_in(texts: Sequence[str | None]) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """(word numbers of all texts in a row, the distinct words, where each text's words begin); A-Z lower-cased, NULL empty.
 
     Words are runs of other characters than the six ASCII blanks.
     """
-    if isinstance(texts, pa.ChunkedArray):
-        texts = texts.combine_chunks()
-    clean = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    # a new array: the kernels below misread slices of another
+    clean = pc.ascii_trim_whitespace(pc.ascii_lower(pa.array([t or "" for t in texts], pa.large_string())))
     split = pc.ascii_split_whitespace(clean)
     counts = np.where(np.asarray(pc.equal(clean, "")), 0, np.asarray(pc.list_value_length(split)))
     flat = pc.list_flatten(split)
@@ -37,7 +38,7 @@ def stirred(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
+def shingle_sets(texts: Sequence[str | None], width: int) -> list[np.ndarray]:
     """The distinct shingles of ``width`` words of every text, sorted; a text of fewer words is one shingle, without words none.
 
     Two shingles count as equal if their 64-bit hashes are; within the sets of one pair that never matters in practice.
