@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablemine.llm import jaccard_join, mixing, packing, quality_classifier, quality_rules, records, sql, token_counts
+from tablemine.llm import fingerprints, jaccard_join, mixing, packing, quality_classifier, quality_rules, records, sql, token_counts
 from tablemine.llm.common import WORD, documents
 from tablemine.llm.registry import query
 
@@ -55,3 +55,8 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_quality_classifier")
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classified(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query("op5_fingerprints")
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.chained(documents(spark, sf_dir).select("doc_id", "text"))
