@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablemine.llm import fingerprints, jaccard_join, mixing, packing, quality_classifier, quality_rules, records, sql, suffix_tree, token_counts
+from tablemine.llm import chat, fingerprints, jaccard_join, mixing, packing, quality_classifier, quality_rules, records, sql, suffix_tree, token_counts
 from tablemine.llm.common import WORD, documents
 from tablemine.llm.registry import query
 
@@ -66,3 +66,8 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
     return suffix_tree.score(documents(spark, sf_dir), held)
+
+
+@query("op3_chat_format", sql.CHAT_FORMAT)
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.formatted(spark.read.parquet(f"{sf_dir}/conversations.parquet"))

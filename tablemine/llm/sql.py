@@ -40,3 +40,16 @@ SELECT doc_id, size, source_size::BIGINT AS source_size, target,
   (size * (whole + (budget > 0 AND (cum <= budget OR 2 * (budget - (cum - same)) >= same AND cum - same < budget))::INT))::BIGINT AS taken
 FROM e
 """
+
+CHAT_FORMAT = r"""
+WITH t AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS position, count(*) OVER (PARTITION BY conv_id) AS n_turns
+  FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations)),
+l AS (SELECT conv_id, list({'r': role, 'x': text} ORDER BY position) AS turns FROM t GROUP BY conv_id),
+p AS (SELECT DISTINCT list_slice(turns, 1, k) AS begun FROM (SELECT turns, unnest(range(1, len(turns))) AS k FROM l)),
+w AS (SELECT min(conv_id) AS conv_id, turns FROM l GROUP BY turns),
+k AS (SELECT w.conv_id FROM w LEFT JOIN p ON w.turns = p.begun WHERE p.begun IS NULL)
+SELECT t.conv_id, turn, position, n_turns, role,
+  '<|im_start|>' || replace(coalesce(role, ''), '<|', '< |') || chr(10) || replace(coalesce(text, ''), '<|', '< |') || '<|im_end|>' || chr(10) AS rendered
+FROM t JOIN k ON t.conv_id IS NOT DISTINCT FROM k.conv_id
+"""
