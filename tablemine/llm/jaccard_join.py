@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablemine.llm.common import BROADCAST_ROWS, written
+from tablemine.llm.common import BROADCAST_ROWS, fresh, written
 from tablemine.llm.encoding import batches
 from tablemine.llm.shingles import shingle_sets
 from tablemine.operators.components import connected_components
@@ -221,7 +221,12 @@ def near_groups(df: DataFrame, *, text: str = "text", key: str = "doc_id", width
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def one_of_each(df: DataFrame, *, key: str = "doc_id", **how) -> DataFrame:
-    """The rows of ``df`` that have the smallest key of their group, with all its columns."""
-    kept = near_groups(df, key=key, **how).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(key))
-    return df.join(kept, key, "left_semi")
+def one_of_each(df: DataFrame, *, text: str = "text", key: str = "doc_id", **how) -> DataFrame:
+    """The rows of ``df`` that have the smallest key of their group, with all its columns; of repeated rows one stays."""
+    kept = near_groups(df, text=text, key=key, **how).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept"))
+    kept = written(kept.groupBy("_kept").agg(F.count(F.lit(1)).alias("_n")), "jaccard-kept")
+    out = df.join(kept.select("_kept"), F.col(f"`{key}`").eqNullSafe(F.col("_kept")), "left_semi")
+    if kept.where("_n > 1").isEmpty():
+        return out
+    (h,) = fresh(df, "_hash")
+    return out.withColumn(h, F.xxhash64(F.col(f"`{text}`"))).dropDuplicates([key, h]).drop(h)
