@@ -223,10 +223,10 @@ def near_groups(df: DataFrame, *, text: str = "text", key: str = "doc_id", width
 
 def one_of_each(df: DataFrame, *, text: str = "text", key: str = "doc_id", **how) -> DataFrame:
     """The rows of ``df`` that have the smallest key of their group, with all its columns; of repeated rows one stays."""
-    kept = near_groups(df, text=text, key=key, **how).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept"))
-    kept = written(kept.groupBy("_kept").agg(F.count(F.lit(1)).alias("_n")), "jaccard-kept")
-    out = df.join(kept.select("_kept"), F.col(f"`{key}`").eqNullSafe(F.col("_kept")), "left_semi")
-    if kept.where("_n > 1").isEmpty():
+    name, h, n = fresh(df, "_kept", "_hash", "_n")
+    kept = near_groups(df, text=text, key=key, **how).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = written(kept.groupBy(F.col("doc_id").alias(name)).agg(F.count(F.lit(1)).alias(n)), "jaccard-kept")
+    out = df.join(kept.select(name), F.col(f"`{key}`").eqNullSafe(F.col(name)), "left_semi")
+    if kept.where(F.col(n) > 1).isEmpty():
         return out
-    (h,) = fresh(df, "_hash")
     return out.withColumn(h, F.xxhash64(F.col(f"`{text}`"))).dropDuplicates([key, h]).drop(h)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tablemine.llm.common import attach, fresh, written
+from tablemine.llm.common import attach, written
 
 #: Hexadecimal digits of the row hash that one histogram resolves: 4096 buckets per source.
 DIGITS = 3
@@ -80,25 +80,27 @@ def mix(df: DataFrame, weights: Sequence[float], *, size: Column, source: str =
     Rows with one ``key`` are taken together. No row is dropped or sorted; an empty table gives an empty table. Columns
     of ``df`` that are named like the new ones are replaced.
     """
-    src, h = fresh(df, "_source", "_h")
-    clean = df.drop("size", "source_size", "target", "copies")
-    rows = clean.withColumn("size", size.cast("long")).withColumn(h, row_hash(F.col(f"`{key}`"), seed))
-    slim = written(rows.select(F.col(f"`{source}`").alias("source"), F.col(h).alias("h"), "size"), "mix-sizes")
+    new = ("size", "source_size", "target", "copies")
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+    rows = df.select(row, F.col(f"`{source}`").alias("source"), row_hash(F.col(f"`{key}`"), seed).alias("h"), size.cast("long").alias("size"))
+    slim = written(rows.select("source", "h", "size"), "mix-sizes")
     sums = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
     goal = targets(sums, weights, share=share, most=most)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     goal = written(goal.withColumn("whole", whole.cast("long")).withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size")), "mix-goals")
     n = goal.count()
     cuts = thresholds(slim, goal.where("budget > 0"))
-    plan = attach(goal, cuts, ["source"], rows=n).select(F.col("source").alias(src), "source_size", "target", "whole", "cut", "closed")
-    out = attach(rows.withColumn(src, F.col(f"`{source}`")), plan, [src], rows=n)
-    inside = F.coalesce((F.col(h) < F.col("cut")) | ((F.col(h) == F.col("cut")) & F.col("closed")), F.lit(False))
-    return out.withColumn("copies", (F.col("whole") + inside.cast("long")).cast("long")).drop(src, h, "whole", "cut", "closed")
+    plan = attach(goal, cuts, ["source"], rows=n).select("source", "source_size", "target", "whole", "cut", "closed")
+    out = attach(rows, plan, ["source"], rows=n)
+    inside = F.coalesce((F.col("h") < F.col("cut")) | ((F.col("h") == F.col("cut")) & F.col("closed")), F.lit(False))
+    out = out.withColumn("copies", (F.col("whole") + inside.cast("long")).cast("long"))
+    return out.select(*[F.col("row").getField(c).alias(c) for c in df.columns if c not in new], *new)
 
 
-def taken(df: DataFrame, weights: Sequence[float], **how) -> DataFrame:
+def taken(df: DataFrame, weights: Sequence[float], *, size: Column, source: str = "source", key: str = "doc_id", **how) -> DataFrame:
     """The mix itself: every row of ``df`` as often as it is taken, with the columns of ``df``."""
-    out = mix(df, weights, **how)
-    (i,) = fresh(out, "_i")
-    many = out.where("copies > 0").withColumn(i, F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return many.select(*[F.col(f"`{c}`") for c in df.columns])
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_whole")
+    packed = df.select(whole, F.col(f"`{source}`").alias("source"), F.col(f"`{key}`").alias("key"), size.cast("long").alias("size"))
+    out = mix(packed, weights, size=F.col("size"), source="source", key="key", **how).where("copies > 0")
+    many = out.select("_whole", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return many.select(*[F.col("_whole").getField(c).alias(c) for c in df.columns])

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablemine.llm.common import written
+from tablemine.llm.common import fresh, written
 from tablemine.llm.encoding import batches
 from tablemine.llm.shingles import stirred, words_in
 
@@ -219,5 +219,6 @@ def classified(df: DataFrame, labels: DataFrame, *, text: str = "text", key: str
 
 def accepted(df: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "doc_id", cut: float = 0.7, **how) -> DataFrame:
     """The rows of ``df`` with a score of at least ``cut``, with all its columns. Rows of one key are kept if any of them is."""
-    good = classified(df, labels, text=text, key=key, cut=cut, **how).where("predicted = 1").select(F.col("doc_id").alias("_good"))
-    return df.join(good, F.col(f"`{key}`").eqNullSafe(F.col("_good")), "left_semi")
+    (name,) = fresh(df, "_good")
+    good = classified(df, labels, text=text, key=key, cut=cut, **how).where("predicted = 1").select(F.col("doc_id").alias(name))
+    return df.join(good, F.col(f"`{key}`").eqNullSafe(F.col(name)), "left_semi")

@@ -129,8 +129,8 @@ def verdict(rules: Sequence[Rule]) -> Column:
 
 
 def judged(df: DataFrame, *, text: str = "text", key: Sequence[str] = ("doc_id",), rules: Callable[[dict[str, Column]], list[Rule]] = default_rules,
-           sample_rows: int = 2000, keep_metrics: bool = False) -> DataFrame:
-    """Every row of ``df`` with a column ``kept``: the verdict of all rules, cheapest rejections first.
+           sample_rows: int = 2000, keep_metrics: bool = False, kept: str = "kept") -> DataFrame:
+    """Every row of ``df`` with a column named ``kept``: the verdict of all rules, cheapest rejections first.
 
     ``keep_metrics`` also adds the counts; the rules then read those instead of the text. NULL and empty texts have no
     words and fail the rule on length; so does every row if the text column is NULL. The order of the rules changes the
@@ -142,13 +142,14 @@ def judged(df: DataFrame, *, text: str = "text", key: Sequence[str] = ("doc_id",
     lazy = metrics(t, F.col(w))
     order = ordered(measured(with_words, rules(lazy), sample_rows=sample_rows, key=key))
     if not keep_metrics:
-        return with_words.withColumn("kept", verdict(order)).drop(w)
+        return with_words.withColumn(kept, verdict(order)).drop(w)
     full = with_words.withColumns(lazy).drop(w)
     by_name = {r.name: r for r in rules({n: F.col(n) for n in lazy})}
-    return full.withColumn("kept", verdict([by_name[r.name] for r in order]))
+    return full.withColumn(kept, verdict([by_name[r.name] for r in order]))
 
 
 def passing(df: DataFrame, **how) -> DataFrame:
     """The rows that pass every rule, with the columns of ``df``."""
-    out = judged(df, **how)
-    return out.where("kept").select(*[F.col(f"`{c}`") for c in df.columns])
+    (name,) = fresh(df, "_kept")
+    out = judged(df, kept=name, **how)
+    return out.where(F.col(name)).select(*[F.col(f"`{c}`") for c in df.columns])
