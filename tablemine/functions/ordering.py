@@ -18,6 +18,8 @@ from tablemine.domain import col
 
 #: Per-group tables are broadcast up to this many rows; past it, or with an unknown number of groups, Spark chooses.
 BROADCAST_ROWS = 1_000_000
+#: Rows of a hash bucket that are put in order without another histogram.
+BUCKET_ROWS = 100_000
 #: Least and most ordered buckets per group; between them the number follows the session's shuffle partitions.
 MIN_BUCKETS, MAX_BUCKETS = 64, 8192
 
@@ -181,19 +183,25 @@ def column_quantiles(df: DataFrame, names: Sequence[str], probs: Sequence[float]
 
 
 def hash_key(key: Sequence[str], seed: int | str = 42) -> Column:
-    """md5 of the seed and the row key as text; the same on every engine and every run."""
-    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(col(k).cast("string"), F.lit("")) for k in key]))
+    """md5 of the seed and the row key as text; the same on every engine and every run.
+
+    Each part is written as its length and text, NULL as ``~``, so different keys never give the same text.
+    """
+    text = lambda k: col(k).cast("string")
+    part = lambda k: F.when(col(k).isNull(), F.lit("~")).otherwise(F.concat(F.length(text(k)).cast("string"), F.lit(":"), text(k)))
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[part(k) for k in key]))
 
 
 def _prefix(h: Column, width: int) -> Column:
     return F.conv(F.substring(h, 1, width), 16, 10).cast("long")
 
 
-def hash_rank(df: DataFrame, key: Sequence[str], *, seed: int | str = 42, by: Sequence[str] = (), name: str = "_rank") -> DataFrame:
+def hash_rank(df: DataFrame, key: Sequence[str], *, seed: int | str = 42, by: Sequence[str] = (), name: str = "_rank", ties: bool = False) -> DataFrame:
     """Add the 0-based position of each row in hash order, within its group if ``by`` is given.
 
     The hash prefix spreads every group evenly over 65,536 ordered buckets, so a class with a third of the rows is
-    split like any other. One shuffle of the rows; the bucket totals are (groups x 65,536) small rows.
+    split like any other. One shuffle of the rows; the bucket totals are (groups x 65,536) small rows. ``ties`` puts rows
+    of one key in order by a hash of all their columns, for keys that repeat.
     """
     by = list(by)
     h = df.withColumn("_h", hash_key(key, seed)).withColumn("_b", _prefix(F.col("_h"), 4))
@@ -202,31 +210,51 @@ def hash_rank(df: DataFrame, key: Sequence[str], *, seed: int | str = 42, by: Se
     before = W.partitionBy(*groups).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select(*[col(c) for c in by], "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     joined = _attach(h, offsets, [*by, "_b"], small=not by)
-    local = W.partitionBy(*[col(c) for c in by], "_b").orderBy("_h")
+    local = W.partitionBy(*[col(c) for c in by], "_b").orderBy("_h", *([F.xxhash64(*[col(c) for c in df.columns])] if ties else []))
     return joined.withColumn(name, F.row_number().over(local) - 1 + F.col("_off")).drop("_h", "_b", "_off")
 
 
+def _edge(h: DataFrame, size: int) -> tuple[str, int] | None:
+    """(cut, excess) for hashes ``h(_h)``: as many are <= cut as asked, plus ``excess`` that share the last hash.
+
+    Histograms over four more digits at a time find the bucket the cut falls in, until it holds few rows; only that bucket
+    is grouped by hash and put in order. None if there are no more than ``size`` rows.
+    """
+    prefix, need = "", size
+    running = W.partitionBy(F.lit(0))
+    while True:
+        inside = h.where(F.col("_h").startswith(prefix)) if prefix else h
+        width = len(prefix) + 4
+        counts = inside.groupBy(F.substring("_h", 1, width).alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+        edge = counts.withColumn("_cum", F.sum("_n").over(running.orderBy("_b"))).where(F.col("_cum") >= need).orderBy("_b").limit(1).collect()
+        if not edge:
+            return None
+        prefix, need = edge[0]["_b"], need - (edge[0]["_cum"] - edge[0]["_n"])
+        if edge[0]["_n"] <= BUCKET_ROWS or width >= 32:
+            break
+    counts = h.where(F.col("_h").startswith(prefix)).groupBy("_h").agg(F.count(F.lit(1)).alias("_n"))
+    last = counts.withColumn("_cum", F.sum("_n").over(running.orderBy("_h"))).where(F.col("_cum") >= need).orderBy("_h").limit(1).collect()[0]
+    return last["_h"], last["_cum"] - need
+
+
 def hash_cut(df: DataFrame, key: Sequence[str], size: int, *, seed: int | str = 42) -> str | None:
-    """Largest hash among the ``size`` smallest: rows with ``hash_key <= cut`` form an exact sample of that size.
+    """Largest hash among the ``size`` smallest: rows with ``hash_key <= cut`` are a sample of that size if keys identify rows.
 
-    Two aggregate passes over the keys and no shuffle of rows: a histogram over hash prefixes finds the bucket the
-    cut falls in, then only that bucket (1 / 65,536 of the rows) is ordered, keeping its first few.
+    Aggregates over the keys and no shuffle of rows. All rows if there are no more; None for none.
     """
+    return hash_edge(df, key, size, seed=seed)[0]
+
+
+def hash_edge(df: DataFrame, key: Sequence[str], size: int, *, seed: int | str = 42) -> tuple[str | None, int]:
+    """(cut, excess): as :func:`hash_cut`, and how many rows too many share the last key. 0 if keys identify rows."""
     if size <= 0:
-        return None
-    h = df.select(hash_key(key, seed).alias("_h")).withColumn("_b", _prefix(F.col("_h"), 4))
-    counts = h.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    run = counts.withColumn("_cum", F.sum("_n").over(W.partitionBy(F.lit(0)).orderBy("_b")))
-    edge = run.where(F.col("_cum") >= size).orderBy("_b").limit(1).collect()
-    if not edge:
-        return "g"  # above every hex digit: all rows
-    bucket, need = edge[0]["_b"], size - (edge[0]["_cum"] - edge[0]["_n"])
-    inside = h.where(F.col("_b") == bucket).select("_h").orderBy("_h").limit(int(need))
-    return inside.agg(F.max("_h")).first()[0]
+        return None, 0
+    return _edge(df.select(hash_key(key, seed).alias("_h")), size) or ("g", 0)  # above every hex digit: all rows
 
 
 def hash_cuts(df: DataFrame, key: Sequence[str], by: str, quota: DataFrame, *, seed: int | str = 42) -> DataFrame:
-    """(_c, _cut) per group of ``by``: rows with ``hash_key <= _cut`` are the ``_q`` first of the group, as ``quota(_c, _q)`` asks.
+    """(_c, _cut, _excess) per group of ``by``: rows with ``hash_key <= _cut`` are the ``_q`` first of the group, as
+    ``quota(_c, _q)`` asks, and ``_excess`` more that share the last key.
 
     As :func:`hash_cut`, for all groups at once: only the bucket a cut falls in, 1 / 65,536 of a group, is ordered.
     """
@@ -238,5 +266,7 @@ def hash_cuts(df: DataFrame, key: Sequence[str], by: str, quota: DataFrame, *, s
         "_c", F.col("_b").alias("_eb"), (F.col("_q") - (F.col("_cum") - F.col("_n"))).alias("_need")
     )
     inside = h.join(edge, F.col("_g").eqNullSafe(F.col("_c")) & (F.col("_b") == F.col("_eb")))
-    place = F.row_number().over(W.partitionBy("_c").orderBy("_h"))
-    return inside.withColumn("_p", place).where(F.col("_p") <= F.col("_need")).groupBy("_c").agg(F.max("_h").alias("_cut"))
+    each = inside.groupBy("_c", "_h", "_need").agg(F.count(F.lit(1)).alias("_n"))
+    each = each.withColumn("_cum", F.sum("_n").over(W.partitionBy("_c").orderBy("_h")))
+    first = F.min(F.when(F.col("_cum") >= F.col("_need"), F.struct(F.col("_h").alias("h"), (F.col("_cum") - F.col("_need")).alias("e"))))
+    return each.groupBy("_c").agg(first.alias("_f")).select("_c", F.col("_f.h").alias("_cut"), F.col("_f.e").alias("_excess"))

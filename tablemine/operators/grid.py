@@ -87,13 +87,25 @@ def _filter(kind: str, value: str, sigma: float, size: int) -> tuple[int, Callab
 
 
 def roll(
-    df: DataFrame, *, series: str, order: str, value: str, kind: str = "gaussian", sigma: float = 2.0, size: int = 3
+    df: DataFrame, *, series: str, order: str, value: str, kind: str = "gaussian", sigma: float = 2.0, size: int = 3, ties: Sequence[str] = ()
 ) -> DataFrame:
-    """series, order, value, filtered: 1-D gaussian, max, min or mean along each series. ``order`` is unique within it."""
-    run = cumulative(
-        df.select(col(series), col(order), col(value).cast("double").alias("_v")), order, by=[series],
-        sums={"n": F.count(F.lit(1)), "v": F.max("_v")},
-    ).select(col(series), col(order), F.col("v"), F.col("n_before").alias("_i"), F.col("n_total").alias("_size"))
+    """series, order, value, filtered: 1-D gaussian, max, min or mean along each series, one row for every row of ``df``.
+
+    Rows of one order value stand in the order of the columns ``ties``, then of the value. A missing order is an error.
+    """
+    if not df.where(col(order).isNull()).isEmpty():
+        raise ValueError(f"column {order!r} has rows without a place in their series")
+    rows = df.select(col(series), col(order), col(value).cast("double").alias("_v"), F.struct(*[col(t) for t in ties], F.lit(0)).alias("_tie"))
+    steps = cumulative(rows, order, by=[series], sums={"n": F.count(F.lit(1)), "v": F.max("_v")})
+    place = [F.col("n_before").alias("_i"), F.col("n_total").alias("_size")]
+    if steps.where("n > 1").isEmpty():
+        run = steps.select(col(series), col(order), F.col("v"), *place)
+    else:
+        same = W.partitionBy(col(series), col(order)).orderBy("_tie", "_v")
+        known = steps.select(col(series).alias("_s"), col(order).alias("_o"), *place)
+        each = rows.withColumn("_k", F.row_number().over(same) - 1)
+        each = each.join(known, col(series).eqNullSafe(F.col("_s")) & (col(order) == F.col("_o")))
+        run = each.select(col(series), col(order), F.col("_v").alias("v"), (F.col("_i") + F.col("_k")).alias("_i"), "_size")
     reach, expression = _filter(kind, "v", sigma, size)
     out = _over_line(run, [series], "_i", F.col("_size"), reach, True, lambda w: {"filtered": expression(w)})
     return out.select(col(series), col(order), F.col("v").alias(value), "filtered")

@@ -160,37 +160,38 @@ class AdaBoost(Learner):
 
 
 def tree_structure(model: SparkModel, *, max_depth: int = 100) -> DataFrame:
-    """id, parent, depth, name, condition, samples, counts, majority, impurity of the nodes of one tree.
+    """tree, id, parent, depth, name, condition, samples, counts, majority, impurity of the nodes of a tree or of a forest's trees.
 
-    The saved form of the model is a table of nodes; it is read back and joined to itself for parents. ``condition``
-    is ``feature <= threshold`` and the left child meets it; leaves have none.
+    The saved form of the model is a table of nodes; ids and parents count within one tree, a single tree is tree 0.
+    ``condition`` is ``feature <= threshold`` and the left child meets it; leaves and nodes at ``max_depth`` have none.
     """
     spark = model.spark
     path = scratch_path(spark, "tree")
     model.inner.write().save(path)
     saved = spark.read.parquet(f"{path}/data")
-    nodes = saved.select("nodeData.*") if "nodeData" in saved.columns else saved
-    nodes = nodes.select("id", "leftChild", "rightChild", "prediction", "impurity", "impurityStats", "rawCount", "split").collect()
-    parent = {c: n["id"] for n in nodes for c in (n["leftChild"], n["rightChild"]) if c >= 0}
+    number = F.col("treeID") if "treeID" in saved.columns else F.lit(0)
+    saved = saved.select(number.cast("int").alias("tree"), "nodeData.*") if "nodeData" in saved.columns else saved.select(F.lit(0).alias("tree"), "*")
+    nodes = saved.select("tree", "id", "leftChild", "rightChild", "prediction", "impurity", "impurityStats", "rawCount", "split").collect()
+    parent = {(n["tree"], c): n["id"] for n in nodes for c in (n["leftChild"], n["rightChild"]) if c >= 0}
     names = model.design.feature_names
     rows = []
-    for n in sorted(nodes, key=lambda n: n["id"]):
-        depth, up = 0, n["id"]
-        while up in parent:
-            depth, up = depth + 1, parent[up]
+    for n in sorted(nodes, key=lambda n: (n["tree"], n["id"])):
+        tree, depth, up = n["tree"], 0, n["id"]
+        while (tree, up) in parent:
+            depth, up = depth + 1, parent[tree, up]
         if depth > max_depth:
             continue
         counts = [float(x) for x in n["impurityStats"]]
-        leaf = n["leftChild"] < 0
         if model.classes is not None:
             majority = model.classes[int(n["prediction"])]
         else:
             majority, counts = f"Value: {n['prediction']:.3f}", [float(n["prediction"])]
         condition = None
-        if not leaf:
+        if n["leftChild"] >= 0 and depth < max_depth:
             condition = f"{names[n['split']['featureIndex']]} <= {n['split']['leftCategoriesOrThreshold'][0]:.3f}"
-        rows.append((n["id"], parent.get(n["id"]), depth, f"Node {n['id']}", condition, int(n["rawCount"]), counts, majority, float(n["impurity"])))
+        above = parent.get((tree, n["id"]))
+        rows.append((tree, n["id"], above, depth, f"Node {n['id']}", condition, int(n["rawCount"]), counts, majority, float(n["impurity"])))
     return spark.createDataFrame(
         rows,
-        "id int, parent int, depth int, name string, condition string, samples bigint, counts array<double>, majority string, impurity double",
+        "tree int, id int, parent int, depth int, name string, condition string, samples bigint, counts array<double>, majority string, impurity double",
     )

@@ -17,29 +17,30 @@ from tablemine.session import cut
 
 #: Neighbours of the local outlier factor.
 LOF_NEIGHBOURS = 20
-#: Isolation forest: number of trees and rows per tree.
+#: Isolation forest: number of trees and rows per tree, unless the caller says otherwise.
 TREES, TREE_ROWS = 100, 256
-#: Concentration steps of the robust covariance, and the share of rows each keeps.
-C_STEPS, SUPPORT = 30, 0.5
-DISTANCE_BINS = 1 << 16
+#: Share of rows that each concentration step of the robust covariance keeps.
+SUPPORT = 0.5
 
 
 def outlier_scores(
-    df: DataFrame, *, method: str = "lof", contamination: float = 0.1, seed: int = 42, key: Sequence[str]
+    df: DataFrame, *, method: str = "lof", contamination: float = 0.1, seed: int = 42, key: Sequence[str], trees: int = TREES, tree_rows: int = TREE_ROWS,
+    max_steps: int = 100,
 ) -> DataFrame:
     """The table with metas ``score`` (higher is stranger) and ``Outlier`` (yes / no).
 
     lof (and any unknown name), isolation_forest, covariance. Outliers score above the exact
-    ``1 - contamination`` quantile. Missing values count as the column mean.
+    ``1 - contamination`` quantile. Missing values count as the column mean. ``trees`` and ``tree_rows`` size the
+    isolation forest; the covariance is refitted until it settles, and ``max_steps`` refits without that are an error.
     """
     names = domain_of(df).continuous()
     if not names:
         raise ValueError("outlier detection needs continuous attributes")
     vector = feature_vector(df, names)
     if method == "isolation_forest":
-        scored = _isolation(df, vector, len(names), seed, key)
+        scored = _isolation(df, vector, seed, key, trees, tree_rows)
     elif method == "covariance":
-        scored = _covariance(df, vector, len(names))
+        scored = _covariance(df, vector, len(names), max_steps)
     else:
         scored = _lof(df, vector)
     scored = cut(scored)
@@ -53,10 +54,10 @@ def outlier_scores(
 
 
 def outliers(
-    df: DataFrame, *, method: str = "lof", contamination: float = 0.1, seed: int = 42, key: Sequence[str]
+    df: DataFrame, *, method: str = "lof", contamination: float = 0.1, seed: int = 42, key: Sequence[str], **how
 ) -> tuple[DataFrame, DataFrame]:
     """(inliers, outliers): two filters on :func:`outlier_scores`."""
-    scored = outlier_scores(df, method=method, contamination=contamination, seed=seed, key=key)
+    scored = outlier_scores(df, method=method, contamination=contamination, seed=seed, key=key, **how)
     return scored.where("Outlier = 'no'").drop("score", "Outlier"), scored.where("Outlier = 'yes'").drop("score", "Outlier")
 
 
@@ -110,20 +111,20 @@ def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple]:
     return nodes
 
 
-def isolation_forest(df: DataFrame, vector: Column, *, seed: int, key: Sequence[str]) -> list[dict]:
-    """Grow the forest (Liu et al. 2008): every tree from its own hash sample of about ``TREE_ROWS`` rows.
+def isolation_forest(df: DataFrame, vector: Column, *, seed: int, key: Sequence[str], trees: int = TREES, tree_rows: int = TREE_ROWS) -> list[dict]:
+    """Grow the forest (Liu et al. 2008): every tree from its own hash sample of about ``tree_rows`` rows.
 
-    A row belongs to the sample of tree t with probability TREE_ROWS / n by its hash, tested once per row and tree
-    inside Arrow batches; only chosen rows (trees x about TREE_ROWS) are shuffled, one group per tree.
+    A row belongs to the sample of tree t with probability tree_rows / n by its hash, tested once per row and tree
+    inside Arrow batches; only chosen rows (trees x about tree_rows) are shuffled, one group per tree.
     """
     n = df.count()
-    share = min(1.0, TREE_ROWS / max(n, 1))
+    share = min(1.0, tree_rows / max(n, 1))
 
     @F.pandas_udf("array<int>")
     def trees_of(h: pd.Series) -> pd.Series:
         start = np.array([int(x[:16], 16) for x in h], dtype=np.uint64)
-        out = np.empty((len(start), TREES), dtype=bool)
-        for t in range(TREES):
+        out = np.empty((len(start), trees), dtype=bool)
+        for t in range(trees):
             # Multiply-shift mixing of the row hash and the tree number.
             z = start + np.uint64(((t + 1) * 0x9E3779B97F4A7C15) % 2**64)
             z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -150,7 +151,7 @@ def isolation_forest(df: DataFrame, vector: Column, *, seed: int, key: Sequence[
 
 
 def forest_scorer(forest: list[dict]):
-    """Arrow UDF from a vector to its anomaly score in (0, 1); the forest is at most trees x 2 x TREE_ROWS nodes."""
+    """Arrow UDF from a vector to its anomaly score in (0, 1); the forest is at most trees x 2 x tree_rows nodes."""
     scale = float(_path(np.mean([t["rows"] for t in forest]))) or 1.0
 
     @F.pandas_udf("double")
@@ -173,8 +174,8 @@ def forest_scorer(forest: list[dict]):
     return score
 
 
-def _isolation(df: DataFrame, vector: Column, width: int, seed: int, key: Sequence[str]) -> DataFrame:
-    forest = isolation_forest(df, vector, seed=seed, key=key)
+def _isolation(df: DataFrame, vector: Column, seed: int, key: Sequence[str], trees: int, tree_rows: int) -> DataFrame:
+    forest = isolation_forest(df, vector, seed=seed, key=key, trees=trees, tree_rows=tree_rows)
     if not forest:
         return df.withColumn("score", F.lit(0.5))
     return df.withColumn("score", forest_scorer(forest)(vector))
@@ -207,13 +208,13 @@ def mahalanobis(mean: np.ndarray, cov: np.ndarray) -> Column:
     return total
 
 
-def _covariance(df: DataFrame, vector: Column, width: int) -> DataFrame:
+def _covariance(df: DataFrame, vector: Column, width: int, max_steps: int) -> DataFrame:
     """Robust distance by concentration steps (Rousseeuw and Van Driessen 1999).
 
     Each step keeps the half of the rows nearest to the current centre and refits, until the determinant stops
-    falling. Which distance holds half of the rows is read off a histogram of distances (steps of 1/256 of a standard
-    deviation, at most ``DISTANCE_BINS`` counts), so a step is two aggregates over the table and depends on nothing
-    but the data. The start is the median and the spread of each column, which a minority of outliers cannot move far.
+    falling. Which distance holds half of the rows is read off a histogram of distances: steps of 1/256 of a standard
+    deviation up to one, and of 1/256 of the distance's logarithm above, so every distance has a bin of its own size and
+    there are at most some 180,000 bins. A step is two aggregates over the table and depends on nothing but the data. The start is the median and the spread of each column, which a minority of outliers cannot move far.
     """
     rows = df.withColumn("v", vector).select("v").persist()
     try:
@@ -225,9 +226,10 @@ def _covariance(df: DataFrame, vector: Column, width: int) -> DataFrame:
         spread = np.array([(quart[i].get(0.75, 0.0) - quart[i].get(0.25, 0.0)) / 1.349 for i in range(width)])
         cov = np.diag(np.where(spread > 0, spread, 1.0) ** 2)
         last = math.inf
-        for _ in range(C_STEPS):
+        for _ in range(max_steps):
             dist = rows.select("v", mahalanobis(mean, cov).alias("d"))
-            bin_ = F.least(F.floor(F.sqrt(F.greatest("d", F.lit(0.0))) * 256), F.lit(DISTANCE_BINS)).cast("int")
+            far = F.sqrt(F.greatest("d", F.lit(0.0)))
+            bin_ = F.floor(F.when(far < 1, far * 256).otherwise(256 + 256 * F.ln(far))).cast("int")
             counts = sorted((r["b"], r["count"]) for r in dist.groupBy(bin_.alias("b")).count().collect())
             held = np.cumsum([c for _, c in counts])
             edge = counts[int(np.searchsorted(held, SUPPORT * held[-1]))][0]
@@ -236,6 +238,8 @@ def _covariance(df: DataFrame, vector: Column, width: int) -> DataFrame:
             if not det < last - 1e-6:
                 break
             last = det
+        else:
+            raise RuntimeError(f"the covariance did not settle within {max_steps} steps")
     finally:
         rows.unpersist()
     return df.withColumn("v", vector).withColumn("score", mahalanobis(mean, cov)).drop("v")

@@ -1,6 +1,7 @@
 """Samples of exact size, folds and bootstraps, chosen by a hash of the row key.
 
-The outcome depends on the seed and the keys only, never on partitioning. Keys must identify rows.
+The outcome depends on the seed and the keys only, never on partitioning. Rows with one key are told apart by
+their other columns, so sizes are exact even if keys repeat.
 """
 
 from __future__ import annotations
@@ -13,7 +14,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tablemine.domain import col
-from tablemine.functions.ordering import hash_cut, hash_cuts, hash_key, hash_rank
+from tablemine.functions.ordering import hash_cuts, hash_edge, hash_key, hash_rank
+from tablemine.session import cut as checkpointed
+
+#: Classes up to which their thresholds are sent to all tasks, so that rows stay where they are.
+CLASS_ROWS = 100_000
 
 
 def sample(
@@ -44,10 +49,12 @@ def sample(
     if stratify:
         return _per_class(df, pct, n if kind == "fixed" else None, stratify, seed, key)
     size = n if kind == "fixed" else math.ceil(pct / 100 * df.count())
-    cut = hash_cut(df, key, size, seed=seed)
+    cut, excess = hash_edge(df, key, size, seed=seed)
     h = hash_key(key, seed)
     if cut is None:
         return df.where(F.lit(False)), df
+    if excess:  # keys repeat: the rows of one key are told apart
+        return _parted(df, hash_rank(df, key, seed=seed, name="_pos", ties=True), F.col("_pos") < size)
     return df.where(h <= cut), df.where(h > cut)
 
 
@@ -77,13 +84,19 @@ def _per_class(df, pct, n, stratify, seed, key):
         left = W.partitionBy(F.lit(0)).orderBy((exact - F.floor(exact)).desc(), "_c")
         short = F.lit(min(n, total)) - F.sum(F.floor(exact)).over(W.partitionBy(F.lit(0)))
         quota = sizes.select("_c", (F.floor(exact) + (F.row_number().over(left) <= short).cast("long")).alias("_q"))
-    cuts = hash_cuts(df, key, stratify, quota, seed=seed)
-    joined = df.join(cuts, col(stratify).eqNullSafe(F.col("_c")), "left")
-    chosen = F.coalesce(hash_key(key, seed) <= F.col("_cut"), F.lit(False))
-    return (
-        joined.where(chosen).select(*[col(c) for c in df.columns]),
-        joined.where(~chosen).select(*[col(c) for c in df.columns]),
-    )
+    cuts = checkpointed(hash_cuts(df, key, stratify, quota, seed=seed))
+    classes = cuts.count()
+    attach = lambda rows, facts: rows.join(F.broadcast(facts) if classes <= CLASS_ROWS else facts, col(stratify).eqNullSafe(F.col("_c")), "left")
+    if cuts.where("_excess > 0").isEmpty():
+        return _parted(df, attach(df, cuts), hash_key(key, seed) <= F.col("_cut"))
+    ranked = hash_rank(df, key, seed=seed, by=[stratify], name="_pos", ties=True)
+    return _parted(df, attach(ranked, quota), F.col("_pos") < F.col("_q"))
+
+
+def _parted(df, rows, chosen):
+    """(chosen, others) of ``rows``, with the columns of ``df``."""
+    names, chosen = [col(c) for c in df.columns], F.coalesce(chosen, F.lit(False))
+    return rows.where(chosen).select(*names), rows.where(~chosen).select(*names)
 
 
 def _draws(df, k, seed, key):

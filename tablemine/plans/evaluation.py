@@ -44,7 +44,7 @@ def _predictions_proba(spark, sf):
     return rounded(out.select("o_orderkey", "Constant (1-URGENT)", "Constant (2-HIGH)"))
 
 
-_ORD = "(SELECT o_orderkey, o_orderpriority AS y, md5('{seed}|' || o_orderkey) AS h FROM orders)"
+_ORD = "(SELECT o_orderkey, o_orderpriority AS y, md5('{seed}|' || length(o_orderkey::VARCHAR) || ':' || o_orderkey) AS h FROM orders)"
 _PICK = "SELECT fold, y, count(*) AS n, row_number() OVER (PARTITION BY fold ORDER BY count(*) DESC, y) AS r FROM t GROUP BY fold, y"
 
 

@@ -193,7 +193,7 @@ def _box_grouped(spark, sf):
 
 
 @query("chart_scatter", """
-SELECT p_partkey, p_size::DOUBLE AS x, p_retailprice AS y, p_brand AS color FROM part ORDER BY md5('42|' || p_partkey) LIMIT 500""")
+SELECT p_partkey, p_size::DOUBLE AS x, p_retailprice AS y, p_brand AS color FROM part ORDER BY md5('42|' || length(p_partkey::VARCHAR) || ':' || p_partkey) LIMIT 500""")
 def _scatter(spark, sf):
     return scatter(table(spark, sf, "part"), "p_size", "p_retailprice", color="p_brand", n=500, key=["p_partkey"])
 

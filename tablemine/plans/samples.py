@@ -13,8 +13,8 @@ def _both(pair, *columns):
     return s.select(*columns, F.lit("sample").alias("part")).unionByName(r.select(*columns, F.lit("remaining").alias("part")))
 
 
-_CUST = "SELECT c_custkey, c_acctbal, c_mktsegment, md5('42|' || c_custkey) AS h, count(*) OVER () AS total FROM customer"
-_ORD = "SELECT o_orderkey, o_orderpriority, md5('42|' || o_orderkey) AS h, count(*) OVER () AS total FROM orders"
+_CUST = "SELECT c_custkey, c_acctbal, c_mktsegment, md5('42|' || length(c_custkey::VARCHAR) || ':' || c_custkey) AS h, count(*) OVER () AS total FROM customer"
+_ORD = "SELECT o_orderkey, o_orderpriority, md5('42|' || length(o_orderkey::VARCHAR) || ':' || o_orderkey) AS h, count(*) OVER () AS total FROM orders"
 
 
 @query("sample_proportion", f"""

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tablemine.domain import META, DISCRETE, CONTINUOUS, ColumnSpec, stamp
+from tablemine.functions.ordering import column_quantiles
 from tablemine.operators.evaluate import predict
 from tablemine.operators.learners.base import Model
 from tablemine.operators.neighbors import feature_vector
@@ -35,12 +36,16 @@ def predict_stream(stream: DataFrame, models: Sequence[Model]) -> DataFrame | No
 
 
 class AnomalyScorer:
-    """Isolation forest fitted on a table, applied to a stream with a fixed score limit."""
+    """Isolation forest fitted on a table, applied to a stream.
 
-    def __init__(self, history: DataFrame, names: Sequence[str], *, key: Sequence[str], limit: float = 0.6, seed: int = 42):
+    The score limit is the exact ``1 - contamination`` quantile of the table's own scores.
+    """
+
+    def __init__(self, history: DataFrame, names: Sequence[str], *, key: Sequence[str], contamination: float = 0.1, seed: int = 42, **forest):
         self.vector = feature_vector(history, names)
-        self.score = forest_scorer(isolation_forest(history, self.vector, seed=seed, key=key))
-        self.limit = limit
+        self.score = forest_scorer(isolation_forest(history, self.vector, seed=seed, key=key, **forest))
+        scores = history.select(self.score(self.vector).alias("score"))
+        self.limit = column_quantiles(scores, ["score"], [1 - contamination])["score"][1 - contamination]
 
     def flag(self, stream: DataFrame) -> DataFrame:
         scored = stream.withColumn("score", self.score(self.vector))
