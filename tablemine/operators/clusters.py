@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from tablemine.domain import CONTINUOUS, DISCRETE, META, ColumnSpec, col, domain_of, stamp
 from tablemine.operators.components import connected_components
 from tablemine.operators.neighbors import (
-    distances, feature_vector, pack_blocks, pack_chunks, tree_for, unpack, visits,
+    block_parts, distances, feature_vector, pack_blocks, pack_chunks, paired, tree_for, unpack, visits,
 )
 from tablemine.session import cut
 
@@ -118,14 +118,14 @@ def dbscan(
                 hit = np.isfinite(lowest)
                 yield pd.DataFrame({"id": np.array([c["id"] for c in chunk])[hit], "number": lowest[hit].astype("int64")})
 
-    blocks = pack_blocks(points, tree, ["id"])
+    blocks, parts = pack_blocks(points, tree, ["id"]), block_parts(points, tree)
     seen = visits(points.select("v", "label", "id"), tree, reach, metric)
-    counted = pack_chunks(seen, ["id"]).join(blocks, "leaf").select("chunk", "block").mapInPandas(count_pairs, "id string, n bigint")
+    counted = paired(pack_chunks(seen, ["id"]), blocks, parts).mapInPandas(count_pairs, "id string, n bigint")
     core_ids = cut(counted.groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= min_samples).select("id"))
     core = cut(points.join(core_ids, "id", "left_semi"))
-    core_blocks = pack_blocks(core, tree, ["id"])
+    core_blocks, core_parts = pack_blocks(core, tree, ["id"]), block_parts(core, tree)
     core_seen = visits(core.select("v", "label", "id"), tree, reach, metric)
-    edges = pack_chunks(core_seen, ["id"]).join(core_blocks, "leaf").select("chunk", "block").mapInPandas(link, "a string, b string")
+    edges = paired(pack_chunks(core_seen, ["id"]), core_blocks, core_parts).mapInPandas(link, "a string, b string")
     parts = connected_components(core.select("id"), edges)
     member = cut(core.join(parts, "id"))
     heads = member.groupBy("component").agg(F.min("first_key").alias("head"))
@@ -134,7 +134,7 @@ def dbscan(
     others = points.join(core_ids, "id", "left_anti")
     other_seen = visits(others.select("v", "label", "id"), tree, reach, metric)
     border = (
-        pack_chunks(other_seen, ["id"]).join(pack_blocks(numbered, tree, ["number"]), "leaf").select("chunk", "block")
+        paired(pack_chunks(other_seen, ["id"]), pack_blocks(numbered, tree, ["number"]), block_parts(numbered, tree))
         .mapInPandas(reachable, "id string, number bigint").groupBy("id").agg(F.min("number").alias("number"))
     )
     found = numbered.select("id", "number").unionByName(border)

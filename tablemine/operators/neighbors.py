@@ -162,7 +162,12 @@ def with_leaf(df: DataFrame, tree: Tree) -> DataFrame:
     def leaf(v: pd.Series) -> pd.Series:
         return pd.Series(tree.leaf_of(np.stack(v.to_numpy())) if len(v) else [], dtype="int32")
 
-    return df.withColumn("leaf", F.lit(0) if tree.leaves == 1 else leaf("v"))
+    return df.withColumn("leaf", _only_leaf() if tree.leaves == 1 else leaf("v"))
+
+
+def _only_leaf() -> Column:
+    """0 in every row, but not a constant to Spark, which would turn joins on it into products."""
+    return F.pmod(F.xxhash64("v"), F.lit(1)).cast("int")
 
 
 def _split(df: DataFrame, size: int, key: Column) -> DataFrame:
@@ -175,10 +180,22 @@ def _split(df: DataFrame, size: int, key: Column) -> DataFrame:
 
 
 def pack_blocks(points: DataFrame, tree: Tree, extra: Sequence[str] = ()) -> DataFrame:
-    """leaf, block: arrays of the points of one leaf, at most about ``BLOCK`` of them, sorted by vector and label."""
+    """leaf, part, block: arrays of the points of one leaf, at most about ``BLOCK`` of them, sorted by vector and label."""
     cells = F.struct("v", "label", "w", *extra)
     split = _split(with_leaf(points, tree), BLOCK, F.col("v"))
-    return split.groupBy("leaf", "part").agg(F.array_sort(F.collect_list(cells)).alias("block")).select("leaf", "block")
+    return split.groupBy("leaf", "part").agg(F.array_sort(F.collect_list(cells)).alias("block"))
+
+
+def block_parts(points: DataFrame, tree: Tree) -> DataFrame:
+    """leaf, parts: how many blocks :func:`pack_blocks` makes of each leaf; at most ``MAX_LEAVES`` rows."""
+    return with_leaf(points, tree).groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+
+
+def paired(chunks: DataFrame, blocks: DataFrame, parts: DataFrame) -> DataFrame:
+    """chunk, block: each chunk with each block of its leaf. A chunk first gets the list of its blocks and then meets them
+    one by one on (leaf, part), so every pair is a row of its own and a large leaf is many keys."""
+    asked = chunks.join(F.broadcast(parts), "leaf").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return asked.select("leaf", F.col("part").cast("long").alias("part"), "chunk").join(blocks.withColumn("part", F.col("part").cast("long")), ["leaf", "part"]).select("chunk", "block")
 
 
 def pack_chunks(queries: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
@@ -190,7 +207,7 @@ def pack_chunks(queries: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
 def visits(queries: DataFrame, tree: Tree, radius: Column, metric: str, p: float = 2.0, *, skip_own: bool = False) -> DataFrame:
     """One row per query and leaf within ``radius`` of it."""
     if tree.leaves == 1:
-        return queries.where(F.lit(not skip_own)).withColumn("leaf", F.lit(0))
+        return queries.where(F.lit(not skip_own)).withColumn("leaf", _only_leaf())
 
     @F.pandas_udf("array<int>")
     def leaves(v: pd.Series, r: pd.Series) -> pd.Series:
@@ -213,8 +230,8 @@ def unpack(cells) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 _PAIR = "v array<double>, label int, d double, nv array<double>, nlabel int, w bigint"
 
 
-def _compare(chunks: DataFrame, blocks: DataFrame, k: int, metric: str, p: float, exclude_self: bool) -> DataFrame:
-    """The k best points of each block for each query of the chunks that visit it."""
+def _compare(pairs: DataFrame, k: int, metric: str, p: float, exclude_self: bool) -> DataFrame:
+    """The k best points of each block for each query of the chunks that visit it; ``pairs`` as :func:`paired` makes them."""
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -243,7 +260,7 @@ def _compare(chunks: DataFrame, blocks: DataFrame, k: int, metric: str, p: float
                     "nlabel": xl[place], "w": weight[row, place],
                 })
 
-    return chunks.join(blocks, "leaf").select("chunk", "block").mapInPandas(best, _PAIR)
+    return pairs.mapInPandas(best, _PAIR)
 
 
 def _keep_k(found: DataFrame, k: int) -> DataFrame:
@@ -268,19 +285,19 @@ def nearest(
         raise ValueError(f"unknown metric {metric!r}; known: {', '.join(METRICS)}")
     points = cut(points)
     tree = tree_for(points)
-    blocks = pack_blocks(points, tree)
+    blocks, parts = pack_blocks(points, tree), block_parts(points, tree)
     own = pack_chunks(with_leaf(queries, tree))
     if tree.leaves == 1:
-        return _keep_k(_compare(own, blocks, k, metric, p, exclude_self), k)
+        return _keep_k(_compare(paired(own, blocks, parts), k, metric, p, exclude_self), k)
     blocks = cut(blocks)
-    first = cut(_keep_k(_compare(own, blocks, k, metric, p, exclude_self), k))
+    first = cut(_keep_k(_compare(paired(own, blocks, parts), k, metric, p, exclude_self), k))
     reached = first.groupBy("v", "label").agg(
         F.when(F.sum("take") >= k, F.max("d")).otherwise(F.lit(float("inf"))).alias("radius")
     )
     # A query whose own leaf held no other point has no row yet and must see every leaf.
     radius = queries.join(reached, ["v", "label"], "left").withColumn("radius", F.coalesce("radius", F.lit(float("inf"))))
     wider = cut(visits(radius, tree, F.col("radius"), metric, p, skip_own=True))
-    second = _compare(pack_chunks(wider, ["radius"]), blocks, k, metric, p, exclude_self)
+    second = _compare(paired(pack_chunks(wider, ["radius"]), blocks, parts), k, metric, p, exclude_self)
     again = first.select("v", "label", "d", "nv", "nlabel", F.col("take").alias("w"))
     return _keep_k(again.unionByName(second), k)
 

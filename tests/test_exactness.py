@@ -114,3 +114,23 @@ def test_broken_images_are_named(spark, tmp_path):
     with pytest.raises(Exception, match="broken.png"):
         read_image_grid(spark, str(tmp_path)).count()
     assert read_image_grid(spark, str(tmp_path), skip_broken=True).count() == 0
+
+
+@pytest.mark.parametrize("block", [2000, 150])
+def test_neighbours_are_paired_by_block(spark, monkeypatch, block):
+    """No product of chunks and blocks, be the points one leaf or many; neighbours are those of brute force."""
+    from tablemine.operators import neighbors
+
+    monkeypatch.setattr(neighbors, "BLOCK", block)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(900, 3))
+    points = neighbors.weighted_points(spark.createDataFrame(pd.DataFrame(x, columns=list("abc"))), F.array("a", "b", "c"))
+    got = neighbors.nearest(points.select("v", "label"), points, 4, exclude_self=True)
+    plan = plan_of(got)
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)) + np.diag(np.full(900, np.inf))
+    want = {tuple(v): sorted(r)[:4] for v, r in zip(x.tolist(), d.tolist())}
+    found: dict = {}
+    for r in got.collect():
+        found.setdefault(tuple(r.v), []).append(r.d)
+    assert {k: sorted(v) for k, v in found.items()} == {k: pytest.approx(v) for k, v in want.items()}
