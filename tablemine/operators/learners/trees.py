@@ -107,7 +107,8 @@ class AdaBoost(Learner):
     """Boosted trees: SAMME for classes (Hastie et al. 2009), AdaBoost.R2 with linear loss for numbers (Drucker 1997).
 
     Row weights are a column rewritten each round from the newest tree; every ``CUT_EVERY`` rounds the weighted table
-    is written to the shared checkpoint folder so the plan does not grow.
+    is written to the shared checkpoint folder so the plan does not grow; in between, a round's table is kept until the next
+    round has used it.
     """
 
     default_name = "AdaBoost"
@@ -120,7 +121,7 @@ class AdaBoost(Learner):
         design = Design.fit(df)
         data = cut(training_columns(df, target, classes, design).withColumn("weight", F.lit(1.0)))
         total = data.count()
-        stages = []
+        stages, last = [], None
         for i in range(self.n_estimators):
             if classes is not None:
                 tree = DecisionTreeClassifier(maxDepth=1, weightCol="weight", seed=self.seed + i).fit(data)
@@ -151,9 +152,13 @@ class AdaBoost(Learner):
                 break
             raw = scored.select("features", "label", (F.col("weight") * factor).alias("weight"))
             mass = raw.agg(F.sum("weight").alias("s")).first().s
-            data = raw.withColumn("weight", F.col("weight") * F.lit(total / mass))
-            if (i + 1) % CUT_EVERY == 0:
-                data = cut(data)
+            if last is not None:
+                last.unpersist()  # the round's own table is computed by now
+            last, data = data, raw.withColumn("weight", F.col("weight") * F.lit(total / mass))
+            data = cut(data) if (i + 1) % CUT_EVERY == 0 else data.persist()
+        for table in (last, data):
+            if table is not None:
+                table.unpersist()
         if not stages:
             stages.append((tree, 1.0))
         return BoostedModel(self.name, target, classes, design, stages)

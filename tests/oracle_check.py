@@ -10,6 +10,7 @@ import glob
 import math
 import os
 import sys
+import tempfile
 import time
 import traceback
 
@@ -69,7 +70,8 @@ def main() -> int:
     spark = (
         SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", "12g").config("spark.ui.showConsoleProgress", "false").getOrCreate()
+        .config("spark.driver.memory", "12g").config("spark.ui.showConsoleProgress", "false")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="oracle-")).getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(args.sf)
