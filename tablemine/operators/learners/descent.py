@@ -1,8 +1,9 @@
-"""Stochastic gradient learners: linear models and neural networks trained inside the partitions.
+"""Stochastic gradient learners: linear models and neural networks trained inside shards of the table.
 
-One Spark job per round: every task starts from the same parameters, takes minibatch steps over its own Arrow batches,
-and emits its parameters times its row count. Spark sums these per parameter, and the driver receives one number per
-parameter (Zinkevich et al. 2010). Rows are never shuffled or gathered.
+Equal rows are combined first; a hash of the row then deals it to a shard of about ``SHARD`` rows, so the shards, and with
+them the model, depend on the rows alone and not on how they are partitioned. One Spark job per round: from the same
+parameters every shard takes minibatch steps over its rows, and emits its parameters times its row count. Spark sums these
+per parameter, and the driver receives one number per parameter (Zinkevich et al. 2010).
 """
 
 from __future__ import annotations
@@ -21,32 +22,54 @@ from tablemine.operators.learners.base import (
 )
 from tablemine.operators.learners.linear import fit_cached
 
-#: Rows per gradient step, and passes over an Arrow batch in one round.
+#: Rows per gradient step, and passes over a shard in one round.
 MINIBATCH, PASSES = 128, 5
+#: Different rows in a shard on average.
+SHARD = 4096
 
 Params = list[np.ndarray]
 
 
+def sharded(data: DataFrame) -> DataFrame:
+    """cells: one array of (hash, x, y, w) per shard, in order; w counts the equal rows.
+
+    The hash is that of the raw features as floats, which the last digits of a mean or deviation can't change.
+    """
+    rows = data.groupBy("raw", "x", "y").agg(F.count(F.lit(1)).cast("double").alias("w"))
+    rows = rows.withColumn("h", F.xxhash64(F.col("raw").cast("array<float>"), "y"))
+    shards = F.lit(max(1, -(-rows.count() // SHARD)))
+    cells = F.sort_array(F.collect_list(F.struct("h", "x", "y", "w")))
+    return rows.groupBy(F.pmod("h", shards).alias("shard")).agg(cells.alias("cells")).select("cells")
+
+
 def average_rounds(
-    data: DataFrame, start: Params, train: Callable[[Params, np.ndarray, np.ndarray, int], tuple[Params, float]], *, rounds: int, tol: float
+    data: DataFrame, start: Params, train: Callable[[Params, np.ndarray, np.ndarray, np.ndarray, int], tuple[Params, float]], *, rounds: int, tol: float
 ) -> Params:
-    """Repeat rounds over ``data(x array, y double)`` until the mean loss improves by less than ``tol`` three times.
+    """Repeat rounds over ``data(raw, x array, y double)`` until the mean loss improves by less than ``tol`` three times.
 
-    ``train(params, x, y, round)`` returns the parameters after one Arrow batch and the loss summed over its rows.
+    ``train(params, x, y, w, round)`` returns the parameters after one shard and the loss summed over its rows.
     """
+    shards = sharded(data).persist()
+    try:
+        return _rounds(shards, start, train, rounds, tol)
+    finally:
+        shards.unpersist()
+
+
+def _rounds(data: DataFrame, start: Params, train, rounds: int, tol: float) -> Params:
     shapes = [p.shape for p in start]
     params, best, stale = [p.copy() for p in start], np.inf, 0
     for r in range(rounds):
 
         def local(batches: Iterator[pd.DataFrame], now=params, r=r) -> Iterator[pd.DataFrame]:
-            mine, rows, loss = [p.copy() for p in now], 0, 0.0
+            flat = 0.0
             for batch in batches:
-                if len(batch):
-                    mine, cost = train(mine, np.stack(batch["x"].to_numpy()), batch["y"].to_numpy(), r)
-                    rows, loss = rows + len(batch), loss + cost
-            if rows:
-                flat = np.concatenate([*(p.ravel() for p in mine), [loss / rows, 1.0]])
-                yield pd.DataFrame({"i": np.arange(len(flat)), "s": flat * rows})
+                for cells in batch["cells"]:
+                    x, y, w = (np.array([c[k] for c in cells], float) for k in ("x", "y", "w"))
+                    mine, loss = train([p.copy() for p in now], x, y, w, r)
+                    flat = flat + np.concatenate([*(p.ravel() * w.sum() for p in mine), [loss, w.sum()]])
+            if np.ndim(flat):
+                yield pd.DataFrame({"i": np.arange(len(flat)), "s": flat})
 
         summed = data.mapInPandas(local, "i int, s double").groupBy("i").agg(F.sum("s").alias("s")).toPandas()
         flat = summed.sort_values("i")["s"].to_numpy()
@@ -66,13 +89,13 @@ def average_rounds(
 
 
 def standardised(data: DataFrame, width: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:
-    """Arrays of standardised features with label y; mean and sd per feature from one aggregate."""
-    arrays = data.select(vector_to_array("features").alias("x"), F.col("label").alias("y"))
-    r = arrays.agg(*[f(F.get("x", F.lit(i))) for i in range(width) for f in (F.avg, F.stddev_pop)]).first()
+    """Arrays of features ``raw`` and standardised ``x`` with label y; mean and sd per feature from one aggregate."""
+    arrays = data.select(vector_to_array("features").alias("raw"), F.col("label").alias("y"))
+    r = arrays.agg(*[f(F.get("raw", F.lit(i))) for i in range(width) for f in (F.avg, F.stddev_pop)]).first()
     mean, sd = np.array(r[0::2], dtype=float), np.array(r[1::2], dtype=float)
     sd = np.where(sd > 0, sd, 1.0)
-    scaled = F.array(*[(F.get("x", F.lit(i)) - F.lit(float(mean[i]))) / F.lit(float(sd[i])) for i in range(width)])
-    return arrays.select(scaled.alias("x"), "y"), mean, sd
+    scaled = F.array(*[(F.get("raw", F.lit(i)) - F.lit(float(mean[i]))) / F.lit(float(sd[i])) for i in range(width)])
+    return arrays.select("raw", scaled.alias("x"), "y"), mean, sd
 
 
 def _batches(n: int, r: int) -> list[np.ndarray]:
@@ -119,7 +142,7 @@ def _margin_gradient(loss: str, z: np.ndarray, y: np.ndarray) -> tuple[np.ndarra
 
 
 class Sgd(Learner):
-    """Linear model by averaged stochastic gradient descent, one score per class (one against the rest) or a number.
+    """Linear model by averaged stochastic gradient descent over shards, one score per class (one against the rest) or a number.
 
     Losses hinge, log_loss, modified_huber, squared_error; penalties l2, l1, elasticnet (half and half) of strength
     ``alpha``. Features are standardised inside. ``max_iter`` counts passes; a round makes a few of them.
@@ -144,26 +167,23 @@ class Sgd(Learner):
         l2 = self.alpha - l1
         signs = classes is not None
 
-        def train(params: Params, x: np.ndarray, y: np.ndarray, r: int) -> tuple[Params, float]:
+        def train(params: Params, x: np.ndarray, y: np.ndarray, count: np.ndarray, r: int) -> tuple[Params, float]:
             w, b = params
             goal = np.where(y[:, None] == np.arange(outputs), 1.0, -1.0) if signs else ((y - shift) / spread)[:, None]
             step = 0.1 / (1 + 0.2 * r)
             for turn in range(PASSES):
                 for rows in _batches(len(x), r * PASSES + turn):
                     _, g = _margin_gradient(loss, x[rows] @ w + b, goal[rows])
-                    w = w - step * (x[rows].T @ g / len(rows) + l2 * w)
+                    g = g * (count[rows] / count[rows].sum())[:, None]
+                    w = w - step * (x[rows].T @ g + l2 * w)
                     w = np.sign(w) * np.maximum(np.abs(w) - step * l1, 0.0)
-                    b = b - step * g.mean(axis=0)
+                    b = b - step * g.sum(axis=0)
             value, _ = _margin_gradient(loss, x @ w + b, goal)
-            return [w, b], float(value.sum())
-
-        data = data.persist()
-        try:
-            w, b = average_rounds(
-                data, [np.zeros((width, outputs)), np.zeros(outputs)], train, rounds=max(1, self.max_iter // PASSES), tol=self.tol
-            )
-        finally:
-            data.unpersist()
+            return [w, b], float((value * count[:, None]).sum())
+
+        w, b = average_rounds(
+            data, [np.zeros((width, outputs)), np.zeros(outputs)], train, rounds=max(1, self.max_iter // PASSES), tol=self.tol
+        )
         w = w * spread / sd[:, None]
         b = b * spread + shift - mean @ w
         return LinearScores(self.name, target, classes, design, w, b)
@@ -217,7 +237,7 @@ class NetworkModel(Model):
 class NeuralNetwork(Learner):
     """Feed-forward network. ``hidden_layer_sizes`` is text (``"100"``, ``"100,50"``) or numbers.
 
-    Classes with logistic activation and lbfgs use Spark's perceptron; all else trains inside the partitions with adam
+    Classes with logistic activation and lbfgs use Spark's perceptron; all else trains inside the shards with adam
     or plain sgd steps (lbfgs there means adam). Features are standardised.
     """
 
@@ -257,7 +277,7 @@ class NeuralNetwork(Learner):
             start += [rng.uniform(-bound, bound, (a, b)), np.zeros(b)]
         activation, alpha, adam, many = self.activation, self.alpha, self.solver != "sgd", classes is not None
 
-        def train(params: Params, x: np.ndarray, y: np.ndarray, r: int) -> tuple[Params, float]:
+        def train(params: Params, x: np.ndarray, y: np.ndarray, count: np.ndarray, r: int) -> tuple[Params, float]:
             derivative = _ACTIVATIONS[activation][1]
             goal = np.eye(outputs)[y.astype(int)] if many else ((y - shift) / spread)[:, None]
             first, second, t = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
@@ -265,10 +285,11 @@ class NeuralNetwork(Learner):
             for turn in range(PASSES):
                 for rows in _batches(len(x), r * PASSES + turn):
                     layers = _forward(params, x[rows], activation)
-                    error = ((_softmax(layers[-1]) if many else layers[-1]) - goal[rows]) / len(rows)
+                    share = (count[rows] / count[rows].sum())[:, None]
+                    error = ((_softmax(layers[-1]) if many else layers[-1]) - goal[rows]) * share
                     grads: Params = [np.empty(0)] * len(params)
                     for i in range(len(params) - 2, -1, -2):
-                        grads[i] = layers[i // 2].T @ error + alpha / len(x) * params[i]
+                        grads[i] = layers[i // 2].T @ error + alpha / count.sum() * params[i]
                         grads[i + 1] = error.sum(axis=0)
                         if i:
                             error = (error @ params[i].T) * derivative(layers[i // 2])
@@ -280,16 +301,12 @@ class NeuralNetwork(Learner):
                     params = [p - rate * g for p, g in zip(params, grads)]
             z = _forward(params, x, activation)[-1]
             if many:
-                cost = -np.log(np.maximum(_softmax(z)[np.arange(len(y)), y.astype(int)], 1e-15)).sum()
+                cost = -(count * np.log(np.maximum(_softmax(z)[np.arange(len(y)), y.astype(int)], 1e-15))).sum()
             else:
-                cost = 0.5 * ((z - goal) ** 2).sum()
+                cost = 0.5 * (count[:, None] * (z - goal) ** 2).sum()
             return params, float(cost)
 
-        data = data.persist()
-        try:
-            params = average_rounds(data, start, train, rounds=max(1, self.max_iter // PASSES), tol=self.tol)
-        finally:
-            data.unpersist()
+        params = average_rounds(data, start, train, rounds=max(1, self.max_iter // PASSES), tol=self.tol)
         return NetworkModel(self.name, target, classes, design, params, mean, sd, activation, shift, spread)
 
 

@@ -134,3 +134,24 @@ def test_neighbours_are_paired_by_block(spark, monkeypatch, block):
     for r in got.collect():
         found.setdefault(tuple(r.v), []).append(r.d)
     assert {k: sorted(v) for k, v in found.items()} == {k: pytest.approx(v) for k, v in want.items()}
+
+
+@pytest.mark.parametrize("kind", ["sgd", "network"])
+def test_gradient_learners_do_not_depend_on_partitions(spark, monkeypatch, kind):
+    from tablemine.operators.learners import NeuralNetwork, Sgd, descent
+
+    monkeypatch.setattr(descent, "SHARD", 300)
+    rng = np.random.default_rng(6)
+    pdf = pd.DataFrame(rng.normal(size=(1500, 3)).round(2), columns=list("abc")).assign(id=range(1500))
+    pdf["y"] = np.where(pdf["a"] - pdf["b"] + rng.normal(0, 0.2, 1500) > 0, "p", "q")
+    pdf.loc[:500, ["a", "b", "c", "y"]] = [1.0, 0.0, 0.0, "p"]  # a third of the rows are alike
+    learner = Sgd(loss="log_loss", max_iter=30) if kind == "sgd" else NeuralNetwork(hidden_layer_sizes="8", max_iter=25)
+    found = []
+    for parts in (2, 8, 32):
+        df = set_roles(spark.createDataFrame(pdf).repartition(parts, "id"), discrete=["y"], target="y", metas=["id"])
+        out = learner.fit(df).transform(df).select("id", "prediction", F.expr("probabilities[0]").alias("p")).toPandas().sort_values("id")
+        found.append(out)
+    for other in found[1:]:
+        assert (other["prediction"].to_numpy() == found[0]["prediction"].to_numpy()).all()
+        assert other["p"].to_numpy() == pytest.approx(found[0]["p"].to_numpy(), abs=1e-6)
+    assert (found[0]["prediction"].to_numpy() == pdf["y"].to_numpy()).mean() > 0.9
