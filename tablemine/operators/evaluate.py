@@ -346,6 +346,17 @@ def roc(results: DataFrame, *, points: int = 200) -> DataFrame:
     More than ``points`` points are thinned to evenly spaced positions. Without positives or negatives the rate stays
     a raw count. Running counts come from the bucketed order, one bucket at a time.
     """
+    whole = _whole_curve(results)
+    # Position i of the thinned curve is floor(i * (size - 1) / (points - 1)); keep a point if some i lands on it.
+    last, at = F.col("size") - 1, F.col("at")
+    i = F.ceil(at * (points - 1) / last)
+    lands = F.floor(i * last / (points - 1)) == at
+    kept = whole.withColumn("i", F.when(F.col("size") > points, i).otherwise(at)).where((F.col("size") <= points) | lands)
+    return kept.select("learner", "cls", F.col("i").cast("int").alias("i"), "fpr", "tpr")
+
+
+def _whole_curve(results: DataFrame) -> DataFrame:
+    """learner, cls, at, size, fpr, tpr: every point of every curve."""
     down = class_scores(results).withColumn("down", -F.col("score"))
     run = cumulative(
         down, "down", by=["learner", "cls"],
@@ -360,23 +371,19 @@ def roc(results: DataFrame, *, points: int = 200) -> DataFrame:
     start = run.groupBy("learner", "cls").agg(F.max("one_total").alias("t")).select(
         "learner", "cls", F.lit(0).cast("long").alias("at"), (F.col("t") + 1).alias("size"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr")
     )
-    whole = curve.unionByName(start)
-    # Position i of the thinned curve is floor(i * (size - 1) / (points - 1)); keep a point if some i lands on it.
-    last, at = F.col("size") - 1, F.col("at")
-    i = F.ceil(at * (points - 1) / last)
-    lands = F.floor(i * last / (points - 1)) == at
-    kept = whole.withColumn("i", F.when(F.col("size") > points, i).otherwise(at)).where((F.col("size") <= points) | lands)
-    return kept.select("learner", "cls", F.col("i").cast("int").alias("i"), "fpr", "tpr")
+    return curve.unionByName(start)
 
 
-def roc_macro(results: DataFrame, *, points: int = 200) -> DataFrame:
+def roc_macro(results: DataFrame) -> DataFrame:
     """learner, fpr, tpr: the class curves read off at a common grid of false-positive rates, then averaged.
 
-    Each curve (at most ``points`` points) is one array; between its points the curve is a straight line.
+    Between two points a curve is a straight line. Of the whole curve only the first and the last point between two grid
+    values can be neighbours of one, so these are kept, and a curve is one array of them.
     """
-    curve = roc(results, points=points).groupBy("learner", "cls").agg(
-        F.array_sort(F.collect_list(F.struct("fpr", "tpr"))).alias("c")
-    )
+    cell = F.ceil(F.col("fpr") * MACRO_GRID - 1e-9)
+    ends = F.array(F.min(F.struct("fpr", "tpr")), F.max(F.struct("fpr", "tpr")))
+    cells = _whole_curve(results).groupBy("learner", "cls", cell.alias("cell")).agg(ends.alias("e"))
+    curve = cells.groupBy("learner", "cls").agg(F.array_sort(F.flatten(F.collect_list("e"))).alias("c"))
     grid = curve.select("learner", "c", F.explode(F.transform(F.sequence(F.lit(0), F.lit(MACRO_GRID)), lambda g: g / MACRO_GRID)).alias("fpr"))
     left = F.element_at(F.filter("c", lambda x: x["fpr"] <= F.col("fpr")), -1)
     right = F.get(F.filter("c", lambda x: x["fpr"] > F.col("fpr")), F.lit(0))

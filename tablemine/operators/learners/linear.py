@@ -91,16 +91,20 @@ class LinearRegression(Learner):
 
 def coefficients(model: Model) -> DataFrame:
     """name, then one column per class (two classes: only the second; regression: ``coef``): first the intercept,
-    then one row per feature. The size is that of the model."""
-    inner, spark = model.inner, model.spark
+    then one row per feature. The size is that of the model. Least squares, logistic regression, linear SVM, SGD."""
+    spark = model.spark
     names = ["Intercept", *model.design.feature_names]
-    if model.classes is None:
-        columns, table = ["coef"], [[inner.intercept, *inner.coefficients.toArray()]]
-    elif len(model.classes) == 2:
-        columns, table = [model.classes[1]], [[inner.intercept, *inner.coefficients.toArray()]]
+    columns = ["coef"] if model.classes is None else [model.classes[1]] if len(model.classes) == 2 else model.classes
+    if hasattr(model, "weights"):  # one score per class, or one number
+        table = [[b, *row] for b, row in zip(model.bias, model.weights.T)][-len(columns):]
+    elif isinstance(model, SvmModel):
+        if not model.linear:
+            raise ValueError("a support vector machine has coefficients only with a linear kernel")
+        table = [[p.intercept, *p.coefficients.toArray()] for p in model.parts]
+    elif len(columns) == 1:
+        table = [[model.inner.intercept, *model.inner.coefficients.toArray()]]
     else:
-        columns = model.classes
-        table = [[b, *row] for b, row in zip(inner.interceptVector.toArray(), inner.coefficientMatrix.toArray())]
+        table = [[b, *row] for b, row in zip(model.inner.interceptVector.toArray(), model.inner.coefficientMatrix.toArray())]
     rows = [(n, *[float(t[i]) for t in table]) for i, n in enumerate(names)]
     schema = T.StructType([T.StructField("name", T.StringType())] + [T.StructField(c, T.DoubleType()) for c in columns])
     out = spark.createDataFrame(rows, schema)
@@ -137,7 +141,7 @@ class Svm(Learner):
         n = df.count()
         svc = LinearSVC(maxIter=self.max_iter, regParam=1 / (self.C * n), standardization=False, tol=1e-6)
         inner = fit_cached(svc if len(classes) == 2 else OneVsRest(classifier=svc, parallelism=4), data)
-        return SvmModel(self.name, target, classes, design, inner, lift)
+        return SvmModel(self.name, target, classes, design, inner, lift, self.kernel == "linear")
 
     def _lift(self, width: int):
         if self.kernel == "linear":
@@ -162,9 +166,9 @@ class Svm(Learner):
 class SvmModel(Model):
     """Class with the largest margin; the share of the vote is 1 for it and 0 for the others."""
 
-    def __init__(self, name, target, classes, design, inner, lift):
+    def __init__(self, name, target, classes, design, inner, lift, linear=False):
         super().__init__(name, target, classes)
-        self.design, self.lift = design, lift
+        self.design, self.lift, self.linear = design, lift, linear
         self.parts = inner.models if hasattr(inner, "models") else [inner]
 
     def score(self, df: DataFrame) -> DataFrame:

@@ -207,7 +207,7 @@ def _roc(spark, sf):
 
 @query("roc_macro", f"""
 WITH {_CURVE},
-k AS (SELECT learner, cls, fpr, tpr, lead(fpr) OVER o AS nf, lead(tpr) OVER o AS nt FROM r WINDOW o AS (PARTITION BY learner, cls ORDER BY fpr, tpr)),
+k AS (SELECT learner, cls, fpr, tpr, lead(fpr) OVER o AS nf, lead(tpr) OVER o AS nt FROM z WINDOW o AS (PARTITION BY learner, cls ORDER BY fpr, tpr)),
 m AS (SELECT learner, cls, q.g / 100 AS x, tpr, nt, fpr, nf FROM k, (SELECT unnest(range(101)) AS g) q
   WHERE fpr <= q.g / 100 AND (nf > q.g / 100 OR nf IS NULL))
 SELECT learner, x AS fpr, round(avg(CASE WHEN nf IS NULL THEN tpr ELSE tpr + (nt - tpr) / (nf - fpr) * (x - fpr) END), 6) AS tpr

@@ -63,14 +63,14 @@ def save_table(df: DataFrame, path: str, mode: str = "overwrite") -> DataFrame:
     return df
 
 
-def to_table(df: DataFrame, schema: Iterable[ColumnSpec] | None = None) -> DataFrame:
+def to_table(df: DataFrame, schema: Iterable[ColumnSpec] | None = None, *, discrete_cap: int = DISCRETE_CAP) -> DataFrame:
     """Apply an explicit schema (cast, map, assign roles) or infer one.
 
     Explicit: numbers that do not parse, times that do not parse and values outside the declared list become NULL.
-    Inferred: every column is an attribute, except text with more than ``DISCRETE_CAP`` distinct values, a meta.
+    Inferred: every column is an attribute, except text with more than ``discrete_cap`` distinct values, a meta.
     """
     if schema is None:
-        return _inferred(df)
+        return _inferred(df, discrete_cap)
     out = []
     for s in schema:
         if s.var_type == STRING and s.role != META:
@@ -107,18 +107,18 @@ def _time(c, data_type: T.DataType):
     return c.cast("timestamp")
 
 
-def _inferred(df: DataFrame) -> DataFrame:
+def _inferred(df: DataFrame, discrete_cap: int) -> DataFrame:
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     values: dict[str, list[str]] = {}
     if texts:
         # One sketch pass settles the clearly large columns; the exact count then shuffles a few values per task.
         rough = df.agg(*[F.approx_count_distinct(col(n), 0.02).alias(f"n{i}") for i, n in enumerate(texts)]).first()
-        near = [n for i, n in enumerate(texts) if rough[f"n{i}"] <= 2 * DISCRETE_CAP]
+        near = [n for i, n in enumerate(texts) if rough[f"n{i}"] <= 2 * discrete_cap]
         pairs = F.array(*[F.struct(F.lit(n).alias("c"), col(n).alias("v")) for n in near])
         found = df.select(F.inline(pairs)).where("v is not null").distinct().collect() if near else []
         for n in near:
             seen = sorted(r.v for r in found if r.c == n)
-            if len(seen) <= DISCRETE_CAP:
+            if len(seen) <= discrete_cap:
                 values[n] = seen
     specs = []
     for f in df.schema.fields:

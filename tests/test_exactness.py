@@ -155,3 +155,13 @@ def test_gradient_learners_do_not_depend_on_partitions(spark, monkeypatch, kind)
         assert (other["prediction"].to_numpy() == found[0]["prediction"].to_numpy()).all()
         assert other["p"].to_numpy() == pytest.approx(found[0]["p"].to_numpy(), abs=1e-6)
     assert (found[0]["prediction"].to_numpy() == pdf["y"].to_numpy()).mean() > 0.9
+
+
+def test_coefficients_of_every_linear_model(flowers):
+    from tablemine.operators.learners import Sgd, Svm, coefficients
+
+    for learner in (Svm(kernel="linear", max_iter=20), Sgd(loss="log_loss", max_iter=20)):
+        got = {r["name"]: r["q"] for r in coefficients(learner.fit(flowers)).collect()}
+        assert set(got) == {"Intercept", "a", "b"} and got["a"] < 0 and got["b"] < 0
+    with pytest.raises(ValueError, match="linear kernel"):
+        coefficients(Svm(kernel="rbf", max_iter=2, components=8).fit(flowers))
