@@ -6,7 +6,7 @@ import importlib
 
 from tablemine.plans.registry import QUERIES, SQL
 
-MODULES = ("tables", "samples", "preparation", "relations", "patterns", "models", "evaluation", "signals", "projections")
+MODULES = ("tables", "samples", "preparation", "relations", "patterns", "models", "evaluation", "signals", "projections", "planted")
 
 
 def _load() -> None:
