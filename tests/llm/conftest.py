@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from made_texts import prose
 from pyspark.sql import types as T
 
 SCHEMA = T.StructType([
@@ -12,12 +13,6 @@ SCHEMA = T.StructType([
     T.StructField("row", T.StringType()), T.StructField("h", T.StringType()), T.StructField("k", T.LongType()),
 ])
 
-VOCABULARY = [a + b for a in ("ti", "on", "re", "en", "ou", "la", "ché", "ß", "Th", "IN") for b in ("", "st", "nd", "er", "ing", "au", "o")]
-
-
-def prose(rng, n):
-    return "".join(rng.choice(VOCABULARY) + rng.choice([" ", " ", " ", " ", ", ", ".\n", "  "]) for _ in range(n))
-
 
 def awkward_rows():
     rng = random.Random(7)

@@ -6,7 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from conftest import prose
+from made_texts import prose
 
 from tablemine.llm import fingerprints, jaccard_join, shingles
 
