@@ -19,9 +19,10 @@ from tablemine.llm.common import written
 from tablemine.llm.shingles import ODD, stirred, word_hashes, words_in
 
 #: Characters in a block, the unit that asks for totals; a longer text is a block of its own.
-BLOCK_CHARS = 10_000_000
-#: Bits of an n-gram's key: 2^48 keys, so that n-grams share one about never.
-KEY_BITS = 48
+BLOCK_CHARS = 8_000_000
+#: Bits of a word's key; how many more bits than the corpus has words the keys of longer n-grams have, so that at any size
+#: one n-gram in 16,384 at most shares its key with another; and their least bits.
+KEY_BITS, SPARE_BITS, LEAST_BITS = 48, 14, 40
 #: Weight of the shorter context's distribution, in words, for contexts of 1, 2, ... words.
 WEIGHTS = (500.0, 2.0, 2.0, 2.0)
 #: Training places below which a context isn't looked at, and what its divergence (in nats, over all places) must exceed.
@@ -34,14 +35,20 @@ _END = np.uint64(0x5851F42D4C957F2D)
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted keys as steps, 4 bytes each if they fit."""
-    steps = np.diff(keys, prepend=np.uint64(0))
-    small = not len(steps) or steps.max() < 1 << 32
-    return (b"\x04" if small else b"\x08") + steps.astype("<u4" if small else "<u8").tobytes()
+    """Sorted keys: the first, then the steps in as few of 3, 4 or 8 bytes as hold them all."""
+    steps = np.diff(keys)
+    most = int(steps.max()) if len(steps) else 0
+    width = 3 if most < 1 << 24 else 4 if most < 1 << 32 else 8
+    return bytes([width]) + keys[:1].astype("<u8").tobytes() + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
 def unpack_keys(data: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(data, "<u4" if data[0] == 4 else "<u8", offset=1).astype(np.uint64), dtype=np.uint64)
+    if len(data) == 1:
+        return np.empty(0, np.uint64)
+    width = data[0]
+    steps = np.zeros(((len(data) - 9) // width, 8), np.uint8)
+    steps[:, :width] = np.frombuffer(data, np.uint8, offset=9).reshape(-1, width)
+    return np.cumsum(np.concatenate([np.frombuffer(data, "<u8", 1, 1), steps.view("<u8").ravel()]), dtype=np.uint64)
 
 
 def pack_counts(n: np.ndarray) -> bytes:
@@ -55,14 +62,19 @@ def unpack_counts(data: bytes, size: int) -> np.ndarray:
     return n
 
 
+def pack_gains(gain: np.ndarray) -> bytes:
+    """Two bytes each, 11 bits of precision; beyond 60,000 the sum is decided either way."""
+    return np.clip(gain, -60_000, 60_000).astype("<f2").tobytes()
+
+
 # --- one block --------------------------------------------------------------------------------------------------------
 
 
 class Block:
     """The words of a block's texts as a stream with ends, and the keys of its n-grams."""
 
-    def __init__(self, words: bytes, stream: bytes, lengths: bytes, held: bytes, depth: int):
-        self.depth = depth
+    def __init__(self, words: bytes, stream: bytes, lengths: bytes, held: bytes, depth: int, bits: int):
+        self.depth, self.bits = depth, bits
         hashes = np.append(np.frombuffer(words, "<u8"), _END)
         self.symbols = hashes[np.frombuffer(stream, "<i4")]
         self.lengths = np.frombuffer(lengths, "<i4").astype(np.int64)
@@ -82,7 +94,7 @@ class Block:
                 before = np.where(self.place == 0, _END, before)
             g = stirred(before * ODD[1] + self.symbols * ODD[0] + np.uint64(n))
             valid = self.place >= n - 2
-            yield n, g >> np.uint64(64 - KEY_BITS), valid
+            yield n, g >> np.uint64(64 - self.bits), valid
 
     def asked(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(order, distinct keys in order, how often each occurs in training texts)."""
@@ -94,34 +106,33 @@ class Block:
 
         ``totals``: for each order, the training counts of the block's distinct keys.
         """
-        count: dict[int, np.ndarray] = {}
-        inverse: dict[int, tuple] = {}
+        own = self.train
+        out: dict = {"levels": []}
+        end = -1
         for n, keys, valid in self.orders():
             distinct, where = np.unique(keys[valid], return_inverse=True)
             c = np.zeros(len(keys))
             c[valid] = totals[n][where]
-            at = np.full(len(keys), -1, np.int64)
+            at = np.full(len(keys), -1, np.int32)
             at[valid] = where
-            count[n], inverse[n] = c, (distinct, at)
-        own = self.train.astype(float)
-        base = (count[1] + 1) / (n_all + n_distinct + 1)
-        out = {"base": base, "known": count[1] > 0, "levels": []}
-        shorter, shorter_less = base, np.where(self.train, np.maximum(count[1], 1) / (n_all + n_distinct), base)
-        end = int(np.searchsorted(inverse[1][0], _END >> np.uint64(64 - KEY_BITS)))
-        for n in range(2, self.depth + 2):
-            c, valid = count[n], self.place >= n - 2
-            seen = np.r_[0.0, count[n - 1][:-1]]
-            context = np.r_[-1, inverse[n - 1][1][:-1]]
-            if n == 2:
-                first = self.place == 0
-                seen, context = np.where(first, totals[1][end], seen), np.where(first, end, context)
-            k = WEIGHTS[n - 2]
-            p = (c + k * shorter) / (seen + k)
-            less = np.where(self.train, (np.maximum(c, 1) - 1 + k * shorter_less) / (np.maximum(seen, 1) - 1 + k), p)
-            usable = valid & (seen >= LEAST_COUNT)
-            gain = np.log(less / shorter_less) * own
-            out["levels"].append((p, usable, context, inverse[n - 1][0], gain))
-            shorter, shorter_less = np.where(valid, p, shorter), np.where(valid, less, shorter_less)
+            del where
+            if n == 1:
+                end = int(np.searchsorted(distinct, _END >> np.uint64(64 - KEY_BITS)))
+                out |= {"base": (c + 1) / (n_all + n_distinct + 1), "known": c > 0}
+                shorter, shorter_less = out["base"], np.where(own, np.maximum(c, 1) / (n_all + n_distinct), out["base"])
+            else:
+                # the context of a place is the n-gram, one word shorter, that ends at the place before
+                seen, context = np.r_[0.0, before[:-1]], np.r_[np.int32(-1), before_at[:-1]]
+                if n == 2:
+                    first = self.place == 0
+                    seen[first], context[first] = totals[1][end], end
+                k = WEIGHTS[n - 2]
+                p = (c + k * shorter) / (seen + k)
+                less = np.where(own, (np.maximum(c, 1) - 1 + k * shorter_less) / (np.maximum(seen, 1) - 1 + k), p)
+                gain = np.where(own, np.log(less / shorter_less), 0.0).astype(np.float32)
+                out["levels"].append((p, valid & (seen >= LEAST_COUNT), context, before_keys, gain))
+                shorter, shorter_less = np.where(valid, p, shorter), np.where(valid, less, shorter_less)
+            before, before_at, before_keys = c, at, distinct
         return out
 
 
@@ -132,9 +143,9 @@ def _tally(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return k[start], np.add.reduceat((both & np.uint64(1)).astype(np.int64), start) if len(k) else np.empty(0, np.int64)
 
 
-def _cut(keys: np.ndarray, part_bits: int) -> np.ndarray:
-    """Where each part's keys begin and end in sorted ``keys``."""
-    edges = np.arange((1 << part_bits) + 1, dtype=np.uint64) << np.uint64(KEY_BITS - part_bits)
+def _cut(keys: np.ndarray, part_bits: int, bits: int) -> np.ndarray:
+    """Where each part's keys begin and end in sorted ``keys`` of ``bits`` bits."""
+    edges = np.arange((1 << part_bits) + 1, dtype=np.uint64) << np.uint64(bits - part_bits)
     return np.searchsorted(keys, edges)
 
 
@@ -167,7 +178,8 @@ def blocks(df: DataFrame, held: Column, *, text: str = "text", key: str = "doc_i
             stream[np.arange(len(index)) + np.repeat(np.arange(len(n)), n)] = index
             data = [word_hashes(words).astype("<u8").tobytes(), stream.tobytes(), (n + 1).astype("<i4").tobytes(), np.array(out, np.uint8).tobytes()]
             columns = [pa.array([task << 32 | number], pa.int64()), pa.array([ids], pa.list_(kind_of)), *[pa.array([x], pa.binary()) for x in data]]
-            return pa.RecordBatch.from_arrays(columns, ["block", "ids", "words", "stream", "lengths", "held"])
+            columns.append(pa.array([len(stream)], pa.int64()))
+            return pa.RecordBatch.from_arrays(columns, ["block", "ids", "words", "stream", "lengths", "held", "size"])
 
         for b in parts:
             kind_of = b.schema.field("doc_id").type
@@ -182,11 +194,11 @@ def blocks(df: DataFrame, held: Column, *, text: str = "text", key: str = "doc_i
         if ids:
             yield block()
 
-    return rows.mapInArrow(each, f"block long, ids array<{kind}>, words binary, stream binary, lengths binary, held binary")
+    return rows.mapInArrow(each, f"block long, ids array<{kind}>, words binary, stream binary, lengths binary, held binary, size long")
 
 
-def _opened(table: pa.Table | pa.RecordBatch, row: int, depth: int) -> Block:
-    return Block(*[table.column(c)[row].as_py() for c in ("words", "stream", "lengths", "held")], depth)
+def _opened(table: pa.Table | pa.RecordBatch, row: int, depth: int, bits: int) -> Block:
+    return Block(*[table.column(c)[row].as_py() for c in ("words", "stream", "lengths", "held")], depth, bits)
 
 
 _ANSWER = "block long, kind int, part int, data binary, n long, v long"
@@ -197,7 +209,7 @@ def _answers(rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["block", "kind", "part", "data", "n", "v"])
 
 
-def counted(held: DataFrame, depth: int, part_bits: int) -> DataFrame:
+def counted(held: DataFrame, depth: int, part_bits: int, bits: int) -> DataFrame:
     """Answers to every block: training counts of its n-grams, kind = order, n of them. The rows of block -1 hold the number of
     all (n) and of distinct (v) training words."""
 
@@ -205,8 +217,8 @@ def counted(held: DataFrame, depth: int, part_bits: int) -> DataFrame:
         for b in parts:
             for r in range(b.num_rows):
                 name = b.column("block")[r].as_py()
-                for order, keys, n in _opened(b, r, depth).asked():
-                    at = _cut(keys, part_bits)
+                for order, keys, n in _opened(b, r, depth, bits).asked():
+                    at = _cut(keys, part_bits, KEY_BITS if order == 1 else bits)
                     rows = [(name, order, p, pack_keys(keys[i:j]), pack_counts(n[i:j])) for p, (i, j) in enumerate(zip(at[:-1], at[1:])) if j > i]
                     types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
                     yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], t) for k, t in enumerate(types)], ["block", "kind", "part", "keys", "counts"])
@@ -249,29 +261,31 @@ def score(df: DataFrame, held: Column, *, text: str = "text", key: str = "doc_id
     mixes its own counts with the distribution of the shorter one, and a place is scored by its longest kept context. NULL
     and empty texts are the end alone; repeated rows count as often as they occur; other columns are ignored.
     """
-    texts = written(blocks(df, held, text=text, key=key), "lm-blocks")
-    part_bits = max(3, int(texts.count()).bit_length())
-    found = written(counted(texts, depth, part_bits), "lm-counts")
+    texts = written(blocks(df, held, text=text, key=key), "lm-blocks", compression="zstd")
+    number, size = texts.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    part_bits = max(3, int(number).bit_length())
+    bits = min(64, max(LEAST_BITS, int(size).bit_length() + SPARE_BITS))
+    found = written(counted(texts, depth, part_bits, bits), "lm-counts", compression="zstd")
     n_all, n_distinct = found.where("block < 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     found = found.where("block >= 0")
     kind = texts.schema["ids"].dataType.elementType.simpleString()
 
     def seen(left: pa.Table, right: pa.Table) -> tuple[Block, dict]:
-        block = _opened(left, 0, depth)
+        block = _opened(left, 0, depth, bits)
         return block, block.evidence({n: _totals(right, n) for n in range(1, depth + 2)}, n_all, n_distinct)
 
     def ask(left: pa.Table, right: pa.Table) -> pa.Table:
         name, out = left.column("block")[0].as_py(), []
         for level, x in enumerate(seen(left, right)[1]["levels"], 1):
             keys, gains = _contexts(x)
-            at = _cut(keys, part_bits)
-            out += [(name, level, p, pack_keys(keys[i:j]), gains[i:j].astype("<f4").tobytes()) for p, (i, j) in enumerate(zip(at[:-1], at[1:])) if j > i]
+            at = _cut(keys, part_bits, KEY_BITS if level == 1 else bits)
+            out += [(name, level, p, pack_keys(keys[i:j]), pack_gains(gains[i:j])) for p, (i, j) in enumerate(zip(at[:-1], at[1:])) if j > i]
         types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
         return pa.table([pa.array([x[k] for x in out], t) for k, t in enumerate(types)], ["block", "kind", "part", "keys", "gains"])
 
     def decide(group: pa.Table) -> pa.Table:
         keys = [unpack_keys(x.as_py()) for x in group.column("keys")]
-        gains = np.concatenate([np.frombuffer(x.as_py(), "<f4") for x in group.column("gains")])
+        gains = np.concatenate([np.frombuffer(x.as_py(), "<f2").astype(float) for x in group.column("gains")])
         distinct, where = np.unique(np.concatenate(keys), return_inverse=True)
         kept = np.bincount(where, gains, len(distinct)) > LEAST_GAIN
         ends = np.cumsum([len(k) for k in keys])
