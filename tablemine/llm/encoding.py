@@ -8,12 +8,18 @@ import types
 from array import array
 from collections.abc import Iterable, Sequence
 
-#: Pieces a worker remembers before it starts afresh; bounds its memory, never the result.
-PIECES = 800_000
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
+#: Pieces a worker remembers before the older ones are forgotten (twice as many in all); bounds its memory, never the result.
+PIECES = 300_000
 
 _UNSAFE = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S)(?= )")
+_STOPS = re.compile(r"(?<=[^\W_])(?=[.,;:!?])|(?<=\S)(?=\n)")
+#: White space before a space, or the mark that :meth:`Pieces.encode` uses: such texts are cut one by one.
+_ODD = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] |\x00"
 
 
 def segments(text: str) -> list[str]:
@@ -24,16 +30,22 @@ def segments(text: str) -> list[str]:
     return [first, *[" " + x for x in rest]]
 
 
+def _parts(piece: str) -> list[str]:
+    """``piece`` cut between a letter or digit and a stop, and before a line end; the usual case without the pattern."""
+    if piece[-1:] in ".,;:!?" and piece[1:-1].isalnum() and piece[-2:-1] != "":
+        return [piece[:-1], piece[-1:]]
+    return _STOPS.split(piece)
+
+
 class Pieces:
     """Encodes texts as little-endian unsigned 32-bit ids.
 
-    A text may be cut between a character that is no white space and a space without changing its tokens, if the
-    tokenizer never joins the two: so for byte-level files that split by the usual pattern and for files that drop white
-    space. Others encode every text whole. Special strings hold no space, so they stay in one piece.
+    Where the tokenizer itself always parts a text, it may be cut without changing its tokens: before white space that
+    follows other characters, and between a letter or digit and a stop. That holds for byte-level files that split by the usual
+    pattern and for files that drop white space. Others encode every text whole. Special strings are never cut. A text is cut
+    before spaces; pieces met for the first time are cut further, so that the tokenizer sees each word without its stops.
     """
 
-    _stops = re.compile(r"(?<=[^\W\d_])(?=[.,;:!?])|(?<=[.,;:!?])(?=\n)|(?<=[.,;:!?]\n)(?=[^\W_])")
-
     def __init__(self, path: str):
         import json
         import os
@@ -51,37 +63,62 @@ class Pieces:
         byte_level = [k for k in kinds if k.get("type") == "ByteLevel"]
         drops = any(k.get("type") == "Split" and k.get("behavior") == "Removed" and k.get("invert") for k in kinds)
         own = bool(byte_level) and not byte_level[0].get("add_prefix_space") and byte_level[0].get("use_regex", True) and not spec.get("normalizer")
-        self.separable = own or drops
-        self.parted = not any(self._stops.search(t["content"]) or " " in t["content"] for t in spec.get("added_tokens") or [])
+        uncut = all(len(_STOPS.split(t["content"])) == 1 and " " not in t["content"] for t in spec.get("added_tokens") or [])
+        self.separable = (own or drops) and uncut
         self.width = self.tokenizer.get_vocab_size()
         self.known: dict[str, bytes] = {}
-
-    def cut(self, text: str) -> list[str]:
-        return segments(text) if self.separable else [text]
+        self.older: dict[str, bytes] = {}
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
-        """Ids of each text, begin, end and padding left out; NULL is empty."""
-        cuts = [self.cut(t or "") for t in texts]
-        new: set[str] = set()
-        for c in cuts:
-            new.update(c)
-        if len(self.known) + len(new) > PIECES:
-            self.known = {}
-        new = new.difference(self.known)
-        if self.separable and self.parted:
-            split = {p: x for p in new if len(x := self._stops.split(p)) > 1}
-            self._learn((new - split.keys()).union(*split.values()).difference(self.known))
-            for p, x in split.items():
-                self.known[p] = b"".join(map(self.known.__getitem__, x))
-        else:
-            self._learn(new)
-        get = self.known.__getitem__
-        return [b"".join(map(get, c)) for c in cuts]
-
-    def _learn(self, new: set[str]) -> None:
-        pieces = list(new)
-        for k in range(0, len(pieces), 4096):
-            part = pieces[k : k + 4096]
+        """Ids of each text, begin, end and padding left out; NULL is empty.
+
+        The texts of a call are cut together, each distinct piece is looked up once, and the ids are laid out by arrays.
+        """
+        if len(self.known) > PIECES:
+            self.known, self.older = {}, self.known
+        clean = [t or "" for t in texts]
+        rows = pa.array(clean, pa.large_string())
+        even = np.asarray(pc.invert(pc.match_substring_regex(rows, _ODD))) if self.separable else np.zeros(len(clean), bool)
+        out = [b""] * len(clean)
+        for i in np.flatnonzero(~even).tolist():
+            cut = segments(clean[i]) if self.separable else [clean[i]]
+            self._learn(set(cut))
+            out[i] = b"".join(map(self.known.__getitem__, cut))
+        split = pc.split_pattern(pc.replace_substring(rows.filter(pa.array(even)), " ", "\0 "), "\0")
+        coded = pc.list_flatten(split).dictionary_encode()
+        pieces = coded.dictionary.to_pylist()
+        self._learn(set(pieces))
+        found = [self.known[p] for p in pieces]
+        size = np.array([len(x) // 4 for x in found], np.int64)
+        flat, start = np.frombuffer(b"".join(found), "<u4"), np.cumsum(size) - size
+        piece = np.asarray(coded.indices)
+        n = size[piece]
+        end = np.cumsum(n)
+        ids = flat[np.arange(end[-1] if len(end) else 0) + np.repeat(start[piece] - (end - n), n)]
+        word_end = np.cumsum(np.asarray(pc.list_value_length(split)))
+        last = np.r_[0, end][word_end]
+        for i, a, b in zip(np.flatnonzero(even).tolist(), np.r_[0, last[:-1]].tolist(), last.tolist()):
+            out[i] = ids[a:b].tobytes()
+        return out
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Make sure the pieces are known: from before, from their parts between stops, or from the tokenizer."""
+        new = []
+        for p in pieces.difference(self.known):
+            ids = self.older.get(p)
+            if ids is None:
+                new.append(p)
+            else:
+                self.known[p] = ids
+        if self.separable:
+            parted = {p: x for p in new if not p[1:].isalnum() and len(x := _parts(p)) > 1}
+            if parted:
+                self._learn(set().union(*parted.values()).difference(parted))
+                for p, x in parted.items():
+                    self.known[p] = b"".join(map(self.known.__getitem__, x))
+                new = [p for p in new if p not in self.known]
+        for k in range(0, len(new), 4096):
+            part = new[k : k + 4096]
             for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
                 ids = array("I", e.ids)
                 if sys.byteorder != "little":
