@@ -21,6 +21,8 @@ FEATURES = (
 )
 #: Labelled rows a model is fitted on at most, chosen by a hash of the key.
 SAMPLE_ROWS = 40_000
+#: Characters that a worker measures at once.
+BATCH_CHARS = 2_000_000
 
 _CLASSES = np.zeros(256, np.uint8)
 for _k, _chars in enumerate((b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"#*$%&|<>@^~=+_{}[]\\/", b"!?\"'();:-", b".,", b"\n"), 1):
@@ -168,7 +170,7 @@ def measured(df: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataF
     def each(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
             texts = b.column("text").to_pylist()
-            for i, j in batches(texts):
+            for i, j in batches(texts, BATCH_CHARS):
                 x = pa.array(list(features(texts[i:j])), pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), x], ["doc_id", "x"])
 
