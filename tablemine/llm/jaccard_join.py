@@ -19,6 +19,8 @@ from tablemine.operators.components import connected_components
 
 #: Buckets of the frequency table, 4 bytes each: its size is the same for every corpus. Parts it is summed up in.
 BUCKET_BITS, TABLE_PARTS = 22, 64
+#: Characters whose sets a worker builds at once.
+BATCH_CHARS = 2_000_000
 #: Bins of a set's outline, which bounds how much two sets can share.
 BINS = 64
 
@@ -45,12 +47,13 @@ def frequencies(rows: DataFrame, width: int) -> np.ndarray:
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        table = np.zeros(1 << BUCKET_BITS, np.int64)
+        table = np.zeros(1 << BUCKET_BITS, np.uint32)
         for b in parts:
             texts = b.column("text").to_pylist()
-            for i, j in batches(texts, 8_000_000):
+            for i, j in batches(texts, BATCH_CHARS):
                 sets = shingle_sets(texts[i:j], width)
-                table += np.bincount(_buckets(np.concatenate(sets)), minlength=1 << BUCKET_BITS)
+                bucket, often = np.unique(_buckets(np.concatenate(sets)), return_counts=True)
+                table[bucket] += often.astype(np.uint32)
         task = TaskContext.get().partitionId()
         out = [planes(table[k * step : (k + 1) * step]) for k in range(TABLE_PARTS)]
         yield pa.RecordBatch.from_arrays(
@@ -85,7 +88,7 @@ def prefixes(rows: DataFrame, width: int, threshold: Fraction, table: np.ndarray
         counts = sent.value
         for b in parts:
             texts = b.column("text").to_pylist()
-            for i, j in batches(texts, 8_000_000):
+            for i, j in batches(texts, BATCH_CHARS):
                 out: list[list] = [[], [], [], [], []]
                 for s in shingle_sets(texts[i:j], width):
                     n = len(s)
@@ -101,6 +104,20 @@ def prefixes(rows: DataFrame, width: int, threshold: Fraction, table: np.ndarray
     return rows.mapInArrow(each, f"doc_id {kind}, n long, key long, weight double, prefix array<long>, outline array<int>")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    """(id): whatever stands in ``pairs(a, b)``."""
+    return pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
+
+
+def _joined(links: DataFrame) -> DataFrame:
+    """(id, cls): the smallest name within two links. Equal names are surely joined, which is all that a round needs: the
+    members that a hub has found share one. Components proper are made once, at the end."""
+    both = links.select(F.col("a").alias("id"), F.col("b").alias("other")).unionAll(links.select(F.col("b").alias("id"), F.col("a").alias("other")))
+    near = both.groupBy("id").agg(F.least(F.min("other"), F.col("id")).alias("cls"))
+    far = both.join(near.select(F.col("id").alias("other"), F.col("cls").alias("theirs")), "other")
+    return written(far.groupBy("id").agg(F.least(F.min("theirs"), F.col("id")).alias("cls")), "jaccard-joined")
+
+
 def _needed(n: Column, m: Column, t: Fraction) -> Column:
     """The least overlap of sets of sizes n and m at likeness t: ceil(t (n + m) / (1 + t)), in whole numbers."""
     p, q = t.numerator, t.denominator
@@ -129,8 +146,7 @@ def _verified(pairs: DataFrame, outlines: DataFrame, rows: DataFrame, first: Dat
     shared = F.aggregate(F.zip_with("o_a", "o_b", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
     close = pairs.join(of("a"), "a").join(of("b"), "b").where(shared >= _needed(F.col("n_a"), F.col("n_b"), t))
     close = written(close.select("a", "b"), "jaccard-close")
-    ids = close.select(F.col("a").alias("id")).unionAll(close.select(F.col("b").alias("id"))).distinct()
-    wanted = written(first.join(ids, "id").select(F.col("doc_id").alias("wanted")).distinct(), "jaccard-wanted")
+    wanted = written(first.join(_ends(close), "id").select(F.col("doc_id").alias("wanted")).distinct(), "jaccard-wanted")
     if wanted.count() <= 10 * BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
     texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
@@ -138,7 +154,7 @@ def _verified(pairs: DataFrame, outlines: DataFrame, rows: DataFrame, first: Dat
     def sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
             text = b.column("text").to_pylist()
-            for i, j in batches(text, 8_000_000):
+            for i, j in batches(text, BATCH_CHARS):
                 found = [s for s in shingle_sets(text[i:j], width) if len(s)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([_name(s) for s in found], pa.int64()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], ["id", "grams"]
@@ -155,13 +171,13 @@ def links(df: DataFrame, *, text: str = "text", key: str = "doc_id", width: int
     """(documents, components): documents(doc_id, n, cls), components(cls, component).
 
     Documents of equal sets are one class, named by the set. Classes are linked if |A & B| >= threshold x |A | B|, exactly.
-    ``components`` has the classes that were compared with any other; a class that isn't there is alone.
+    ``components`` has the classes with a link; a class that isn't there is alone.
 
     Classes that share a prefix n-gram are compared in rounds. In a round each n-gram has one hub, the member whose prefix is
     most common (of a text and its edited copies that is the text), compared with all members not yet joined to it; then
-    links are closed to components and the hub leaves. So thousands of near copies fall together after about as many comparisons
-    as members. When hubs find nothing new, or few pairs are left, all remaining pairs of different components are compared: the
-    result is whole, no bucket is capped. Only pairs that may change a component are compared, each once.
+    members that found the same hub count as joined, and the next hub is drawn by hash. So thousands of near copies fall
+    together after about as many comparisons as members. When few pairs are left, or a round didn't halve them, all remaining
+    pairs of members not yet joined are compared: the result is whole, no bucket is capped, and no pair is compared twice.
     """
     t = Fraction(threshold)
     rows = df.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
@@ -173,11 +189,11 @@ def links(df: DataFrame, *, text: str = "text", key: str = "doc_id", width: int
     shared = spread.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("gram")
     members = written(spread.join(shared, "gram"), "jaccard-members")
     first = written(docs.where("n > 0").groupBy(F.col("key").alias("id")).agg(F.min("doc_id").alias("doc_id")), "jaccard-first")
-    nodes = members.select("id").distinct()
-    cls = nodes.select("id", F.col("id").alias("cls"))
-    found = tried = None
+    found = tried = cls = None
+    before, turn = float("inf"), 0
     while True:
-        live = written(members.join(cls, "id"), "jaccard-live")
+        live = members.withColumn("cls", F.col("id")) if cls is None else members.join(cls, "id", "left").withColumn("cls", F.coalesce("cls", "id"))
+        live = written(live, "jaccard-live")
         per = live.groupBy("gram", "cls").agg(F.count(F.lit(1)).alias("k")).groupBy("gram").agg(
             F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("same"), F.count(F.lit(1)).alias("classes"))
         open_ = per.where("classes > 1")
@@ -185,24 +201,28 @@ def links(df: DataFrame, *, text: str = "text", key: str = "doc_id", width: int
         if not left:
             break
         live = live.join(open_.select("gram"), "gram")
-        everything = found is not None and (not fresh_links or left <= 4 * size)
+        everything = found is not None and (left <= 4 * size or 2 * left > before)
+        before = left
         if everything:
             pairs = _candidates(live, live, t)
         else:
-            hubs = live.groupBy("gram").agg(F.max(F.struct("weight", "id", "n", "at", "cls")).alias("h")).select("gram", "h.*")
+            rank = F.xxhash64("id", F.lit(turn)).cast("double") if turn else F.col("weight")
+            hubs = live.groupBy("gram").agg(F.max(F.struct(rank, "id", "n", "at", "cls")).alias("h")).select("gram", "h.*")
             pairs = _candidates(hubs, live, t)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = written(pairs, "jaccard-pairs")
         new = written(_verified(pairs, outlines, rows, first, width, t), "jaccard-links")
-        fresh_links = not new.isEmpty()
         found = new if found is None else found.unionAll(new)
-        cls = connected_components(nodes, found).withColumnRenamed("component", "cls")
         if everything:
             break
+        cls = _joined(found)
         tried = pairs if tried is None else tried.unionAll(pairs)
-        members = written(live.select("gram", "id", "n", "weight", "at").join(hubs.select("gram", "id"), ["gram", "id"], "left_anti"), "jaccard-members")
-    return docs.select("doc_id", "n", F.col("key").alias("cls")), cls.select(F.col("id").alias("cls"), F.col("cls").alias("component"))
+        members, turn = live.drop("cls"), turn + 1
+    if found is None:
+        found = members.select(F.col("id").alias("a"), F.col("id").alias("b")).where(F.lit(False))
+    components = connected_components(_ends(found), found)
+    return docs.select("doc_id", "n", F.col("key").alias("cls")), components.select(F.col("id").alias("cls"), "component")
 
 
 def near_groups(df: DataFrame, *, text: str = "text", key: str = "doc_id", width: int = 3, threshold: Fraction | str = Fraction(9, 10)) -> DataFrame:
