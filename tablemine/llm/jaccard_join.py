@@ -19,8 +19,8 @@ from tablemine.operators.components import connected_components
 
 #: Buckets of the frequency table, 4 bytes each: its size is the same for every corpus. Parts it is summed up in.
 BUCKET_BITS, TABLE_PARTS = 22, 64
-#: Characters whose sets a worker builds at once.
-BATCH_CHARS = 2_000_000
+#: Rows and characters whose sets a worker builds at once.
+BATCH_ROWS, BATCH_CHARS = 400, 1_500_000
 #: Bins of a set's outline, which bounds how much two sets can share.
 BINS = 64
 
@@ -29,6 +29,16 @@ def _buckets(s: np.ndarray) -> np.ndarray:
     return (s >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
 
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list]]:
+    """(from, to, texts) of the batch a few at a time; memory that Arrow no longer uses goes back at once."""
+    column = batch.column("text")
+    for i in range(0, batch.num_rows, BATCH_ROWS):
+        texts = column.slice(i, BATCH_ROWS).to_pylist()
+        for a, b in batches(texts, BATCH_CHARS):
+            yield i + a, i + b, texts[a:b]
+        pa.default_memory_pool().release_unused()
+
+
 def _name(s: np.ndarray) -> int:
     """64 bits that name a set."""
     return int.from_bytes(hashlib.md5(s.tobytes()).digest()[:8], "little", signed=True)
@@ -49,9 +59,8 @@ def frequencies(rows: DataFrame, width: int) -> np.ndarray:
 
         table = np.zeros(1 << BUCKET_BITS, np.uint32)
         for b in parts:
-            texts = b.column("text").to_pylist()
-            for i, j in batches(texts, BATCH_CHARS):
-                sets = shingle_sets(texts[i:j], width)
+            for _, _, texts in _runs(b):
+                sets = shingle_sets(texts, width)
                 bucket, often = np.unique(_buckets(np.concatenate(sets)), return_counts=True)
                 table[bucket] += often.astype(np.uint32)
         task = TaskContext.get().partitionId()
@@ -87,10 +96,9 @@ def prefixes(rows: DataFrame, width: int, threshold: Fraction, table: np.ndarray
     def each(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sent.value
         for b in parts:
-            texts = b.column("text").to_pylist()
-            for i, j in batches(texts, BATCH_CHARS):
+            for i, j, texts in _runs(b):
                 out: list[list] = [[], [], [], [], []]
-                for s in shingle_sets(texts[i:j], width):
+                for s in shingle_sets(texts, width):
                     n = len(s)
                     often = counts[_buckets(s)]
                     k = n - -(-n * threshold.numerator // threshold.denominator) + 1 if n else 0
@@ -153,9 +161,8 @@ def _verified(pairs: DataFrame, outlines: DataFrame, rows: DataFrame, first: Dat
 
     def sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
-            text = b.column("text").to_pylist()
-            for i, j in batches(text, BATCH_CHARS):
-                found = [s for s in shingle_sets(text[i:j], width) if len(s)]
+            for _, _, texts in _runs(b):
+                found = [s for s in shingle_sets(texts, width) if len(s)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([_name(s) for s in found], pa.int64()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], ["id", "grams"]
                 )
