@@ -126,14 +126,14 @@ def chained(df: DataFrame, *, text: str = "text", key: str = "doc_id", samples:
     dealt = rows.repartitionByRange(max(1, df.rdd.getNumPartitions()), "doc_id", "h").sortWithinPartitions("doc_id", "h")
     kind = rows.schema["doc_id"].dataType.simpleString()
     result = ["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    types = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64()]
 
     def compared(texts: list[str], following: list[str]) -> tuple[list[tuple], list[np.ndarray]]:
         changed = [edited(a, b) for a, b in zip(texts, following)]
         found = signatures([*texts, *changed, *following[-1:]], samples)
         own, after, last = found[: len(texts)], found[len(texts) : 2 * len(texts)], found[2 * len(texts) :]
         return [
-            (len(x), hashlib.sha256(y.encode()).hexdigest(), spelled(f), spelled(e), likeness(f, e), likeness(f, g))
+            (len(x), hashlib.sha256(y.encode()).digest(), f.astype(">u2").tobytes(), e.astype(">u2").tobytes(), likeness(f, e), likeness(f, g))
             for x, y, f, e, g in zip(texts, changed, own, after, [*own[1:], *last])
         ], own
 
@@ -169,7 +169,8 @@ def chained(df: DataFrame, *, text: str = "text", key: str = "doc_id", samples:
         if texts:
             yield batch(keys[-1:], [(None,) * len(result)], 1, first, texts[-1])
 
-    out = f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    # bytes until the end: what is written on the way is half as large
+    out = f"doc_id {kind}, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
     done = written(dealt.mapInArrow(each, f"{out}, edge int, place int, first string, last string"), "fingerprints")
     edges = done.where("edge = 1")
     after = edges.select("place", F.coalesce(F.lead("place").over(W.orderBy("place")), F.min("place").over(W.partitionBy())).alias("next"))
@@ -182,4 +183,5 @@ def chained(df: DataFrame, *, text: str = "text", key: str = "doc_id", samples:
                 (row,), _ = compared([b.column("text")[k].as_py()], [b.column("following")[k].as_py()])
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(k, 1), *[pa.array([v], y) for v, y in zip(row, types)]], ["doc_id", *result])
 
-    return done.where("edge = 0").select("doc_id", *result).unionByName(open_.mapInArrow(close, out))
+    whole = done.where("edge = 0").select("doc_id", *result).unionByName(open_.mapInArrow(close, out))
+    return whole.withColumns({c: F.lower(F.hex(c)) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")})
