@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import sys
+from fractions import Fraction
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -32,8 +33,8 @@ def follow_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of copies and near copies."""
-    return jaccard_join.one_of_each(docs)
+    """The document with the smallest id of each group of copies and near copies: 0.8 of their five-word n-grams alike."""
+    return jaccard_join.one_of_each(docs, width=5, threshold=Fraction(4, 5))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
