@@ -183,15 +183,15 @@ def _regress(name, make):
 
 
 _classify("logistic_regression", lambda: LogisticRegression(preprocessor=SCALED))
-_classify("random_forest", lambda: RandomForest(n_estimators=10, max_depth=8))
+_classify("random_forest", lambda: RandomForest())
 _classify("decision_tree", lambda: DecisionTree())
-_classify("svm_linear", lambda: Svm(kernel="linear", max_iter=20, preprocessor=SCALED))
-_classify("svm_rbf", lambda: Svm(kernel="rbf", max_iter=20, components=64, preprocessor=SCALED))
-_classify("svm_poly", lambda: Svm(kernel="poly", degree=2, max_iter=20, preprocessor=SCALED))
-_classify("neural_network", lambda: NeuralNetwork(hidden_layer_sizes="16", max_iter=40))
-_classify("adaboost", lambda: AdaBoost(n_estimators=5))
-_classify("sgd_classifier", lambda: Sgd(loss="log_loss", max_iter=30))
+_classify("svm_linear", lambda: Svm(kernel="linear", preprocessor=SCALED))
+_classify("svm_rbf", lambda: Svm(kernel="rbf", preprocessor=SCALED))
+_classify("svm_poly", lambda: Svm(kernel="poly", preprocessor=SCALED))
+_classify("neural_network", lambda: NeuralNetwork())
+_classify("adaboost", lambda: AdaBoost())
+_classify("sgd_classifier", lambda: Sgd(loss="log_loss"))
 _regress("decision_tree_regression", lambda: DecisionTree())
-_regress("random_forest_regression", lambda: RandomForest(n_estimators=5, max_depth=6))
-_regress("adaboost_regression", lambda: AdaBoost(n_estimators=5))
-_regress("sgd_regressor", lambda: Sgd(max_iter=30))
+_regress("random_forest_regression", lambda: RandomForest())
+_regress("adaboost_regression", lambda: AdaBoost())
+_regress("sgd_regressor", lambda: Sgd())

@@ -65,14 +65,14 @@ def _covariance(spark, sf):
 @query("kmeans_annotated")
 def _kmeans(spark, sf):
     t = normalize(_parts(spark, sf))
-    annotated, _ = kmeans(t, k=3, n_init=3)
+    annotated, _ = kmeans(t, k=3)
     return rounded(annotated)
 
 
 @query("kmeans_centroids")
 def _centroids(spark, sf):
     t = normalize(_parts(spark, sf))
-    _, centroids = kmeans(t, k=3, n_init=3)
+    _, centroids = kmeans(t, k=3)
     return rounded(centroids)
 
 
