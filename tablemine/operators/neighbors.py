@@ -249,6 +249,8 @@ def _compare(pairs: DataFrame, k: int, metric: str, p: float, exclude_self: bool
                     d = np.where(d <= limit[:, None], d, np.inf)
                 edge = np.partition(d, k - 1, axis=1)[:, k - 1] if d.shape[1] > k else np.full(len(d), np.inf)
                 row, place = np.nonzero((d <= edge[:, None]) & np.isfinite(d))
+                if not len(row):
+                    continue
                 # Blocks are sorted, so the place in the block settles ties by vector, then label.
                 order = np.lexsort((place, d[row, place], row))
                 row, place = row[order], place[order]

@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tablemine.domain import CONTINUOUS, DISCRETE, META, STRING, ColumnSpec, col, discrete_values, domain_of, finite, stamp
-from tablemine.functions.ordering import hash_cut, hash_key
+from tablemine.functions.ordering import cumulative, hash_cut, hash_key
 from tablemine.operators.correlation import pearson_pairs
+from tablemine.operators.neighbors import nearest
 from tablemine.operators.prep import bin_index, equal_freq_cuts
 from tablemine.operators.rows import select_columns
 from tablemine.operators.statistics import CHUNK
+from tablemine.session import cut
 
 #: Continuous attributes are cut into this many equal-frequency bins before counting.
 BINS = 4
@@ -129,19 +130,18 @@ def variance(df: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def rrelieff(
-    df: DataFrame, target: str, names: Sequence[str], *, samples: int = 50, neighbours: int = 50, seed: int = 42, key: Sequence[str]
+    df: DataFrame, target: str, names: Sequence[str], *, samples: int | None = None, neighbours: int = 50, seed: int = 42, key: Sequence[str] = ()
 ) -> DataFrame:
-    """feature, RReliefF (Robnik-Sikonja and Kononenko 1997) from a hash sample of rows and their exact neighbours.
+    """feature, RReliefF (Robnik-Sikonja and Kononenko 1997) from all rows and their exact neighbours.
 
-    The sample (at most ``samples`` rows) travels to the tasks; each task keeps its nearest ``neighbours`` per sampled
-    row over all its batches, and the best of these are merged, so the table itself is never shuffled. Attributes are scaled
-    to [0, 1]; missing values count as the mean. Neighbour weights fall with rank: exp(-(rank / 20)^2).
+    Rows with equal attributes are one point of the search; where a query takes some of them, the gap of the target is its mean
+    over all of them, the query's own row left out. Attributes are scaled to [0, 1]; missing values count as the mean.
+    Neighbour weights fall with rank: exp(-(rank / 20)^2). With ``samples`` only so many rows, the first by the hash of
+    ``key``, are queries; all rows remain neighbours.
     """
     numbers = _numeric(df, names)
-    span = df.agg(
-        *[g(e).alias(f"{p}{i}") for i, e in enumerate([*numbers.values(), finite(col(target))]) for p, g in (("lo", F.min), ("hi", F.max), ("mean", F.avg))]
-    ).first()
-    size = len(names) + 1
+    y = finite(col(target))
+    span = df.agg(*[g(e).alias(f"{p}{i}") for i, e in enumerate([*numbers.values(), y]) for p, g in (("lo", F.min), ("hi", F.max), ("mean", F.avg))]).first()
 
     def scaled(e: Column, i: int) -> Column:
         width = (span[f"hi{i}"] - span[f"lo{i}"]) if span[f"lo{i}"] is not None else 0
@@ -149,43 +149,37 @@ def rrelieff(
             return F.lit(0.0)
         return (F.coalesce(e, F.lit(span[f"mean{i}"])) - F.lit(span[f"lo{i}"])) / F.lit(float(width))
 
-    vector = F.array(*[scaled(e, i) for i, e in enumerate([*numbers.values(), finite(col(target))])])
-    rows = df.where(col(target).isNotNull()).select(hash_key(key, seed).alias("h"), vector.alias("v"))
-    cut = hash_cut(df.where(col(target).isNotNull()), key, samples, seed=seed) or ""
-    chosen = rows.where(F.col("h") <= cut).orderBy("h").limit(samples).collect()
-    if not chosen:
+    known = df.where(col(target).isNotNull())
+    vector = F.array(*[scaled(e, i) for i, e in enumerate(numbers.values())])
+    count_up = lambda rows: rows.select(vector.alias("v"), scaled(y, len(names)).alias("y")).groupBy("v", "y").agg(F.count(F.lit(1)).alias("n"))
+    rows = asking = cut(count_up(known))
+    if rows.isEmpty():
         return df.sparkSession.createDataFrame([(n, 0.0) for n in names], "feature string, RReliefF double")
-    queries = np.array([r.v for r in chosen])
-    hashes = [r.h for r in chosen]
-    k = neighbours
-
-    def nearest(batches):
-        best: list[pd.DataFrame | None] = [None] * len(queries)
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            x = np.stack(pdf["v"].to_numpy())
-            h = pdf["h"].to_numpy()
-            for q, (vec, own) in enumerate(zip(queries, hashes)):
-                d = np.abs(x[:, :-1] - vec[:-1]).sum(axis=1)
-                d[h == own] = np.inf
-                near = _smallest(d, h, k)
-                near = near[np.isfinite(d[near])]
-                part = pd.DataFrame({"q": q, "d": d[near], "h": h[near], "diff": list(np.abs(x[near] - vec))})
-                best[q] = part if best[q] is None else pd.concat([best[q], part]).sort_values(["d", "h"]).head(k)
-        yield from (b for b in best if b is not None)
-
-    found = rows.mapInPandas(nearest, "q int, d double, h string, diff array<double>")
-    order = F.row_number().over(W.partitionBy("q").orderBy("d", "h"))
-    top = found.withColumn("rank", order).where(F.col("rank") <= k)
-    raw = F.exp(-F.pow(F.col("rank") / 20.0, 2))
-    weighted = top.withColumn("w", raw / F.sum(raw).over(W.partitionBy("q")))
-    dy, w = F.get("diff", F.lit(size - 1)), F.col("w")
-    sums = weighted.agg(
-        F.sum(w * dy).alias("c"),
-        F.sum(w).alias("m"),
-        *[F.sum(w * F.get("diff", F.lit(i))).alias(f"a{i}") for i in range(size - 1)],
-        *[F.sum(w * dy * F.get("diff", F.lit(i))).alias(f"ca{i}") for i in range(size - 1)],
+    if samples is not None:
+        asking = cut(count_up(known.where(hash_key(key, seed) <= F.lit(hash_cut(known, key, samples, seed=seed) or ""))))
+    points = rows.groupBy("v").agg(F.sum("n").alias("w")).withColumn("label", F.lit(0))
+    queries = asking.select("v").distinct().withColumn("label", F.lit(0))
+    found = nearest(queries, points, neighbours, metric="manhattan", exclude_self=True)
+    # A neighbour that stands for ``take`` rows covers that many ranks.
+    upto = [0.0]
+    for i in range(1, neighbours + 1):
+        upto.append(upto[-1] + math.exp(-((i / 20.0) ** 2)))
+    sums = F.array(*[F.lit(x) for x in upto])
+    last = F.sum("take").over(W.partitionBy("v").orderBy("rank")).cast("int")
+    raw = found.select("v", "nv", (F.get(sums, last) - F.get(sums, last - F.col("take").cast("int"))).alias("raw"))
+    near = raw.select("v", "nv", (F.col("raw") / F.sum("raw").over(W.partitionBy("v"))).alias("w"))
+    of = rows.groupBy(F.col("v").alias("nv")).agg(F.min("y").alias("least"), F.max("y").alias("most"))
+    asked = cut(near.join(of, "nv").join(asking, "v"))
+    same = F.col("least") == F.col("most")
+    one = asked.where(same).select("v", "nv", "n", "w", F.abs(F.col("y") - F.col("least")).alias("dy"))
+    many = _mean_gaps(asked.where(~same).select("v", "nv", "y", "n", "w"), rows)
+    rate, dy = F.col("n") * F.col("w"), F.col("dy")
+    diff = [F.abs(F.get("v", F.lit(i)) - F.get("nv", F.lit(i))) for i in range(len(names))]
+    sums = one.unionByName(many).agg(
+        F.sum(rate * dy).alias("c"),
+        F.sum(rate).alias("m"),
+        *[F.sum(rate * d).alias(f"a{i}") for i, d in enumerate(diff)],
+        *[F.sum(rate * dy * d).alias(f"ca{i}") for i, d in enumerate(diff)],
     )
     facts = [
         F.struct(
@@ -202,10 +196,21 @@ def rrelieff(
     return sums.select(F.inline(F.array(*facts))).select("feature", (F.col("both") - F.col("only")).alias("RReliefF"))
 
 
-def _smallest(d: np.ndarray, h: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k smallest distances, ties by hash."""
-    near = np.arange(len(d)) if len(d) <= k else np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])
-    return near[np.lexsort((h[near], d[near]))][:k]
+def _mean_gaps(asked: DataFrame, rows: DataFrame) -> DataFrame:
+    """v, nv, n, w, dy of ``asked(v, nv, y, n, w)``: dy is the mean of abs(y - other) over the other rows of the point ``nv``.
+
+    Running sums over each point's values, and the asked ones among them, give all means at once.
+    """
+    values = rows.join(asked.select(F.col("nv").alias("v")).distinct(), "v", "left_semi").select(
+        F.col("v").alias("nv"), "y", "n", (F.col("n") * F.col("y")).alias("s")
+    )
+    places = asked.select("nv", "y").distinct().select("nv", "y", F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("s"))
+    c = cumulative(values.unionByName(places), "y", by=["nv"], sums={"n": F.sum("n"), "s": F.sum("s")})
+    below = F.col("y") * F.col("n_before") - F.col("s_before")
+    above = F.col("s_total") - F.col("s_before") - F.col("s") - F.col("y") * (F.col("n_total") - F.col("n_before") - F.col("n"))
+    gaps = c.select("nv", "y", F.greatest(below + above, F.lit(0.0)).alias("gap"), F.col("n_total").alias("others"))
+    own = F.when(F.col("v") == F.col("nv"), 1).otherwise(0)
+    return asked.join(gaps, ["nv", "y"]).select("v", "nv", "n", "w", (F.col("gap") / (F.col("others") - own)).alias("dy"))
 
 
 def rank_scores(df: DataFrame, *, scoring_method: str = "auto", key: Sequence[str] | None = None) -> DataFrame | None:
