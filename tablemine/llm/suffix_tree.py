@@ -22,7 +22,7 @@ from tablemine.llm.shingles import ODD, stirred, word_hashes, words_in
 BLOCK_CHARS = 8_000_000
 #: Bits of a word's key; how many more bits than the corpus has words the keys of longer n-grams have, so that at any size
 #: one n-gram in 16,384 at most shares its key with another; and their least bits.
-KEY_BITS, SPARE_BITS, LEAST_BITS = 48, 14, 40
+KEY_BITS, SPARE_BITS, LEAST_BITS = 48, 14, 48
 #: Weight of the shorter context's distribution, in words, for contexts of 1, 2, ... words.
 WEIGHTS = (500.0, 2.0, 2.0, 2.0)
 #: Training places below which a context isn't looked at, and what its divergence (in nats, over all places) must exceed.
@@ -63,8 +63,12 @@ def unpack_counts(data: bytes, size: int) -> np.ndarray:
 
 
 def pack_gains(gain: np.ndarray) -> bytes:
-    """Two bytes each, 11 bits of precision; beyond 60,000 the sum is decided either way."""
-    return np.clip(gain, -60_000, 60_000).astype("<f2").tobytes()
+    """Four bytes each, 24 bits of precision."""
+    return np.asarray(gain).astype("<f4").tobytes()
+
+
+def unpack_gains(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, "<f4").astype(float)
 
 
 # --- one block --------------------------------------------------------------------------------------------------------
@@ -285,7 +289,7 @@ def score(df: DataFrame, held: Column, *, text: str = "text", key: str = "doc_id
 
     def decide(group: pa.Table) -> pa.Table:
         keys = [unpack_keys(x.as_py()) for x in group.column("keys")]
-        gains = np.concatenate([np.frombuffer(x.as_py(), "<f2").astype(float) for x in group.column("gains")])
+        gains = np.concatenate([unpack_gains(x.as_py()) for x in group.column("gains")])
         distinct, where = np.unique(np.concatenate(keys), return_inverse=True)
         kept = np.bincount(where, gains, len(distinct)) > LEAST_GAIN
         ends = np.cumsum([len(k) for k in keys])
