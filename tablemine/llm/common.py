@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tablemine.session import scratch_path
@@ -66,3 +67,18 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
         taken.add(n.lower())
         out.append(n)
     return out
+
+
+def numbered(df: DataFrame, order: Sequence[Column], name: str, label: str = "numbered") -> DataFrame:
+    """``df`` with the 1-based place of each row in the whole order; equal rows in any order.
+
+    Rows go to ranges and are sorted there; the written table holds each row's place in its range, and only the sizes of the
+    ranges, one row per task, meet in one window. No group is gathered, so a key with a third of the rows is many tasks.
+    """
+    at, task = fresh(df, "_at", "_task")
+    sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id())
+    rows = written(sorted_.withColumn(task, F.shiftright(F.col(at), 33)).withColumn(at, F.col(at).bitwiseAND(F.lit((1 << 33) - 1))), label)
+    sizes = rows.groupBy(task).agg(F.count(F.lit(1)).alias("_n"))
+    before = W.orderBy(task).rowsBetween(W.unboundedPreceding, -1)
+    starts = sizes.select(F.col(task), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return attach(rows, starts, [task]).withColumn(name, F.col("_start") + F.col(at) + 1).drop(at, task, "_start")

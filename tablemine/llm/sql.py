@@ -53,3 +53,38 @@ SELECT t.conv_id, turn, position, n_turns, role,
   '<|im_start|>' || replace(coalesce(role, ''), '<|', '< |') || chr(10) || replace(coalesce(text, ''), '<|', '< |') || '<|im_end|>' || chr(10) AS rendered
 FROM t JOIN k ON t.conv_id IS NOT DISTINCT FROM k.conv_id
 """
+
+# CRC-32 of the distinct words only: a table of 256 entries from the polynomial, then one step per byte.
+RESAMPLE = r"""
+WITH t8 AS (
+  SELECT list(list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS tab
+  FROM (SELECT unnest(range(256)) AS i)),
+d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+b AS (
+  SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+dw AS (SELECT doc_id, unnest(w) AS word FROM d),
+bw AS (SELECT unnest(w) AS word FROM b),
+u AS (SELECT DISTINCT word FROM (SELECT word FROM dw UNION ALL SELECT word FROM bw)),
+x AS (SELECT word, hex(encode(word)) AS hx, tab FROM u, t8),
+c AS (
+  SELECT word, xor(list_reduce(
+    list_concat([4294967295], list_transform(range(0, length(hx), 2), lambda k: ('0x' || substr(hx, (k + 1)::INT, 2))::BIGINT)),
+    lambda s, v: xor(s >> 8, tab[((xor(s, v) & 255) + 1)::INT])), 4294967295) % 10000 AS bucket
+  FROM x),
+s AS (SELECT bucket, count(*)::DOUBLE AS s FROM dw JOIN c USING (word) GROUP BY bucket),
+t AS (SELECT bucket, count(*)::DOUBLE AS t FROM bw JOIN c USING (word) GROUP BY bucket),
+n AS (SELECT (SELECT count(*) FROM dw)::DOUBLE AS s_all, (SELECT count(*) FROM bw)::DOUBLE AS t_all),
+g AS (
+  SELECT r.bucket, floor(1000 * ln((coalesce(t, 0) + 1) * (s_all + 10000) / ((coalesce(s, 0) + 1) * (t_all + 10000))))::BIGINT AS gain
+  FROM (SELECT unnest(range(10000)) AS bucket) r LEFT JOIN s ON r.bucket = s.bucket LEFT JOIN t ON r.bucket = t.bucket, n),
+m AS (SELECT doc_id, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM dw JOIN c USING (word) JOIN g USING (bucket) GROUP BY doc_id),
+z AS (
+  SELECT d.doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+    (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(d.doc_id::VARCHAR, 'NULL')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE))))::BIGINT AS score
+  FROM d LEFT JOIN m ON d.doc_id IS NOT DISTINCT FROM m.doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS FIRST) AS p, count(*) FILTER (WHERE n_features >= 20) OVER () AS able FROM z)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND p <= floor(10 * able / 100) THEN p END::BIGINT AS rank FROM r
+"""
