@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablemine.llm import chat, fingerprints, jaccard_join, mixing, packing, quality_classifier, quality_rules, records, resampling, sql, suffix_tree, token_counts
+from tablemine.llm import chat, conversation_trie, fingerprints, jaccard_join, mixing, packing, quality_classifier, quality_rules, records, resampling, sql, suffix_tree, token_counts
 from tablemine.llm.common import WORD, documents
 from tablemine.llm.registry import query
 
@@ -77,3 +77,8 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = resampling.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return got.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query("op11_conversation_trie", sql.CONVERSATION_TRIE)
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))

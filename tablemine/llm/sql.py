@@ -88,3 +88,34 @@ z AS (
 r AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS FIRST) AS p, count(*) FILTER (WHERE n_features >= 20) OVER () AS able FROM z)
 SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND p <= floor(10 * able / 100) THEN p END::BIGINT AS rank FROM r
 """
+
+CONVERSATION_TRIE = r"""
+WITH t8 AS (
+  SELECT list(list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS tab
+  FROM (SELECT unnest(range(256)) AS i)),
+o AS (
+  SELECT conv_id, {'r': coalesce(role, ''), 'x': coalesce(text, '')} AS u,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))) AS p
+  FROM conversations),
+l AS (SELECT conv_id, list(u ORDER BY p) AS t FROM o GROUP BY conv_id),
+h AS (
+  SELECT conv_id, t, xor(list_reduce(
+    list_concat([4294967295], list_transform(range(1, length(conv_id::VARCHAR) + 1), lambda k: ascii(substr(conv_id::VARCHAR, k::INT, 1))::BIGINT)),
+    lambda s, v: xor(s >> 8, tab[((xor(s, v) & 255) + 1)::INT])), 4294967295) % 6 AS h
+  FROM l, t8),
+s AS (
+  SELECT h.conv_id, list_concat(coalesce(list_slice(b.t, 1, h), []), list_slice(h.t, h + 1, len(h.t))) AS q
+  FROM h LEFT JOIN l b ON b.conv_id = h.conv_id - h.conv_id % 100),
+p AS (SELECT conv_id, q, unnest(range(0, len(q) + 1)) AS d FROM s),
+n AS (
+  SELECT list_slice(q, 1, d) AS seq, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+    coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE len(q) = d), '') AS ends
+  FROM p GROUP BY 1, 2),
+k AS (SELECT list_slice(seq, 1, d - 1) AS seq, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1),
+m AS (SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN d > 0 THEN (n_convs - 1) * length(n.seq[d].x) ELSE 0 END AS own FROM n LEFT JOIN k ON n.seq = k.seq),
+a AS (
+  SELECT up AS seq, sum((n_children = 0)::BIGINT) AS n_leaves, sum(own) AS saved
+  FROM (SELECT list_slice(seq, 1, k) AS up, n_children, own FROM (SELECT *, unnest(range(0, d + 1)) AS k FROM m)) GROUP BY 1)
+SELECT m.conv_id, m.d AS depth, n.conv_id AS parent_conv_id, m.n_convs, m.n_children, n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, sha256(m.ends) AS ends_sha256
+FROM m JOIN a ON m.seq = a.seq LEFT JOIN n ON m.d > 0 AND n.d = m.d - 1 AND n.seq = list_slice(m.seq, 1, m.d - 1)
+"""
