@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablemine.llm import chat, conversation_trie, fingerprints, jaccard_join, mixing, packing, quality_classifier, quality_rules, records, resampling, sql, suffix_tree, token_counts
+from tablemine.llm import chat, conversation_trie, fingerprints, jaccard_join, mixing, packing, quality_classifier, quality_rules, records, resampling, secret_scan, sql, suffix_tree, token_counts
 from tablemine.llm.common import WORD, documents
 from tablemine.llm.registry import query
 
@@ -82,3 +82,14 @@ def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_conversation_trie", sql.CONVERSATION_TRIE)
 def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+@query("op13_secret_scan")
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(documents(spark, sf_dir))
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    base = F.filter("spans", lambda s: s["kind"] != "novel")
+    return found.select(
+        "doc_id", of("assign").alias("n_assign"), of("access").alias("n_access"), of("hex").alias("n_hex"),
+        F.sha2(secret_scan.listed(base).cast("binary"), 256).alias("base_sha256"), secret_scan.listed(F.col("spans")).alias("spans"),
+    )
