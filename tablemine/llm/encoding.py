@@ -163,6 +163,14 @@ def pieces_of(path: str) -> Pieces:
     return found[path]
 
 
+def forget() -> None:
+    """Free what this worker's encoders remember, for a later stage that doesn't encode."""
+    shelf = sys.modules.get("_tablemine_worker")
+    if shelf is not None and shelf.__dict__.get("encoders"):
+        shelf.__dict__["encoders"].clear()
+        pa.default_memory_pool().release_unused()
+
+
 def batches(texts: Iterable, most_chars: int = 4_000_000) -> Iterable[tuple[int, int]]:
     """(from, to) of runs of texts with about ``most_chars`` characters each, one text at least."""
     start = total = 0

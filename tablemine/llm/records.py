@@ -19,9 +19,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tablemine.llm.common import attach
-from tablemine.llm.encoding import batches, pieces_of
+from tablemine.llm.encoding import batches, forget, pieces_of
 from tablemine.session import scratch_path
 
+#: Bytes of text in a shard, about: readers hold whole shards. Bytes of text in a task that writes them.
+SHARD_BYTES, TASK_BYTES = 8 << 20, 256 << 20
+
 # Fixed values of the record format.
 MASK = 0xA282EAD8
 HEAD, FOOT = 12, 5
@@ -59,14 +62,17 @@ def unframe(shard: bytes, at: int) -> tuple[int | None, np.ndarray, int]:
 def write_records(df: DataFrame, folder: str, tokenizer: str, *, text: str = "text", key: str = "doc_id", end: int = 2, shards: int | None = None) -> None:
     """Encode every row of ``df(key long, text)`` and write records in ascending key order, then the index.
 
-    ``folder/data`` has one file per shard, in order of their names; ``folder/index`` is a table (shard, offset, length,
+    ``folder/data`` has one file per shard, of about SHARD_BYTES of text or one record, in order of their names; ``folder/index`` is a table (shard, offset, length,
     doc_id, n_tokens, start), start counting the ids of all records before. Rows are dealt out by ranges of (key, hash of the
     text) and sorted within; nothing is sorted in one place. NULL texts are empty and give the end id only; NULL keys come
     first; equal keys are ordered by the hash; an empty table gives no record. Other columns are ignored.
     """
     spark = df.sparkSession
     rows = df.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{text}`")).alias("h"))
-    dealt = rows.repartitionByRange(shards or max(1, df.rdd.getNumPartitions()), "doc_id", "h").sortWithinPartitions("doc_id", "h")
+    n, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    tasks = shards or max(1, df.rdd.getNumPartitions(), -(-size // TASK_BYTES))
+    # the third key parts repeated rows, so that one text a million times over is many tasks
+    dealt = rows.withColumn("at", F.monotonically_increasing_id()).repartitionByRange(tasks, "doc_id", "h", "at").sortWithinPartitions("doc_id", "h").drop("at")
 
     def encode(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = pieces_of(tokenizer)
@@ -80,7 +86,7 @@ def write_records(df: DataFrame, folder: str, tokenizer: str, *, text: str = "te
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
     records = dealt.mapInArrow(encode, "record binary")
-    records.select(F.col("record").cast("string")).write.option("lineSep", "\n").text(f"{folder}/data")
+    records.select(F.col("record").cast("string")).write.option("lineSep", "\n").option("maxRecordsPerFile", max(1, n * SHARD_BYTES // max(size, 1))).text(f"{folder}/data")
     index = _scan(spark, folder, "offset long, length long, doc_id long, n_tokens long, first long", _entries)
     index.write.parquet(f"{folder}/shards")
     index = spark.read.schema(index.schema).parquet(f"{folder}/shards")
@@ -104,6 +110,7 @@ def _scan(spark: SparkSession, folder: str, schema: str, each, bases: DataFrame
         shards = attach(shards, bases, ["shard"])
 
     def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for b in parts:
             for k in range(b.num_rows):
                 yield from each(b.column(0)[k].as_py(), b.column(1)[k].as_py(), b.column(2)[k].as_py() if b.num_columns > 2 else 0)
@@ -112,13 +119,18 @@ def _scan(spark: SparkSession, folder: str, schema: str, each, bases: DataFrame
 
 
 def _entries(shard: str, content: bytes, _: int) -> Iterator[pa.RecordBatch]:
+    """Index rows from the heads alone: payloads are passed over, and checked when they are read."""
     at = first = 0
     out: list[list] = [[], [], [], [], []]
     while at < len(content):
-        doc_id, ids, after = unframe(content, at)
-        for column, v in zip(out, (at, after - at, doc_id, len(ids), first)):
+        (length,), (check,) = struct.unpack_from("<Q", content, at), struct.unpack_from("<I", content, at + 8)
+        if masked(content[at : at + 8]) != check:
+            raise ValueError(f"length of the record at {at} is damaged")
+        doc_id, flags = struct.unpack_from("<qB", content, at + HEAD)
+        n, whole = (length - 9) // (4 if flags & WIDE else 2), HEAD + length + FOOT
+        for column, v in zip(out, (at, whole, None if flags & NULL_ID else doc_id, n, first)):
             column.append(v)
-        at, first = after, first + len(ids)
+        at, first = at + whole, first + n
     names = ["shard", "offset", "length", "doc_id", "n_tokens", "first"]
     yield pa.RecordBatch.from_arrays([pa.array([shard] * len(out[0]), pa.string()), *[pa.array(c, pa.int64()) for c in out]], names)
 

@@ -64,9 +64,12 @@ def test_token_counts_keep_every_row(awkward, empty):
     assert token_counts.token_counts(empty, BYTE).count() == 0
 
 
-def test_records_round_trip(spark, plain, texts):
+@pytest.mark.parametrize("shard_bytes", [records.SHARD_BYTES, 20_000])
+def test_records_round_trip(spark, plain, texts, shard_bytes, monkeypatch):
+    monkeypatch.setattr(records, "SHARD_BYTES", shard_bytes)
     folder = records.records_folder(spark)
     records.write_records(plain, folder, BYTE, shards=3)
+    assert (spark.read.format("binaryFile").load(f"{folder}/data").count() > 3) == (shard_bytes < 1e6)
     got = sorted(records.read_records(spark, folder).collect(), key=lambda r: r.start)
     start = 0
     assert [r.doc_id for r in got] == sorted(texts)
