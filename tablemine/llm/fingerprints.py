@@ -18,20 +18,33 @@ from tablemine.llm.shingles import ODD, stirred, word_hashes, words_in
 SAMPLES = 128
 #: Characters handled at once in a worker; the tables of random numbers cover the distinct words of that much text.
 BATCH_CHARS = 1_000_000
+#: Words whose random numbers are made at once.
+BLOCK_WORDS = 128
 
 
 def draws(words: np.ndarray, samples: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(r, beta, ln c) for each word hash and sample: r and c from Gamma(2, 1), beta uniform; a function of the word alone."""
-    lane = stirred(np.arange(1, samples + 1, dtype=np.uint64) * ODD[1])
-    low, unit = np.uint64(0xFFFFFFFF), np.float32(2.0**-32)
-
-    def pair(k: int) -> tuple[np.ndarray, np.ndarray]:
-        u = stirred((words[:, None] ^ lane) + np.uint64(k * int(ODD[0]) % (1 << 64)))
-        return ((u >> np.uint64(32)).astype(np.float32) + np.float32(0.5)) * unit, ((u & low).astype(np.float32) + np.float32(0.5)) * unit
+    """(r, beta, ln c) for each word hash and sample: r and c from Gamma(2, 1), beta uniform; a function of the word alone.
 
-    (a, b), (c, d), (beta, _) = pair(1), pair(2), pair(3)
-    r = -np.log(a * b)
-    return r, np.minimum(beta, np.float32(1 - 2.0**-24)), np.log(-np.log(c * d))
+    Blocks of words whose numbers stay in the processor's cache: several times as fast as all words at once.
+    """
+    lane = stirred(np.arange(1, samples + 1, dtype=np.uint64) * ODD[1])
+    low, high, unit, half = np.uint64(0xFFFFFFFF), np.uint64(32), np.float32(2.0**-32), np.float32(0.5)
+    r, beta, ln_c = (np.empty((len(words), samples), np.float32) for _ in range(3))
+    most = np.float32(1 - 2.0**-24)
+    for i in range(0, len(words), BLOCK_WORDS):
+        base = words[i : i + BLOCK_WORDS, None] ^ lane
+
+        def pair(k: int, base: np.ndarray = base) -> tuple[np.ndarray, np.ndarray]:
+            u = stirred(base + np.uint64(k * int(ODD[0]) % (1 << 64)))
+            return ((u >> high).astype(np.float32) + half) * unit, ((u & low).astype(np.float32) + half) * unit
+
+        (a, b), (c, d) = pair(1), pair(2)
+        at = slice(i, i + BLOCK_WORDS)
+        np.log(a * b, out=r[at])
+        np.negative(r[at], out=r[at])
+        np.minimum(((stirred(base + np.uint64(3 * int(ODD[0]) % (1 << 64))) >> high).astype(np.float32) + half) * unit, most, out=beta[at])
+        np.log(-np.log(c * d), out=ln_c[at])
+    return r, beta, ln_c
 
 
 def signatures(texts: Sequence[str | None], samples: int = SAMPLES) -> list[np.ndarray]:

@@ -29,7 +29,7 @@ def words_in(texts: Sequence[str | None]) -> tuple[np.ndarray, pa.Array, np.ndar
 
 def word_hashes(words: pa.Array) -> np.ndarray:
     """A 64-bit hash of each word; the same in every process."""
-    return pd.util.hash_array(np.array(words.to_pylist(), dtype=object), categorize=False).astype(np.uint64) if len(words) else np.empty(0, np.uint64)
+    return pd.util.hash_array(words.to_numpy(zero_copy_only=False), categorize=False).astype(np.uint64) if len(words) else np.empty(0, np.uint64)
 
 
 def stirred(h: np.ndarray) -> np.ndarray:
