@@ -83,7 +83,7 @@ def frequencies(rows: DataFrame, width: int) -> np.ndarray:
 
 
 def prefixes(rows: DataFrame, width: int, threshold: Fraction, table: np.ndarray) -> DataFrame:
-    """(doc_id, n, key, weight, prefix, outline) for each of ``rows(doc_id, text)``.
+    """(doc_id, h, n, key, weight, prefix, outline) for each of ``rows(doc_id, h, text)``.
 
     The n-grams of a set are ordered by how often their bucket occurs, then by hash: one order for all documents. Two sets
     of likeness ``threshold`` must share one of their first n - ceil(threshold n) + 1. key names the set; weight is the mean
@@ -91,7 +91,7 @@ def prefixes(rows: DataFrame, width: int, threshold: Fraction, table: np.ndarray
     """
     sent = rows.sparkSession.sparkContext.broadcast(table)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "n", "key", "weight", "prefix", "outline"]
+    names = ["doc_id", "h", "n", "key", "weight", "prefix", "outline"]
 
     def each(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sent.value
@@ -107,9 +107,9 @@ def prefixes(rows: DataFrame, width: int, threshold: Fraction, table: np.ndarray
                     for c, v in zip(out, (n, _name(s) if n else None, float(often[first].mean()) if n else 0.0, s[first].view(np.int64), bins.astype(np.int32))):
                         c.append(v)
                 arrays = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64()), pa.array(out[3], pa.list_(pa.int64())), pa.array(out[4], pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), *arrays], names)
+                yield pa.RecordBatch.from_arrays([b.column(c).slice(i, j - i) for c in ("doc_id", "h")] + arrays, names)
 
-    return rows.mapInArrow(each, f"doc_id {kind}, n long, key long, weight double, prefix array<long>, outline array<int>")
+    return rows.mapInArrow(each, f"doc_id {kind}, h long, n long, key long, weight double, prefix array<long>, outline array<int>")
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -175,9 +175,9 @@ def _verified(pairs: DataFrame, outlines: DataFrame, rows: DataFrame, first: Dat
 
 
 def links(df: DataFrame, *, text: str = "text", key: str = "doc_id", width: int = 3, threshold: Fraction | str = Fraction(9, 10)) -> tuple[DataFrame, DataFrame]:
-    """(documents, components): documents(doc_id, n, cls), components(cls, component).
+    """(documents, components): documents(doc_id, h, n, cls), components(cls, component).
 
-    Documents of equal sets are one class, named by the set. Classes are linked if |A & B| >= threshold x |A | B|, exactly.
+    h is a hash of the text. Documents of equal sets are one class, named by the set. Classes are linked if |A & B| >= threshold x |A | B|, exactly.
     ``components`` has the classes with a link; a class that isn't there is alone.
 
     Classes that share a prefix n-gram are compared in rounds. In a round each n-gram has one hub, the member whose prefix is
@@ -187,14 +187,15 @@ def links(df: DataFrame, *, text: str = "text", key: str = "doc_id", width: int
     pairs of members not yet joined are compared: the result is whole, no bucket is capped, and no pair is compared twice.
     """
     t = Fraction(threshold)
-    rows = df.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    rows = df.select(F.col(f"`{key}`").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("h"), F.col(f"`{text}`").alias("text"))
     table = frequencies(rows, width)
     docs = written(prefixes(rows, width, t, table), "jaccard-prefixes")
     unique = docs.where("n > 0").select(F.col("key").alias("id"), "n", "weight", "prefix", "outline").dropDuplicates(["id"])
     outlines = written(unique, "jaccard-classes")
-    spread = outlines.select("id", "n", "weight", F.posexplode("prefix").alias("at", "gram"))
+    # most n-grams occur once: sizes and weights are joined to what is left of them
+    spread = outlines.select("id", F.posexplode("prefix").alias("at", "gram"))
     shared = spread.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("gram")
-    members = written(spread.join(shared, "gram"), "jaccard-members")
+    members = written(spread.join(shared, "gram").join(outlines.select("id", "n", "weight"), "id"), "jaccard-members")
     first = written(docs.where("n > 0").groupBy(F.col("key").alias("id")).agg(F.min("doc_id").alias("doc_id")), "jaccard-first")
     found = tried = cls = None
     before, turn = float("inf"), 0
@@ -229,31 +230,48 @@ def links(df: DataFrame, *, text: str = "text", key: str = "doc_id", width: int
     if found is None:
         found = members.select(F.col("id").alias("a"), F.col("id").alias("b")).where(F.lit(False))
     components = connected_components(_ends(found), found)
-    return docs.select("doc_id", "n", F.col("key").alias("cls")), components.select(F.col("id").alias("cls"), "component")
+    return docs.select("doc_id", "h", "n", F.col("key").alias("cls")), components.select(F.col("id").alias("cls"), "component")
+
+
+def _grouped(df: DataFrame, **how) -> DataFrame:
+    """(doc_id, h, n, component_id, first_h): the smallest key of each row's group, and the text hash of the row that bears it.
+
+    NULL keys come after all others, equal keys by h. Rows without a set have neither.
+    """
+    docs, components = links(df, **how)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
+    first = docs.where("n > 0").groupBy("cls").agg(F.min(order).alias("first"))
+    linked = first.join(components, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    # both sides are tables, so that a component with very many classes can be split
+    linked = written(linked, "jaccard-named")
+    least = written(linked.groupBy("component").agg(F.min("first").alias("least")), "jaccard-least")
+    of_class = linked.join(least, "component").select("cls", F.col("least.doc_id").alias("component_id"), F.col("least.h").alias("first_h"))
+    return docs.join(of_class, "cls", "left").select("doc_id", "h", "n", "component_id", "first_h")
 
 
 def near_groups(df: DataFrame, *, text: str = "text", key: str = "doc_id", width: int = 3, threshold: Fraction | str = Fraction(9, 10)) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row: component_id is the smallest key reachable over links.
 
     Words are runs without ASCII blanks, A-Z lower-cased; a set is the distinct ``width``-word n-grams of a text, the whole
-    text if it has fewer words. Empty and NULL texts have no set and stay alone; repeated rows are in one group. A NULL key
-    counts as larger than any other. Other columns are ignored.
+    text if it has fewer words; long texts are taken whole. Empty and NULL texts have no set and stay alone; repeated rows are
+    in one group. A NULL key counts as larger than any other. Other columns are ignored.
     """
-    docs, components = links(df, text=text, key=key, width=width, threshold=threshold)
-    first = docs.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("first"))
-    named = first.join(components, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    least = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    of_class = named.join(least, "component").select("cls", "component_id")
-    out = docs.join(of_class, "cls", "left")
+    out = _grouped(df, text=text, key=key, width=width, threshold=threshold)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def one_of_each(df: DataFrame, *, text: str = "text", key: str = "doc_id", **how) -> DataFrame:
-    """The rows of ``df`` that have the smallest key of their group, with all its columns; of repeated rows one stays."""
+    """The first row of each group of ``df`` with all its columns: the smallest key, NULL last, equal keys by a hash of the text.
+
+    Rows are told apart by key and text, so a key may repeat or be NULL; of rows equal in both one stays, of texts
+    without words each.
+    """
     name, h, n = fresh(df, "_kept", "_hash", "_n")
-    kept = near_groups(df, text=text, key=key, **how).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = written(kept.groupBy(F.col("doc_id").alias(name)).agg(F.count(F.lit(1)).alias(n)), "jaccard-kept")
-    out = df.join(kept.select(name), F.col(f"`{key}`").eqNullSafe(F.col(name)), "left_semi")
-    if kept.where(F.col(n) > 1).isEmpty():
-        return out
-    return out.withColumn(h, F.xxhash64(F.col(f"`{text}`"))).dropDuplicates([key, h]).drop(h)
+    found = _grouped(df, text=text, key=key, **how)
+    kept = found.where(F.col("first_h").isNull() | (F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("h") == F.col("first_h"))))
+    kept = written(kept.groupBy(F.col("doc_id").alias(name), F.col("h").alias(h)).agg(F.count(F.lit(1)).alias(n)), "jaccard-kept")
+    hashed = df.withColumn(f"{h}_", F.xxhash64(F.col(f"`{text}`")))
+    out = hashed.join(kept.select(name, h), F.col(f"`{key}`").eqNullSafe(F.col(name)) & (F.col(f"{h}_") == F.col(h)), "left_semi")
+    if not kept.where(F.col(n) > 1).isEmpty():
+        out = out.dropDuplicates([key, f"{h}_"])
+    return out.drop(f"{h}_")

@@ -2,7 +2,7 @@
 
 import corpus_pipeline
 import pytest
-from test_similarity import brute
+from test_pipeline_copies import first_of_each
 
 from tablemine.llm.common import written
 
@@ -30,7 +30,7 @@ def test_labelled_junk_goes_and_clean_documents_stay(spark, sf, stages):
 
 def test_one_of_each_group(stages):
     texts = {r.doc_id: r.text or "" for r in stages[2].collect()}
-    assert {r.doc_id for r in stages[3].collect()} == {d for d, (_, c) in brute(texts).items() if c == d}
+    assert {r.doc_id for r in stages[3].collect()} == first_of_each(texts)
 
 
 def test_packed_is_what_was_mixed(stages):

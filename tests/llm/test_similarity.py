@@ -123,3 +123,12 @@ def test_chains_of_near_copies(spark):
             texts[len(texts)] = " ".join(w)
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_groups(df).collect()} == brute(texts)
+
+
+def test_one_of_each_with_null_and_repeated_keys(spark):
+    a, b, c = (prose(random.Random(k), 60) for k in (1, 2, 3))
+    rows = [(1, a), (None, a), (None, b), (None, b + " more"), (None, b), (5, a), (5, c), (5, c), (None, None), (7, None), (7, "")]
+    out = jaccard_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), width=3)
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    assert {x for x in got if x[1] not in (b, b + " more")} == {(1, a), (5, c), (None, None), (7, None), (7, "")}
+    assert sum(x[1] in (b, b + " more") for x in got) == 1 and len(got) == 6
