@@ -1,7 +1,8 @@
 """Learners and clusters on tables whose answer is known: classes and values that follow a rule with a wide margin.
 
 The attributes are the part's size with a gap between small and large parts, and its mirror image, so every split or plane
-that separates the classes gives the rule itself, whatever the learner's random choices.
+that separates the classes gives the rule itself, whatever the learner's random choices. Naive Bayes bins by quartiles, which
+separate the classes only where the gap holds one: its classes part at the median.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tablemine.domain import set_roles
+from tablemine.functions.ordering import column_quantiles
 from tablemine.operators.clusters import kmeans
 from tablemine.operators.learners import (
     AdaBoost, DecisionTree, Knn, LinearRegression, LogisticRegression, NaiveBayes, NeuralNetwork, RandomForest, Sgd, Svm,
@@ -48,7 +50,6 @@ def _plane(spark, sf):
 
 
 _classify("logistic_regression", lambda: LogisticRegression(preprocessor=SCALED))
-_classify("naive_bayes", NaiveBayes)
 _classify("knn", Knn)
 _classify("decision_tree", DecisionTree)
 _classify("random_forest", RandomForest)
@@ -63,6 +64,16 @@ _steps("random_forest_regression", RandomForest)
 _steps("adaboost_regression", AdaBoost)
 
 
+@query("naive_bayes_planted", """
+SELECT p_partkey, CASE WHEN p_size >= (SELECT quantile_cont(p_size, 0.5) FROM part) THEN 'large' ELSE 'small' END AS prediction FROM part""")
+def _naive_bayes(spark, sf):
+    df = table(spark, sf, "part").select("p_partkey", F.col("p_size").cast("double").alias("size"))
+    large = F.col("size") >= column_quantiles(df, ["size"], [0.5])["size"][0.5]
+    gap = F.col("size") + F.when(large, 40).otherwise(0)
+    df = df.select("p_partkey", gap.alias("gap"), (100 - gap).alias("mirror"), F.when(large, "large").otherwise("small").alias("y"))
+    return NaiveBayes().fit(set_roles(df, discrete=["y"], target="y", metas=["p_partkey"])).transform(df).select("p_partkey", "prediction")
+
+
 def _customers(spark, sf):
     """Three groups far apart."""
     far = (F.col("c_nationkey") % 3 * 1000).cast("double")
