@@ -3,47 +3,110 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
-from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
-from pyspark.ml.regression import DecisionTreeRegressor, RandomForestRegressor
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablemine.operators.learners.base import (
-    PREDICTION, PROBABILITIES, Design, Learner, Model, SparkModel, training_columns,
-)
-from tablemine.operators.learners.linear import fit_cached
-from tablemine.session import cut, scratch_path
+from tablemine.domain import col, finite
+from tablemine.operators.learners.base import PREDICTION, PROBABILITIES, Design, Learner, Model, class_code
+from tablemine.operators.learners.growth import Binned, Rule, Tree, binned, grow, read_rows, to_bins
 
-#: Deepest tree Spark grows.
-DEEPEST = 30
-#: Boosting rounds between two cuts of the lineage.
-CUT_EVERY = 10
+
+class TreesModel(Model):
+    """Trees over binned attributes. For classes the values of the leaves reached add up to the shares of the classes; for
+    numbers they add up to the prediction, or with ``weights`` their weighted median is it."""
+
+    def __init__(self, name, target, classes, design: Design, cuts: Sequence[np.ndarray], trees: Sequence[Tree], values: Sequence[np.ndarray],
+                 weights: Sequence[float] | None = None):
+        super().__init__(name, target, classes)
+        self.design, self.cuts, self.trees, self.values, self.weights = design, list(cuts), list(trees), list(values), weights
+
+    def score(self, df: DataFrame) -> DataFrame:
+        sent = df.sparkSession.sparkContext.broadcast((self.cuts, [(t.feature, t.bin, t.left) for t in self.trees], self.values, self.weights))
+        k = len(self.classes) if self.classes is not None else 1
+
+        def reached(x: pd.Series) -> np.ndarray:
+            cuts, trees, values, weights = sent.value
+            bins = binned(np.stack(x.to_numpy()), cuts)
+            found = [v[Tree(*t, None).leaf_of(bins)] for t, v in zip(trees, values)]
+            return sum(found) if weights is None else weighted_median(np.stack(found, 1), np.array(weights))
+
+        if self.classes is None:
+
+            @F.pandas_udf("double")
+            def number(x: pd.Series) -> pd.Series:
+                return pd.Series(reached(x) if len(x) else [], dtype="float64")
+
+            return df.withColumn(PREDICTION, number(self.design.values))
+
+        @F.pandas_udf(", ".join(f"p{i} double" for i in range(k)))
+        def shares(x: pd.Series) -> pd.DataFrame:
+            return pd.DataFrame(reached(x) if len(x) else np.empty((0, k)), columns=[f"p{i}" for i in range(k)])
+
+        out = df.withColumn("_shares", shares(self.design.values))
+        out = out.withColumn(PROBABILITIES, F.array(*[F.col(f"_shares.p{i}") for i in range(k)])).drop("_shares")
+        return out.withColumn(PREDICTION, self.label_of_best(F.col(PROBABILITIES)))
+
+
+def weighted_median(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The value of each row at which half of the weight is reached, in ascending order."""
+    order = values.argsort(1, kind="stable")
+    upto = weights[order].cumsum(1)
+    at = (upto >= weights.sum() / 2).argmax(1)
+    return np.take_along_axis(values, order[np.arange(len(values)), at][:, None], 1)[:, 0]
+
+
+def class_shares(tree: Tree) -> np.ndarray:
+    """(nodes, classes): the shares of the classes in each node; those of the whole table in a node without rows."""
+    w = tree.stats[:, :-1]
+    total = w.sum(1, keepdims=True)
+    root = w[0] / total[0] if total[0] > 0 else np.full(w.shape[1], 1 / max(w.shape[1], 1))
+    return np.where(total > 0, w / np.where(total > 0, total, 1), root)
+
+
+def means(tree: Tree) -> np.ndarray:
+    return np.divide(tree.stats[:, 0], tree.stats[:, 1], out=np.zeros(len(tree.stats)), where=tree.stats[:, 1] > 0)
+
+
+def _prepared(df: DataFrame, target, classes, design: Design) -> tuple[Binned, float]:
+    """The binned table, and what was taken off the numbers: their mean, so that sums of squares stay exact."""
+    label = class_code(target.name, classes) if classes is not None else finite(col(target.name))
+    data = df.select(design.values.alias("features"), label.alias("label"))
+    offset = 0.0 if classes is not None else float(data.agg(F.avg("label")).first()[0] or 0.0)
+    return to_bins(data.withColumn("label", F.col("label") - F.lit(offset)) if offset else data, len(design.parts)), offset
+
+
+def _averaged(name, target, classes, design, data: Binned, trees: list[Tree], offset: float) -> TreesModel:
+    n = len(trees)
+    values = [class_shares(t) / n if classes is not None else (means(t) + offset) / n for t in trees]
+    return TreesModel(name, target, classes, design, data.cuts, trees, values)
 
 
 class DecisionTree(Learner):
-    """One tree for classes or numbers. Both sides of a split keep at least ``min_samples_leaf`` rows, and at least half
-    of ``min_samples_split``, since Spark limits sides and not nodes."""
+    """One tree for classes or numbers. A node of ``min_samples_split`` rows or more is split if both sides keep
+    ``min_samples_leaf``; splits make Gini impurity or variance smallest."""
 
     default_name = "Tree"
 
     def __init__(self, *, max_depth: int | None = 5, min_samples_split: int = 5, min_samples_leaf: int = 2, seed: int = 42, **rest):
         super().__init__(**rest)
-        self.max_depth, self.seed = max_depth, seed
-        self.smallest_side = max(min_samples_leaf, min_samples_split // 2, 1)
+        self.max_depth, self.min_samples_split, self.min_samples_leaf, self.seed = max_depth, min_samples_split, min_samples_leaf, seed
 
     def build(self, df, target, classes):
         design = Design.fit(df)
-        kind = DecisionTreeClassifier if classes is not None else DecisionTreeRegressor
-        estimator = kind(maxDepth=min(self.max_depth or DEEPEST, DEEPEST), minInstancesPerNode=self.smallest_side, seed=self.seed)
-        return SparkModel(self.name, target, classes, design, fit_cached(estimator, training_columns(df, target, classes, design)))
+        data, offset = _prepared(df, target, classes, design)
+        width = len(design.parts)
+        rule = Rule(len(classes or ()), width, width, self.max_depth, self.min_samples_split, self.min_samples_leaf)
+        return _averaged(self.name, target, classes, design, data, grow(data, rule, seed=self.seed), offset)
 
 
 class RandomForest(Learner):
-    """Bagged trees on random subsets of the features, for classes or numbers.
-
-    ``min_samples_split`` is met through the smallest side of a split: half of it, rounded up.
-    """
+    """Trees on resampled rows for classes or numbers; every node looks at a share of the attributes drawn for it, and at the
+    others if none of those splits it. Depth has no limit unless ``max_depth`` sets one."""
 
     default_name = "Random Forest"
 
@@ -53,62 +116,23 @@ class RandomForest(Learner):
     ):
         super().__init__(**rest)
         self.n_estimators, self.max_depth, self.max_features, self.seed = n_estimators, max_depth, max_features, seed
-        self.smallest_side = max(1, -(-min_samples_split // 2))
+        self.min_samples_split = min_samples_split
 
     def build(self, df, target, classes):
         design = Design.fit(df)
-        kind = RandomForestClassifier if classes is not None else RandomForestRegressor
-        estimator = kind(
-            numTrees=self.n_estimators, maxDepth=min(self.max_depth or DEEPEST, DEEPEST), seed=self.seed,
-            featureSubsetStrategy=str(float(self.max_features)), minInstancesPerNode=self.smallest_side,
-        )
-        return SparkModel(self.name, target, classes, design, fit_cached(estimator, training_columns(df, target, classes, design)))
-
-
-class BoostedModel(Model):
-    """Weighted vote of trees (classes) or weighted median of trees (numbers)."""
-
-    def __init__(self, name, target, classes, design, stages):
-        super().__init__(name, target, classes)
-        self.design, self.stages = design, stages
-
-    def score(self, df: DataFrame) -> DataFrame:
-        out = df.withColumn("_features", self.design.vector)
-        for i, (tree, _) in enumerate(self.stages):
-            stage = tree.copy().setFeaturesCol("_features").setPredictionCol(f"_p{i}")
-            if self.classes is not None:
-                stage.setRawPredictionCol("").setProbabilityCol("")
-            out = stage.transform(out)
-        names = [f"_p{i}" for i in range(len(self.stages))]
-        weights = [w for _, w in self.stages]
-        if self.classes is not None:
-            total = sum(weights)
-            shares = F.array(*[
-                sum((F.when(F.col(n) == c, F.lit(w / total)).otherwise(0.0) for n, w in zip(names, weights)), F.lit(0.0))
-                for c in range(len(self.classes))
-            ])
-            out = out.withColumn(PROBABILITIES, shares).withColumn(PREDICTION, self.label_of_best(F.col(PROBABILITIES)))
-        else:
-            votes = F.array_sort(F.array(*[F.struct(F.col(n).alias("p"), F.lit(w).alias("w")) for n, w in zip(names, weights)]))
-            half = sum(weights) / 2
-            reached = F.aggregate(
-                votes,
-                F.struct(F.lit(0.0).alias("sum"), F.lit(None).cast("double").alias("p")),
-                lambda acc, v: F.struct(
-                    (acc["sum"] + v["w"]).alias("sum"),
-                    F.when(acc["p"].isNull() & (acc["sum"] + v["w"] >= half), v["p"]).otherwise(acc["p"]).alias("p"),
-                ),
-            )
-            out = out.withColumn(PREDICTION, reached["p"])
-        return out.drop("_features", *names)
+        data, offset = _prepared(df, target, classes, design)
+        width = len(design.parts)
+        rule = Rule(len(classes or ()), width, max(1, round(width * self.max_features)), self.max_depth, self.min_samples_split)
+        trees = grow(data, rule, trees=self.n_estimators, seed=self.seed, resample=True)
+        return _averaged(self.name, target, classes, design, data, trees, offset)
 
 
 class AdaBoost(Learner):
-    """Boosted trees: SAMME for classes (Hastie et al. 2009), AdaBoost.R2 with linear loss for numbers (Drucker 1997).
+    """Boosted trees: SAMME over stumps for classes (Hastie et al. 2009), AdaBoost.R2 with linear loss over trees of depth 3
+    for numbers (Drucker 1997).
 
-    Row weights are a column rewritten each round from the newest tree; every ``CUT_EVERY`` rounds the weighted table
-    is written to the shared checkpoint folder so the plan does not grow; in between, a round's table is kept until the next
-    round has used it.
+    The table is never rewritten: a row's weight is computed from the trees so far wherever the row is read. A round for
+    classes is one histogram pass, which gives the stump and, by the weights in its leaves, its error.
     """
 
     default_name = "AdaBoost"
@@ -119,84 +143,117 @@ class AdaBoost(Learner):
 
     def build(self, df, target, classes):
         design = Design.fit(df)
-        data = cut(training_columns(df, target, classes, design).withColumn("weight", F.lit(1.0)))
-        total = data.count()
-        stages, last = [], None
-        for i in range(self.n_estimators):
-            if classes is not None:
-                tree = DecisionTreeClassifier(maxDepth=1, weightCol="weight", seed=self.seed + i).fit(data)
-                scored = tree.transform(data).select("features", "label", "weight", "prediction")
-                wrong = (F.col("prediction") != F.col("label")).cast("double")
-                error = scored.agg((F.sum(F.col("weight") * wrong) / F.sum("weight")).alias("e")).first().e
-                if error >= 1 - 1 / len(classes):
-                    break
-                alpha = self.learning_rate * (math.log((1 - error) / max(error, 1e-12)) + math.log(len(classes) - 1))
-                stages.append((tree, alpha))
-                factor = F.exp(F.lit(alpha) * wrong)
-            else:
-                tree = DecisionTreeRegressor(maxDepth=3, weightCol="weight", seed=self.seed + i).fit(data)
-                scored = tree.transform(data).select("features", "label", "weight", "prediction")
-                miss = F.abs(F.col("prediction") - F.col("label"))
-                worst = scored.agg(F.max(miss).alias("m")).first().m
-                if not worst:
-                    stages.append((tree, 1.0))
-                    break
-                loss = miss / F.lit(worst)
-                error = scored.agg((F.sum(F.col("weight") * loss) / F.sum("weight")).alias("e")).first().e
-                if error >= 0.5:
-                    break
-                beta = error / (1 - error)
-                stages.append((tree, self.learning_rate * math.log(1 / max(beta, 1e-12))))
-                factor = F.pow(F.lit(beta), self.learning_rate * (1 - loss))
-            if error <= 0:
+        data, offset = _prepared(df, target, classes, design)
+        if classes is not None:
+            trees, weights = self._classes(data, classes, len(design.parts))
+            total = sum(weights)
+            values = [np.eye(len(classes))[t.stats[:, :-1].argmax(1)] * (w / total) for t, w in zip(trees, weights)]
+            return TreesModel(self.name, target, classes, design, data.cuts, trees, values)
+        trees, weights = self._numbers(data, len(design.parts))
+        return TreesModel(self.name, target, None, design, data.cuts, trees, [means(t) + offset for t in trees], weights)
+
+    def _classes(self, data: Binned, classes: list[str], width: int) -> tuple[list[Tree], list[float]]:
+        rule = Rule(len(classes), width, width, max_depth=1)
+        trees: list[Tree] = []
+        alphas: list[float] = []
+        for _ in range(self.n_estimators):
+            past = [(t.feature, t.bin, t.left, t.stats[:, :-1].argmax(1), a) for t, a in zip(trees, alphas)]
+
+            def weigh(bins: np.ndarray, label: np.ndarray, past=past) -> np.ndarray:
+                total = np.zeros(len(label))
+                for *t, vote, alpha in past:
+                    total += alpha * (vote[Tree(*t, None).leaf_of(bins)] != label)
+                return np.exp(total - sum(p[-1] for p in past))  # one factor for all rows keeps it in range
+
+            (tree,) = grow(data, rule, seed=self.seed, weigh=weigh, deal=0)
+            w = tree.stats[tree.left < 0, :-1]
+            error = 1 - w.max(1).sum() / w.sum()
+            if error >= 1 - 1 / len(classes):
+                if not trees:
+                    return [tree], [1.0]
                 break
-            raw = scored.select("features", "label", (F.col("weight") * factor).alias("weight"))
-            mass = raw.agg(F.sum("weight").alias("s")).first().s
-            if last is not None:
-                last.unpersist()  # the round's own table is computed by now
-            last, data = data, raw.withColumn("weight", F.col("weight") * F.lit(total / mass))
-            data = cut(data) if (i + 1) % CUT_EVERY == 0 else data.persist()
-        for table in (last, data):
-            if table is not None:
-                table.unpersist()
-        if not stages:
-            stages.append((tree, 1.0))
-        return BoostedModel(self.name, target, classes, design, stages)
-
-
-def tree_structure(model: SparkModel, *, max_depth: int = 100) -> DataFrame:
+            trees.append(tree)
+            alphas.append(self.learning_rate * (math.log((1 - error) / max(error, 1e-12)) + math.log(len(classes) - 1)))
+            if error <= 1e-12:
+                break
+        return trees, alphas
+
+    def _numbers(self, data: Binned, width: int) -> tuple[list[Tree], list[float]]:
+        rule = Rule(0, width, width, max_depth=3)
+        trees: list[Tree] = []
+        weights: list[float] = []
+        past: list[tuple] = []
+        for _ in range(self.n_estimators):
+            now = list(past)
+
+            def weigh(bins: np.ndarray, label: np.ndarray, past=now) -> np.ndarray:
+                total = np.zeros(len(label))
+                for *t, value, beta, rate, worst in past:
+                    miss = np.abs(value[Tree(*t, None).leaf_of(bins)] - label)
+                    total += math.log(beta) * rate * (1 - miss / worst)
+                return np.exp(total)
+
+            (tree,) = grow(data, rule, seed=self.seed, weigh=weigh)
+            worst, loss = self._loss(data, tree, weigh)
+            if not worst:
+                return [*trees, tree], [*weights, 1.0]
+            error = loss / worst
+            if error >= 0.5:
+                break
+            beta = max(error / (1 - error), 1e-12)
+            trees.append(tree)
+            weights.append(self.learning_rate * math.log(1 / beta))
+            past.append((tree.feature, tree.bin, tree.left, means(tree), beta, self.learning_rate, worst))
+        return (trees, weights) if trees else ([tree], [1.0])
+
+    @staticmethod
+    def _loss(data: Binned, tree: Tree, weigh) -> tuple[float, float]:
+        """(largest miss, weighted mean miss) of a tree: one pass, a row of sums per task."""
+        parts, width, value = (tree.feature, tree.bin, tree.left), len(data.cuts), means(tree)
+
+        def each(batches):
+            worst = loss = mass = 0.0
+            for b in batches:
+                _, label, weight, bins = read_rows(b, width, weigh)
+                miss = np.abs(value[Tree(*parts, None).leaf_of(bins)] - label)
+                worst, loss, mass = max(worst, float(miss.max(initial=0))), loss + float(weight @ miss), mass + float(weight.sum())
+            yield pa.RecordBatch.from_arrays([pa.array([worst]), pa.array([loss]), pa.array([mass])], ["worst", "loss", "mass"])
+
+        r = data.table.mapInArrow(each, "worst double, loss double, mass double").agg(F.max("worst"), F.sum("loss"), F.sum("mass")).first()
+        return r[0] or 0.0, (r[1] or 0.0) / (r[2] or 1.0)
+
+
+def tree_structure(model: TreesModel, *, max_depth: int = 100) -> DataFrame:
     """tree, id, parent, depth, name, condition, samples, counts, majority, impurity of the nodes of a tree or of a forest's trees.
 
-    The saved form of the model is a table of nodes; ids and parents count within one tree, a single tree is tree 0.
-    ``condition`` is ``feature <= threshold`` and the left child meets it; leaves and nodes at ``max_depth`` have none.
+    ids and parents count within one tree, a single tree is tree 0. ``condition`` is ``feature <= threshold`` and the left child
+    meets it; leaves and nodes at ``max_depth`` have none. ``samples`` are the rows that the tree took, repeats counted.
     """
-    spark = model.spark
-    path = scratch_path(spark, "tree")
-    model.inner.write().save(path)
-    saved = spark.read.parquet(f"{path}/data")
-    number = F.col("treeID") if "treeID" in saved.columns else F.lit(0)
-    saved = saved.select(number.cast("int").alias("tree"), "nodeData.*") if "nodeData" in saved.columns else saved.select(F.lit(0).alias("tree"), "*")
-    nodes = saved.select("tree", "id", "leftChild", "rightChild", "prediction", "impurity", "impurityStats", "rawCount", "split").collect()
-    parent = {(n["tree"], c): n["id"] for n in nodes for c in (n["leftChild"], n["rightChild"]) if c >= 0}
-    names = model.design.feature_names
-    rows = []
-    for n in sorted(nodes, key=lambda n: (n["tree"], n["id"])):
-        tree, depth, up = n["tree"], 0, n["id"]
-        while (tree, up) in parent:
-            depth, up = depth + 1, parent[tree, up]
-        if depth > max_depth:
-            continue
-        counts = [float(x) for x in n["impurityStats"]]
-        if model.classes is not None:
-            majority = model.classes[int(n["prediction"])]
-        else:
-            majority, counts = f"Value: {n['prediction']:.3f}", [float(n["prediction"])]
-        condition = None
-        if n["leftChild"] >= 0 and depth < max_depth:
-            condition = f"{names[n['split']['featureIndex']]} <= {n['split']['leftCategoriesOrThreshold'][0]:.3f}"
-        above = parent.get((tree, n["id"]))
-        rows.append((tree, n["id"], above, depth, f"Node {n['id']}", condition, int(n["rawCount"]), counts, majority, float(n["impurity"])))
-    return spark.createDataFrame(
+    names, rows = model.design.feature_names, []
+    for number, t in enumerate(model.trees):
+        parent = np.full(len(t.left), -1, np.int64)
+        inner = np.flatnonzero(t.left >= 0)
+        parent[t.left[inner]], parent[t.left[inner] + 1] = inner, inner
+        depth, level, at = np.zeros(len(t.left), np.int64), 0, np.array([0])
+        while len(at):
+            depth[at] = level
+            children = t.left[at][t.left[at] >= 0]
+            at, level = np.r_[children, children + 1], level + 1
+        for n in np.flatnonzero(depth <= max_depth).tolist():
+            s = t.stats[n]
+            if model.classes is not None:
+                total = s[:-1].sum()
+                counts, impurity = [float(x) for x in s[:-1]], 1 - float((s[:-1] ** 2).sum() / total**2) if total else 0.0
+                majority = model.classes[int(s[:-1].argmax())]
+            else:
+                mean = float(model.values[number][n] * (1 if model.weights else len(model.trees)))
+                counts, majority = [mean], f"Value: {mean:.3f}"
+                impurity = max(0.0, float(s[2] / s[1] - (s[0] / s[1]) ** 2)) if s[1] else 0.0
+            condition = None
+            if t.left[n] >= 0 and depth[n] < max_depth:
+                condition = f"{names[t.feature[n]]} <= {model.cuts[t.feature[n]][t.bin[n]]:.3f}"
+            rows.append((number, n, int(parent[n]) if n else None, int(depth[n]), f"Node {n}", condition, int(s[-1]), counts, majority, impurity))
+    return model.spark.createDataFrame(
         rows,
         "tree int, id int, parent int, depth int, name string, condition string, samples bigint, counts array<double>, majority string, impurity double",
     )

@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from tablemine.domain import ColumnSpec
 from tablemine.operators.learners.base import Design, Learner, Model, SparkModel, train_metrics
 from tablemine.operators.learners.descent import LinearScores
+from tablemine.operators.learners.growth import Tree
 from tablemine.operators.learners.simple import ConstantModel, NaiveBayesModel
+from tablemine.operators.learners.trees import TreesModel
 
 RUN = (
     "run_id string, name string, model_type string, start_ms bigint, end_ms bigint, status string, "
@@ -90,6 +92,13 @@ def save_model(spark: SparkSession, model: Model, path: str) -> None:
     if type(model) is SparkModel:
         model.inner.write().overwrite().save(f"{path}/inner")
         state |= {"parts": model.design.parts, "class": f"{type(model.inner).__module__}.{type(model.inner).__name__}"}
+    elif isinstance(model, TreesModel):
+        # a row per tree, so that a deep forest is no single text
+        trees = [(i, *([int(x) for x in a] for a in (t.feature, t.bin, t.left)), t.stats.tolist(), v.tolist()) for i, (t, v) in enumerate(zip(model.trees, model.values))]
+        value = "array<double>" if model.classes is not None else "double"
+        schema = f"tree int, feature array<int>, bin array<int>, left array<int>, stats array<array<double>>, value array<{value}>"
+        spark.createDataFrame(trees, schema).write.mode("overwrite").parquet(f"{path}/trees")
+        state |= {"parts": model.design.parts, "cuts": [c.tolist() for c in model.cuts], "weights": model.weights}
     elif isinstance(model, ConstantModel):
         state |= {"value": model.value, "shares": model.shares}
     elif isinstance(model, NaiveBayesModel):
@@ -111,6 +120,10 @@ def restore_model(spark: SparkSession, path: str) -> Model:
         if not module.startswith("pyspark.ml."):
             raise ValueError(f"unexpected model class {s['class']}")
         model = SparkModel(*head, design, getattr(import_module(module), cls).load(f"{path}/inner"))
+    elif s["kind"] == "TreesModel":
+        rows = spark.read.parquet(f"{path}/trees").orderBy("tree").collect()
+        trees = [Tree(np.array(r.feature, np.int32), np.array(r.bin, np.int32), np.array(r.left, np.int32), np.array(r.stats)) for r in rows]
+        model = TreesModel(*head, design, [np.array(c) for c in s["cuts"]], trees, [np.array(r.value) for r in rows], s["weights"])
     elif s["kind"] == "ConstantModel":
         model = ConstantModel(*head, s["value"], s["shares"])
     elif s["kind"] == "NaiveBayesModel":

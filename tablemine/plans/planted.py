@@ -74,6 +74,17 @@ def _naive_bayes(spark, sf):
     return NaiveBayes().fit(set_roles(df, discrete=["y"], target="y", metas=["p_partkey"])).transform(df).select("p_partkey", "prediction")
 
 
+@query("tree_node_size_planted", """
+WITH n AS (SELECT count(*) FILTER (WHERE p_size <= 10) AS a, count(*) FILTER (WHERE p_size > 10) AS b FROM part WHERE p_size <= 20)
+SELECT p_partkey, CASE WHEN p_size > 20 THEN 'c' WHEN a >= b THEN 'a' ELSE 'b' END AS prediction FROM part, n""")
+def _node_size(spark, sf):
+    """The cut at 20 leaves a node of two classes with fewer rows than a split needs."""
+    kind = F.when(F.col("p_size") > 20, "c").when(F.col("p_size") > 10, "b").otherwise("a")
+    df = table(spark, sf, "part").select("p_partkey", F.col("p_size").cast("double").alias("size"), kind.alias("y"))
+    tree = DecisionTree(min_samples_split=df.count() // 2).fit(set_roles(df, discrete=["y"], target="y", metas=["p_partkey"]))
+    return tree.transform(df).select("p_partkey", "prediction")
+
+
 def _customers(spark, sf):
     """Three groups far apart."""
     far = (F.col("c_nationkey") % 3 * 1000).cast("double")
