@@ -6,13 +6,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tablemine.domain import CONTINUOUS, DISCRETE, META, ColumnSpec, col, domain_of, stamp
+from tablemine.operators import lloyd
 from tablemine.operators.components import connected_components
 from tablemine.operators.neighbors import (
     block_parts, distances, feature_vector, pack_blocks, pack_chunks, paired, tree_for, unpack, visits,
@@ -25,34 +24,23 @@ def kmeans(
 ) -> tuple[DataFrame, DataFrame]:
     """(annotated, centroids): the table with the meta ``Cluster`` (C1..Ck), and one row of means per cluster.
 
-    Runs ``n_init`` starts and keeps the one with the lowest cost. Missing values count as the column mean while
-    fitting; the output keeps the original values. Clusters are numbered by their centres in ascending order.
+    All ``n_init`` starts are made and moved together, one pass over the distinct vectors per step, and the one with the
+    lowest cost is kept. Missing values count as the column mean while fitting; the output keeps the original values.
+    Clusters are numbered by their centres in ascending order.
     """
     names = domain_of(df).continuous()
-    vector = array_to_vector(feature_vector(df, names))
-    points = df.select(vector.alias("features")).persist()
-    try:
-        best = None
-        for start in range(n_init):
-            estimator = KMeans(
-                k=k, maxIter=max_iterations, seed=seed + start, initMode="random" if init_method == "random" else "k-means||"
-            )
-            model = estimator.fit(points)
-            cost = model.summary.trainingCost
-            if best is None or cost < best[0]:
-                best = (cost, model)
-    finally:
-        points.unpersist()
-    model = best[1]
-    centres = [list(map(float, c)) for c in model.clusterCenters()]
-    order = sorted(range(len(centres)), key=lambda i: centres[i])
-    rank = {old: new for new, old in enumerate(order)}
+    vector = feature_vector(df, names)
+    points = df.select(vector.alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("w"))
+    centres = lloyd.fit(points, len(names), k=k, max_iterations=max_iterations, n_init=n_init, init_method=init_method, seed=seed)
     labels = [f"C{i + 1}" for i in range(k)]
-    names_by_id = F.array(*[F.lit(labels[rank[i]]) for i in range(len(centres))])
-    scored = model.setPredictionCol("_cluster").transform(df.withColumn("features", vector))
-    cluster = stamp(F.get(names_by_id, F.col("_cluster")), ColumnSpec("Cluster", DISCRETE, META, tuple(labels)))
+    off = lambda j, x: F.get("_v", F.lit(j)) - F.lit(float(x))
+    far = [sum((off(j, x) * off(j, x) for j, x in enumerate(c)), F.lit(0.0)) for c in centres] or [F.lit(0.0)]
+    nearest = F.array_position("_far", F.array_min("_far")) - 1
+    scored = df.withColumn("_v", vector).withColumn("_far", F.array(*far))
+    cluster = stamp(F.get(F.array(*[F.lit(x) for x in labels]), nearest.cast("int")), ColumnSpec("Cluster", DISCRETE, META, tuple(labels)))
     annotated = scored.select(*[col(c) for c in df.columns], cluster)
-    rows = [(labels[rank[i]], *centres[i]) for i in order]
+    centres = [list(map(float, c)) for c in centres]
+    rows = [(labels[i], *c) for i, c in enumerate(centres)]
     schema = "Cluster string, " + ", ".join(f"`{n}` double" for n in names)
     table = df.sparkSession.createDataFrame(rows, schema)
     centroids = table.select(
