@@ -5,7 +5,8 @@ third of the table is one point. A k-d tree, built from a bounded sample, splits
 leaf are packed into blocks of bounded size. A query visits its own leaf, which bounds the distance to its k-th
 neighbour, and then only those leaves whose region comes within that distance. Queries travel in chunks of bounded
 size, so one task holds one chunk and one block whatever the data looks like. What leaves a task is at most k rows
-per query and block, never the pairs.
+per query and block, never the pairs. Where the points need more leaves than one tree may have, each leaf holds a
+tree of its own, built where its points lie: leaves stay as small as they are, and neither tree is large.
 """
 
 from __future__ import annotations
@@ -15,8 +16,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from tablemine.domain import col, finite
@@ -25,8 +28,12 @@ from tablemine.session import cut
 
 #: Points per block and queries per chunk (what one task compares at a time).
 BLOCK, CHUNK = 2000, 1000
-#: Leaves of the tree: about one per ``BLOCK`` points up to this many.
+#: Leaves of a tree: about one per ``BLOCK`` points up to this many, beyond which leaves hold trees.
 MAX_LEAVES = 4096
+#: Rows that meet an inner tree in one task.
+INNER_ROWS = 50_000
+#: Bits of the inner leaf in a leaf's number.
+INNER_BITS = 24
 #: Rows of the sample that shapes the tree.
 TREE_SAMPLE = 100_000
 
@@ -111,11 +118,12 @@ def distances(q: np.ndarray, x: np.ndarray, metric: str, p: float = 2.0) -> np.n
     return np.sqrt(total) if metric == "euclidean" else total
 
 
-def grow_tree(sample: np.ndarray, leaves: int) -> Tree:
-    """Halve the sample at the median of its widest dimension until there are about ``leaves`` leaves."""
+def grow_tree(sample: np.ndarray, leaves: int, region: tuple[np.ndarray, np.ndarray] | None = None) -> Tree:
+    """Halve the sample at the median of its widest dimension until there are about ``leaves`` leaves, within ``region``."""
     width = sample.shape[1]
     dim, at, left, right, low, high = [], [], [], [], [], []
-    stack = [(np.arange(len(sample)), leaves, np.full(width, -np.inf), np.full(width, np.inf), None)]
+    bounds = region or (np.full(width, -np.inf), np.full(width, np.inf))
+    stack = [(np.arange(len(sample)), leaves, *bounds, None)]
     while stack:
         rows, parts, lo, hi, parent = stack.pop()
         me = len(dim)
@@ -142,8 +150,78 @@ def grow_tree(sample: np.ndarray, leaves: int) -> Tree:
     return Tree(np.array(dim), np.array(at), np.array(left), np.array(right), np.array(low), np.array(high))
 
 
-def tree_for(points: DataFrame, *, seed: int = 42) -> Tree:
-    """Tree over the distinct vectors in column ``v``, from at most ``TREE_SAMPLE`` of them."""
+@dataclass(frozen=True)
+class Nested:
+    """A tree whose leaves hold trees: ``inner(top, nodes, regions)``, one row per leaf of ``outer``."""
+
+    outer: Tree
+    inner: DataFrame
+
+    @property
+    def leaves(self) -> int:
+        return self.outer.leaves
+
+
+def _packed(tree: Tree) -> tuple[bytes, bytes]:
+    nodes = np.stack([tree.dim, tree.left, tree.right]).astype("<i4").tobytes() + tree.at.astype("<f8").tobytes()
+    return nodes, np.stack([tree.low, tree.high]).astype("<f8").tobytes()
+
+
+def _opened(nodes: bytes, regions: bytes, width: int) -> Tree:
+    n = len(nodes) // 20
+    dim, left, right = np.frombuffer(nodes, "<i4", 3 * n).reshape(3, n)
+    low, high = np.frombuffer(regions, "<f8").reshape(2, -1, width)
+    return Tree(dim, np.frombuffer(nodes, "<f8", offset=12 * n), left, right, low, high)
+
+
+def nested_for(points: DataFrame, outer: Tree, seed: int) -> Nested:
+    """Trees in the leaves of ``outer``, each from a sample of its leaf's points, about 64 for each inner leaf."""
+    by_hash = F.pmod(F.xxhash64("v", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    placed = with_leaf(points.select("v"), outer).withColumnRenamed("leaf", "top")
+    sizes = placed.groupBy("top").agg(F.count(F.lit(1)).alias("size"))  # at most MAX_LEAVES rows
+    share = F.least(F.lit(64.0 / BLOCK), F.lit(float(TREE_SAMPLE)) / F.col("size"))
+    drawn = placed.join(F.broadcast(sizes), "top").where(by_hash < share)
+    bounds = sizes.join(drawn.groupBy("top").agg(F.count(F.lit(1)).alias("n")), "top", "left")
+    without = bounds.where("n IS NULL").select("top", F.lit(None).cast("array<double>").alias("v"), "size")
+
+    def build(group: pa.Table) -> pa.Table:
+        top, size = group.column("top")[0].as_py(), group.column("size")[0].as_py()
+        rows = [v for v in group.column("v").to_pylist() if v is not None]
+        region = outer.low[top], outer.high[top]
+        tree = grow_tree(np.array(rows).reshape(-1, len(region[0])), -(-size // BLOCK) if rows else 1, region)
+        nodes, regions = _packed(tree)
+        return pa.table({"top": pa.array([top], pa.int32()), "nodes": pa.array([nodes]), "regions": pa.array([regions])})
+
+    grown = drawn.select("top", "v", "size").unionByName(without).groupBy("top").applyInArrow(build, "top int, nodes binary, regions binary")
+    return Nested(outer, cut(grown))
+
+
+def _inside(df: DataFrame, tree: Nested, find, radius: str | None = None) -> DataFrame:
+    """``df(top, v, ...)`` with ``leaf`` in place of ``top``: rows meet their leaf's inner tree in groups of about INNER_ROWS.
+
+    ``find(inner, vectors, radii)`` gives the inner leaves of each row; a row comes out once for each.
+    """
+    parts = df.groupBy("top").agg(F.ceil(F.count(F.lit(1)) / INNER_ROWS).cast("int").alias("parts"))
+    spread = df.join(F.broadcast(parts), "top").withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int")).drop("parts")
+    trees = tree.inner.join(F.broadcast(parts), "top").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    kept = [c for c in df.columns if c != "top"]
+    schema = T.StructType([*[df.schema[c] for c in kept], T.StructField("leaf", T.LongType())])
+
+    def place(rows: pa.Table, inner: pa.Table) -> pa.Table:
+        if not rows.num_rows:  # a tree's part without rows
+            return rows.select(kept).append_column("leaf", pa.array([], pa.int64()))
+        x = np.array(rows.column("v").to_pylist())
+        radii = np.asarray(rows.column(radius), dtype=float) if radius else None
+        found = find(_opened(inner.column("nodes")[0].as_py(), inner.column("regions")[0].as_py(), x.shape[1]), x, radii)
+        n = np.array([len(f) for f in found])
+        leaf = (np.int64(inner.column("top")[0].as_py()) << INNER_BITS) | np.concatenate(found).astype(np.int64)
+        return rows.select(kept).take(pa.array(np.repeat(np.arange(len(n)), n))).append_column("leaf", pa.array(leaf))
+
+    return spread.groupBy("top", "part").cogroup(trees.groupBy("top", "part")).applyInArrow(place, schema)
+
+
+def tree_for(points: DataFrame, *, seed: int = 42) -> Tree | Nested:
+    """Tree over the distinct vectors in column ``v``, from at most ``TREE_SAMPLE`` of them; nested for more than MAX_LEAVES blocks."""
     n = points.count()
     leaves = max(1, min(MAX_LEAVES, -(-n // BLOCK)))
     if leaves == 1:
@@ -154,10 +232,16 @@ def tree_for(points: DataFrame, *, seed: int = 42) -> Tree:
     from tablemine.functions.ordering import hash_key
 
     rows = keyed.where(hash_key(["k"], seed) <= edge).select("v").toPandas()
-    return grow_tree(np.stack(rows["v"].to_numpy()), leaves)
+    tree = grow_tree(np.stack(rows["v"].to_numpy()), leaves)
+    return nested_for(points, tree, seed) if n > BLOCK * MAX_LEAVES and tree.leaves > 1 else tree
+
 
+def with_leaf(df: DataFrame, tree: Tree | Nested) -> DataFrame:
+    """``df`` with the number of its leaf: int for one tree, long for nested ones."""
+    if isinstance(tree, Nested):
+        top = with_leaf(df, tree.outer).withColumnRenamed("leaf", "top")
+        return _inside(top, tree, lambda inner, x, _: inner.leaf_of(x)[:, None])
 
-def with_leaf(df: DataFrame, tree: Tree) -> DataFrame:
     @F.pandas_udf("int")
     def leaf(v: pd.Series) -> pd.Series:
         return pd.Series(tree.leaf_of(np.stack(v.to_numpy())) if len(v) else [], dtype="int32")
@@ -173,28 +257,33 @@ def _only_leaf() -> Column:
 def _split(df: DataFrame, size: int, key: Column) -> DataFrame:
     """Add ``part``: rows of a leaf spread by hash over enough parts of about ``size`` rows.
 
-    The part count per leaf is a broadcast table of at most ``MAX_LEAVES`` rows.
+    The part count per leaf is a broadcast table of at most ``MAX_LEAVES`` rows for one tree, and joined otherwise.
     """
     parts = df.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("_parts"))
-    return df.join(F.broadcast(parts), "leaf").withColumn("part", F.pmod(F.xxhash64(key), F.col("_parts"))).drop("_parts")
+    return df.join(_per_leaf(parts), "leaf").withColumn("part", F.pmod(F.xxhash64(key), F.col("_parts"))).drop("_parts")
+
+
+def _per_leaf(parts: DataFrame) -> DataFrame:
+    """A table of one row per leaf, broadcast if one tree bounds its rows."""
+    return F.broadcast(parts) if isinstance(parts.schema["leaf"].dataType, T.IntegerType) else parts
 
 
-def pack_blocks(points: DataFrame, tree: Tree, extra: Sequence[str] = ()) -> DataFrame:
+def pack_blocks(points: DataFrame, tree: Tree | Nested, extra: Sequence[str] = ()) -> DataFrame:
     """leaf, part, block: arrays of the points of one leaf, at most about ``BLOCK`` of them, sorted by vector and label."""
     cells = F.struct("v", "label", "w", *extra)
     split = _split(with_leaf(points, tree), BLOCK, F.col("v"))
     return split.groupBy("leaf", "part").agg(F.array_sort(F.collect_list(cells)).alias("block"))
 
 
-def block_parts(points: DataFrame, tree: Tree) -> DataFrame:
-    """leaf, parts: how many blocks :func:`pack_blocks` makes of each leaf; at most ``MAX_LEAVES`` rows."""
+def block_parts(points: DataFrame, tree: Tree | Nested) -> DataFrame:
+    """leaf, parts: how many blocks :func:`pack_blocks` makes of each leaf."""
     return with_leaf(points, tree).groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
 
 
 def paired(chunks: DataFrame, blocks: DataFrame, parts: DataFrame) -> DataFrame:
     """chunk, block: each chunk with each block of its leaf. A chunk first gets the list of its blocks and then meets them
     one by one on (leaf, part), so every pair is a row of its own and a large leaf is many keys."""
-    asked = chunks.join(F.broadcast(parts), "leaf").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    asked = chunks.join(_per_leaf(parts), "leaf").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     return asked.select("leaf", F.col("part").cast("long").alias("part"), "chunk").join(blocks.withColumn("part", F.col("part").cast("long")), ["leaf", "part"]).select("chunk", "block")
 
 
@@ -204,8 +293,15 @@ def pack_chunks(queries: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
     return split.groupBy("leaf", "part").agg(F.collect_list(F.struct("v", "label", *extra)).alias("chunk")).select("leaf", "chunk")
 
 
-def visits(queries: DataFrame, tree: Tree, radius: Column, metric: str, p: float = 2.0, *, skip_own: bool = False) -> DataFrame:
+def visits(queries: DataFrame, tree: Tree | Nested, radius: Column, metric: str, p: float = 2.0, *, skip_own: bool = False) -> DataFrame:
     """One row per query and leaf within ``radius`` of it."""
+    if isinstance(tree, Nested):
+        asked = queries.withColumn("_reach", radius.cast("double"))
+        if skip_own:
+            asked = with_leaf(asked, tree).withColumnRenamed("leaf", "_own")
+        top = visits(asked, tree.outer, F.col("_reach"), metric, p).withColumnRenamed("leaf", "top")
+        found = _inside(top, tree, lambda inner, x, r: inner.near(x, r, metric, p), "_reach")
+        return found.where(F.col("leaf") != F.col("_own")).drop("_reach", "_own") if skip_own else found.drop("_reach")
     if tree.leaves == 1:
         return queries.where(F.lit(not skip_own)).withColumn("leaf", _only_leaf())
 
