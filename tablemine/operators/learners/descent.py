@@ -21,6 +21,7 @@ from tablemine.operators.learners.base import (
     PREDICTION, PROBABILITIES, Design, Learner, Model, SparkModel, training_columns,
 )
 from tablemine.operators.learners.linear import fit_cached
+from tablemine.operators.learners.quasi_newton import SummedGradient, minimise
 
 #: Rows per gradient step, and passes over a shard in one round.
 MINIBATCH, PASSES = 128, 5
@@ -237,8 +238,9 @@ class NetworkModel(Model):
 class NeuralNetwork(Learner):
     """Feed-forward network. ``hidden_layer_sizes`` is text (``"100"``, ``"100,50"``) or numbers.
 
-    Classes with logistic activation and lbfgs use Spark's perceptron; all else trains inside the shards with adam
-    or plain sgd steps (lbfgs there means adam). Features are standardised.
+    lbfgs follows the gradient of the whole table (:mod:`.quasi_newton`); for classes with logistic activation it is that of
+    Spark's perceptron. adam and sgd take steps inside the shards; adam's moments are averaged with the parameters and go on
+    in the next round. Features are standardised.
     """
 
     default_name = "Neural Network"
@@ -251,6 +253,8 @@ class NeuralNetwork(Learner):
         if isinstance(hidden_layer_sizes, str):
             hidden_layer_sizes = [int(p) for p in hidden_layer_sizes.split(",") if p.strip()]
         self.hidden = [hidden_layer_sizes] if isinstance(hidden_layer_sizes, int) else [int(h) for h in hidden_layer_sizes]
+        if solver not in ("adam", "sgd", "lbfgs"):
+            raise ValueError(f"unknown solver {solver!r}; known: adam, sgd, lbfgs")
         if activation not in _ACTIVATIONS:
             raise ValueError(f"unknown activation {activation!r}; known: {', '.join(_ACTIVATIONS)}")
         self.activation, self.solver, self.alpha, self.max_iter, self.seed, self.tol = activation, solver, alpha, max_iter, seed, tol
@@ -276,39 +280,75 @@ class NeuralNetwork(Learner):
             bound = np.sqrt(6 / (a + b))
             start += [rng.uniform(-bound, bound, (a, b)), np.zeros(b)]
         activation, alpha, adam, many = self.activation, self.alpha, self.solver != "sgd", classes is not None
+        if self.solver == "lbfgs":
+            params, self.losses = self._whole(data, start, width, shift, spread, many)
+            return NetworkModel(self.name, target, classes, design, params, mean, sd, activation, shift, spread)
+        k = len(start)
 
-        def train(params: Params, x: np.ndarray, y: np.ndarray, count: np.ndarray, r: int) -> tuple[Params, float]:
-            derivative = _ACTIVATIONS[activation][1]
+        def train(state: Params, x: np.ndarray, y: np.ndarray, count: np.ndarray, r: int) -> tuple[Params, float]:
+            params, first, second, t = state[:k], state[k : 2 * k], state[2 * k : 3 * k], float(state[-1][0])
             goal = np.eye(outputs)[y.astype(int)] if many else ((y - shift) / spread)[:, None]
-            first, second, t = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
             rate = (0.01 if adam else 0.1) / (1 + 0.1 * r)
             for turn in range(PASSES):
                 for rows in _batches(len(x), r * PASSES + turn):
-                    layers = _forward(params, x[rows], activation)
-                    share = (count[rows] / count[rows].sum())[:, None]
-                    error = ((_softmax(layers[-1]) if many else layers[-1]) - goal[rows]) * share
-                    grads: Params = [np.empty(0)] * len(params)
-                    for i in range(len(params) - 2, -1, -2):
-                        grads[i] = layers[i // 2].T @ error + alpha / count.sum() * params[i]
-                        grads[i + 1] = error.sum(axis=0)
-                        if i:
-                            error = (error @ params[i].T) * derivative(layers[i // 2])
+                    _, grads = _gradient(params, x[rows], goal[rows], count[rows] / count[rows].sum(), activation, many)
+                    grads = [g + alpha / count.sum() * p if i % 2 == 0 else g for i, (g, p) in enumerate(zip(grads, params))]
                     t += 1
                     if adam:
                         first = [0.9 * m + 0.1 * g for m, g in zip(first, grads)]
                         second = [0.999 * s + 0.001 * g * g for s, g in zip(second, grads)]
                         grads = [(m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-8) for m, s in zip(first, second)]
                     params = [p - rate * g for p, g in zip(params, grads)]
-            z = _forward(params, x, activation)[-1]
-            if many:
-                cost = -(count * np.log(np.maximum(_softmax(z)[np.arange(len(y)), y.astype(int)], 1e-15))).sum()
-            else:
-                cost = 0.5 * (count[:, None] * (z - goal) ** 2).sum()
-            return params, float(cost)
-
-        params = average_rounds(data, start, train, rounds=max(1, self.max_iter // PASSES), tol=self.tol)
+            return [*params, *first, *second, np.array([t])], _gradient(params, x, goal, count, activation, many)[0]
+
+        state = [*start, *(np.zeros_like(p) for p in start), *(np.zeros_like(p) for p in start), np.zeros(1)]
+        params = average_rounds(data, state, train, rounds=max(1, self.max_iter // PASSES), tol=self.tol)[:k]
         return NetworkModel(self.name, target, classes, design, params, mean, sd, activation, shift, spread)
 
+    def _whole(self, data: DataFrame, start: Params, width: int, shift: float, spread: float, many: bool) -> tuple[Params, list[float]]:
+        """(parameters, losses on the way) by L-BFGS on the mean loss plus alpha / 2n of the squared weights."""
+        shapes, activation, outputs = [p.shape for p in start], self.activation, start[-1].shape[0]
+
+        def each(flat: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, np.ndarray]:
+            goal = np.eye(outputs)[y.astype(int)] if many else ((y - shift) / spread)[:, None]
+            cost, grads = _gradient(_shaped(flat, shapes), x, goal, w, activation, many)
+            return cost, np.concatenate([g.ravel() for g in grads])
+
+        total = SummedGradient(sharded(data), width, each)
+        weights = np.concatenate([np.full(p.size, 1.0 if p.ndim == 2 else 0.0) for p in start])
+
+        def loss(flat: np.ndarray) -> tuple[float, np.ndarray]:
+            cost, gradient = total(flat)
+            held = weights * flat
+            return (cost + 0.5 * self.alpha * float(held @ held)) / total.rows, (gradient + self.alpha * held) / total.rows
+
+        flat, losses = minimise(loss, np.concatenate([p.ravel() for p in start]), max_iter=self.max_iter, tol=self.tol)
+        return _shaped(flat, shapes), losses
+
+
+def _shaped(flat: np.ndarray, shapes: list[tuple[int, ...]]) -> Params:
+    ends = np.cumsum([int(np.prod(s)) for s in shapes])
+    return [flat[e - int(np.prod(s)) : e].reshape(s) for e, s in zip(ends, shapes)]
+
+
+def _gradient(params: Params, x: np.ndarray, goal: np.ndarray, weight: np.ndarray, activation: str, many: bool) -> tuple[float, Params]:
+    """(loss, gradient) summed over weighted rows: cross entropy of classes, half the squared error of numbers."""
+    derivative = _ACTIVATIONS[activation][1]
+    layers = _forward(params, x, activation)
+    out = _softmax(layers[-1]) if many else layers[-1]
+    if many:
+        z = layers[-1] - layers[-1].max(axis=1, keepdims=True)
+        cost = (weight * (np.log(np.exp(z).sum(1)) - (z * goal).sum(1))).sum()
+    else:
+        cost = 0.5 * (weight[:, None] * (out - goal) ** 2).sum()
+    error = (out - goal) * weight[:, None]
+    grads: Params = [np.empty(0)] * len(params)
+    for i in range(len(params) - 2, -1, -2):
+        grads[i], grads[i + 1] = layers[i // 2].T @ error, error.sum(axis=0)
+        if i:
+            error = (error @ params[i].T) * derivative(layers[i // 2])
+    return float(cost), grads
+
 
 class ScaledSparkModel(SparkModel):
     """A Spark model trained on standardised features."""
