@@ -168,35 +168,47 @@ def _gradient(cells: DataFrame, centre: float) -> DataFrame:
     return both.withColumn("value", F.hypot("_gx", "_gy"))
 
 
-def _morph_once(cells: DataFrame, pick: Callable[..., Column]) -> DataFrame:
-    """Each cell against its four neighbours; the outside is 0."""
+def _reached(cells: DataFrame, n: int) -> DataFrame:
+    """``cells`` with ``_far``: the city-block distance to the nearest cell with ``_site``, or more than ``n`` if none is that near.
 
-    def along_x(w):
-        return {"_line": pick(*_around("value", w), F.col("value"))}
-
-    def along_y(w):
-        return {"_cross": pick(*_around("value", w), F.col("_line"))}
-
-    rows = _over_line(cells, _ROW, "x", F.col("_w"), 1, False, along_x)
-    both = _over_line(rows, _COLUMN, "y", F.col("_h"), 1, False, along_y)
-    return both.withColumn("value", F.col("_cross")).drop("_line", "_cross")
+    Two passes, along rows and along columns. In each the distance is the least of the way to what lies before and what lies
+    behind, which are running minima from both ends of the chunk, so neither work nor shuffles grow with ``n``.
+    """
+    out = cells.withColumn("_far", F.when(F.col("_site"), 0).otherwise(n + 1).cast("long"))
+    for line, place, size in ((_ROW, "x", "_w"), (_COLUMN, "y", "_h")):
+        padded = _padded(out, place, F.col(size), n, False)
+        chunk = W.partitionBy(*[col(c) for c in line], "_chunk")
+        upto = lambda order: chunk.orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+        before = F.min(F.col("_far") - F.col("_p")).over(upto(F.col("_p").asc())) + F.col("_p")
+        behind = F.min(F.col("_far") + F.col("_p")).over(upto(F.col("_p").desc())) - F.col("_p")
+        out = padded.withColumn("_near", F.least(before, behind)).where("_own").drop("_p", "_chunk", "_own", "_far").withColumnRenamed("_near", "_far")
+    return out
+
+
+def _morphed(cells: DataFrame, grows: bool, n: int) -> DataFrame:
+    """``n`` steps of growing or shrinking with a cross: what lies within city-block distance ``n`` of a one, or of no zero and
+    not of the outside. Shortest ways within a raster never leave it, so steps and distance agree."""
+    if grows:
+        return _reached(cells.withColumn("_site", F.col("value") != 0), n).withColumn("value", (F.col("_far") <= n).cast("double")).drop("_far", "_site")
+    found = _reached(cells.withColumn("_site", F.col("value") == 0), n)
+    outside = F.least(F.col("y") + 1, F.col("x") + 1, F.col("_h") - F.col("y"), F.col("_w") - F.col("x"))
+    return found.withColumn("value", ((F.col("_far") > n) & (outside > n)).cast("double")).drop("_far", "_site")
 
 
 def grid_morph(df: DataFrame, *, kind: str = "dilate", iterations: int = 1) -> DataFrame:
-    """Binary dilate, erode, open, close with a cross-shaped neighbourhood (non-zero is 1, outside 0), repeated
-    ``iterations`` times per step; or gradient: maximum minus minimum of the 3 x 3 box."""
+    """Binary dilate, erode, open, close with a cross-shaped neighbourhood (non-zero is 1, outside 0), as if
+    repeated ``iterations`` times per step, by two passes along the axes; or gradient: maximum minus minimum of the 3 x 3 box."""
     cells = _sized(df)
     if kind == "gradient":
         high = _both_axes(cells, "max", 0, 3).select(*CELL, F.col("value").alias("_hi"))
         low = _both_axes(cells, "min", 0, 3).select(*CELL, F.col("value").alias("_lo"))
         return high.join(low, list(CELL)).select(*CELL, (F.col("_hi") - F.col("_lo")).alias("value"))
-    steps = {"dilate": [F.greatest], "erode": [F.least], "open": [F.least, F.greatest], "close": [F.greatest, F.least]}
+    steps = {"dilate": [True], "erode": [False], "open": [False, True], "close": [True, False]}
     if kind not in steps:
         raise ValueError(f"unknown morphology {kind!r}")
     out = cells.withColumn("value", (F.col("value") != 0).cast("double"))
-    for pick in steps[kind]:
-        for _ in range(iterations):
-            out = _morph_once(out, pick)
+    for grows in steps[kind]:
+        out = _morphed(out, grows, iterations)
     return out.select(*CELL, "value")
 
 

@@ -69,20 +69,25 @@ def test_gradients(raster, chunks, kind, c):
 
 
 @pytest.mark.parametrize("kind", ["dilate", "erode", "open", "close"])
-def test_morphology(raster, chunks, kind):
+@pytest.mark.parametrize("times, above", [(1, 40), (2, 40), (3, 8), (3, 92), (20, 97), (20, 0)])
+def test_morphology(raster, chunks, kind, times, above):
     df, a = raster
     cross = np.array([1, 3, 4, 5, 7])
     grow = lambda m: boxes(m, 3, "constant")[..., cross].max(axis=-1)
     shrink = lambda m: boxes(m, 3, "constant")[..., cross].min(axis=-1)
-    m = (a > 40).astype(float)
-    steps = {"dilate": [grow, grow], "erode": [shrink, shrink], "open": [shrink, shrink, grow, grow], "close": [grow, grow, shrink, shrink]}
-    want = m
-    for s in steps[kind]:
-        want = s(want)
-    got = grid_morph(df.withColumn("value", (F.col("value") > 40).cast("double")), kind=kind, iterations=2)
+    want = (a > above).astype(float)
+    for s in {"dilate": [grow], "erode": [shrink], "open": [shrink, grow], "close": [grow, shrink]}[kind]:
+        for _ in range(times):
+            want = s(want)
+    got = grid_morph(df.withColumn("value", (F.col("value") > above).cast("double")), kind=kind, iterations=times)
     assert (dense(got) == want).all()
 
 
+def test_shuffles_do_not_grow_with_the_steps(raster):
+    plans = [grid_morph(raster[0], kind="close", iterations=n)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") for n in (1, 20)]
+    assert plans[0] == plans[1]
+
+
 def test_shift_zoom_rescale_measure(raster):
     df, a = raster
     want = np.zeros_like(a)
