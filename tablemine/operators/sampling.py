@@ -79,7 +79,7 @@ def _per_class(df, pct, n, stratify, seed, key):
     if n is None:
         quota = sizes.select("_c", F.ceil(F.lit(pct) / 100 * F.col("_n")).alias("_q"))
     else:
-        total = sum(r["_n"] for r in sizes.collect())
+        total = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
         exact = F.col("_n") * F.lit(min(n, total)) / F.lit(total)
         left = W.partitionBy(F.lit(0)).orderBy((exact - F.floor(exact)).desc(), "_c")
         short = F.lit(min(n, total)) - F.sum(F.floor(exact)).over(W.partitionBy(F.lit(0)))

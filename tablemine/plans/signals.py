@@ -13,7 +13,7 @@ from tablemine.domain import set_roles
 from tablemine.operators.grid import (
     gaussian_weights, grid_channel, grid_filter, grid_measure, grid_morph, grid_rescale, grid_shift, grid_zoom, roll,
 )
-from tablemine.operators.learners import Constant
+from tablemine.operators.learners import Constant, DecisionTree
 from tablemine.operators.script import apply_script, script_batches
 from tablemine.plans.registry import query, rounded, table
 from tablemine.session import scratch_path
@@ -186,7 +186,10 @@ def _rescale(spark, sf):
     return grid_rescale(_grid(spark, sf))
 
 
-# --- images: the raster of each event type drawn as one PNG file ------------------------------------------------
+# --- images: the raster of each event type drawn as PNG files, one per tile --------------------------------------
+
+#: Rows and columns of a tile: what one task draws.
+TILE = 64
 
 
 def _png(rgb: np.ndarray) -> bytes:
@@ -206,9 +209,11 @@ def _images(spark, sf):
     def draw(pdf: pd.DataFrame) -> pd.DataFrame:
         from pyarrow import fs
 
-        rgb = np.full((pdf["y"].max() + 1, pdf["x"].max() + 1, 3), 7, dtype=np.uint8)
-        rgb[pdf["y"], pdf["x"], pdf["channel"]] = pdf["value"].clip(upper=255).astype(np.uint8)
-        name = pdf["grid"].iloc[0]
+        top, left = (int(pdf[c].iloc[0]) * TILE for c in ("ty", "tx"))
+        y, x = pdf["y"] - top, pdf["x"] - left
+        rgb = np.full((y.max() + 1, x.max() + 1, 3), 7, dtype=np.uint8)
+        rgb[y, x, pdf["channel"]] = pdf["value"].clip(upper=255).astype(np.uint8)
+        name = f"{pdf['grid'].iloc[0]}@{top}@{left}"
         uri = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
         system, path = fs.FileSystem.from_uri(uri.replace("file:///", "/") if uri.startswith("file:///") else uri.replace("file:", ""))
         system.create_dir(path, recursive=True)
@@ -216,9 +221,11 @@ def _images(spark, sf):
             out.write(_png(rgb))
         return pd.DataFrame({"grid": [name]})
 
-    _grid(spark, sf).groupBy("grid").applyInPandas(draw, "grid string").count()
+    tile = lambda c: F.floor(F.col(c) / TILE).cast("int").alias(f"t{c}")
+    _grid(spark, sf).select("*", tile("y"), tile("x")).groupBy("grid", "ty", "tx").applyInPandas(draw, "grid string").count()
     cells = read_image_grid(spark, folder)
-    return cells.select(F.regexp_extract("origin", r"([^/]+)\.png$", 1).alias("grid"), "y", "x", "channel", "value")
+    named = lambda i: F.regexp_extract(F.url_decode("origin"), r"([^/]+)@(\d+)@(\d+)\.png$", i)
+    return cells.select(named(1).alias("grid"), (F.col("y") + named(2).cast("int")).alias("y"), (F.col("x") + named(3).cast("int")).alias("x"), "channel", "value")
 
 
 # --- streams: events written as JSON files and drained ----------------------------------------------------------
@@ -228,7 +235,7 @@ _EVENT = "event_id bigint, user_id bigint, event_type string, value double"
 
 def _event_files(spark, sf) -> str:
     path = scratch_path(spark, "events")
-    table(spark, sf, "events").select("event_id", "user_id", "event_type", "value").repartition(4, "event_id").write.json(path)
+    table(spark, sf, "events").select("event_id", "user_id", "event_type", "value").write.json(path)
     return path
 
 
@@ -264,6 +271,17 @@ def _stream_predict(spark, sf):
     return _drain(spark, predict_stream(stream, [model]).select("event_id", "Constant"), "event_id bigint, Constant string")
 
 
+@query("stream_predict_tree", """
+SELECT event_id, CASE WHEN floor(value / 10) >= 5 THEN 'big' ELSE 'small' END AS "Tree" FROM events""")
+def _stream_tree(spark, sf):
+    """A tree that has learned a rule of the tens of a value, on the stream of these values."""
+    tens = (F.floor(F.col("value") / 10) * 10).alias("tens")
+    known = table(spark, sf, "events").select("event_id", tens).withColumn("size", F.when(F.col("tens") >= 50, "big").otherwise("small"))
+    model = DecisionTree().fit(set_roles(known, discrete=["size"], target="size", metas=["event_id"]))
+    stream = records_stream(spark, _event_files(spark, sf), "event_id bigint, value double").select("event_id", tens)
+    return _drain(spark, predict_stream(stream, [model]).select("event_id", "Tree"), "event_id bigint, Tree string")
+
+
 @query("stream_anomaly")
 def _stream_anomaly(spark, sf):
     scorer = AnomalyScorer(table(spark, sf, "events"), ["value", "user_id"], key=["event_id"])
