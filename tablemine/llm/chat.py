@@ -66,7 +66,11 @@ def render(role: Column, text: Column) -> Column:
 
 
 def formatted(df: DataFrame, **names: str) -> DataFrame:
-    """(conv_id, turn, position, n_turns, role, rendered): every turn of the maximal conversations, ready to be joined in order."""
+    """(conv_id, turn, position, n_turns, role, rendered): every turn of the maximal conversations, ready to be joined in order.
+
+    Other columns of ``df`` are ignored, whatever their names; long texts are rendered whole; NULL roles and texts are rendered
+    as empty ones but differ from them in the comparison; repeated rows count once; an empty log gives no row.
+    """
     turns = written(prefixes(df, **names), "chat-prefixes")
     kept = turns.join(maximal(turns), "c", "left_semi")
     return kept.select("conv_id", "turn", "position", "n_turns", "role", render(F.col("role"), F.col("text")).alias("rendered"))

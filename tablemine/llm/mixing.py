@@ -76,7 +76,8 @@ def mix(df: DataFrame, weights: Sequence[float], *, size: Column, source: str =
     """Every row of ``df`` with size, source_size, target (of its source) and copies: how often the mix takes it.
 
     Rows of a source with hash up to its threshold are taken floor(target / source_size) + 1 times, the others once less,
-    so budgets are nested: a larger target only adds rows. NULL is a source of its own. A row of size 0 counts as any other.
+    so budgets are nested: a larger target only adds rows. NULL is a source of its own. A row of size 0 counts as any other, and
+    so does a very long text, whose source is then off its target by up to half of it.
     Rows with one ``key`` are taken together. No row is dropped or sorted; an empty table gives an empty table. Columns
     of ``df`` that are named like the new ones are replaced.
     """

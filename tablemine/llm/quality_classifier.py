@@ -210,8 +210,8 @@ def learning_part(key: str = "doc_id"):
 def classified(df: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "doc_id", label: str = "quality", cut: float = 0.7, **how) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of ``df``; labels of held-out rows are never read.
 
-    The score looks at the text only. NULL and empty texts are measured as zeros and scored like any other; repeated rows
-    get equal scores; other columns are ignored.
+    The score looks at the text only, all of it however long. NULL and empty texts are measured as zeros and scored like any
+    other; repeated rows get equal scores; other columns are ignored. Without labels to learn from every score is 0.5.
     """
     measures = written(measured(df, text=text, key=key), "quality-measures")
     model = learnt(measures, labels.where(learning_part()), label=label, **how)
@@ -220,7 +220,12 @@ def classified(df: DataFrame, labels: DataFrame, *, text: str = "text", key: str
 
 
 def accepted(df: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "doc_id", cut: float = 0.7, **how) -> DataFrame:
-    """The rows of ``df`` with a score of at least ``cut``, with all its columns. Rows of one key are kept if any of them is."""
+    """The rows of ``df`` with a score of at least ``cut``, with all its columns. Rows of one key are kept if any of them is.
+
+    Without labels to learn from nothing is known against any row, so all rows are kept.
+    """
+    if labels.where(learning_part() & F.col(how.get("label", "quality")).isNotNull()).isEmpty():
+        return df
     (name,) = fresh(df, "_good")
     good = classified(df, labels, text=text, key=key, cut=cut, **how).where("predicted = 1").select(F.col("doc_id").alias(name))
     return df.join(good, F.col(f"`{key}`").eqNullSafe(F.col(name)), "left_semi")

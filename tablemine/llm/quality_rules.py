@@ -133,7 +133,7 @@ def judged(df: DataFrame, *, text: str = "text", key: Sequence[str] = ("doc_id",
     """Every row of ``df`` with a column named ``kept``: the verdict of all rules, cheapest rejections first.
 
     ``keep_metrics`` also adds the counts; the rules then read those instead of the text. NULL and empty texts have no
-    words and fail the rule on length; so does every row if the text column is NULL. The order of the rules changes the
+    words and fail the rule on length; so does every row if the text column is NULL. Long texts are judged whole. The order of the rules changes the
     time only, never the verdict. Extra columns stay; one named like an added one is replaced. No row is dropped.
     """
     (w,) = fresh(df, "_words")

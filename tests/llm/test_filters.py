@@ -172,3 +172,10 @@ def test_only_maximal_conversations_stay(spark):
 
 def test_empty_log(spark):
     assert chat.formatted(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_chat_with_other_columns_and_a_long_text(spark):
+    schema = "conv_id long, turn long, role string, text string, c string, b long, p1 long, position long, n_turns long, i int, rendered string"
+    rows = [(k, t, "user", x, "c", 1, 2, 3, 4, 5, "r") for k, t, x in ((1, 0, "a"), (2, 0, "a"), (2, 1, "z" * 300_000))]
+    got = chat.formatted(spark.createDataFrame(rows, schema)).collect()
+    assert sorted((r.conv_id, r.position, len(r.rendered)) for r in got) == [(2, 1, 29), (2, 2, 300_028)]

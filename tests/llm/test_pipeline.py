@@ -43,3 +43,29 @@ def test_packed_is_what_was_mixed(stages):
 def test_run(spark, sf, stages):
     key = lambda r: (r.doc_id, r.start, r.sequence_id, r.offset, r.ids_crc32)
     assert sorted(map(key, corpus_pipeline.run(spark, sf).collect())) == sorted(map(key, stages[5].collect()))
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("pipeline"))
+    labels = spark.createDataFrame([(0, 1, 0), (3, 0, 0), (6, 1, 0), (9, None, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{path}/some/labels.parquet")
+    labels.where("doc_id < 0").write.parquet(f"{path}/none/labels.parquet")
+    return path
+
+
+@pytest.mark.parametrize("table", ["awkward", "empty"])
+@pytest.mark.parametrize("labels", ["some", "none"])
+def test_stages_on_awkward_and_empty_tables(request, spark, folder, table, labels):
+    docs = request.getfixturevalue(table)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, f"{folder}/{labels}")
+        assert out.columns == docs.columns, name
+        rows, kept = sorted(map(str, docs.collect())), sorted(map(str, out.collect()))
+        assert set(kept) <= set(rows) and (name == "mix" or len(kept) <= len(rows))
+        if name == "quality classifier" and labels == "none":
+            assert kept == rows
+        if name == "near duplicates":
+            assert len(set(kept)) == len(kept)
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, folder)
+    assert packed.where("start = 0").count() == docs.count()
