@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablemine.session import scratch_path
+from tablemine.session import scratch_path, spread
 
 #: Most bins of an attribute; cuts lie half way between neighbouring quantiles.
 BINS = 255
@@ -252,7 +252,7 @@ def to_bins(df: DataFrame, width: int) -> Binned:
     rows = known.select(F.monotonically_increasing_id().alias("id"), F.col("label").cast("double").alias("label"), weight.alias("weight"), "features")
     schema = "id long, label double, weight double, bins binary"
     path = scratch_path(df.sparkSession, "tree-bins")
-    rows.mapInArrow(each, schema).write.parquet(path)
+    spread(rows.mapInArrow(each, schema), "id").write.parquet(path)
     table = df.sparkSession.read.schema(schema).parquet(path)
     return Binned(table, cuts, table.count())
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablemine.session import scratch_path
+from tablemine.session import scratch_path, spread
 
 #: Parameters in a piece of a gradient, and tasks whose pieces meet in the first of two rounds of sums.
 PIECE, FAN = 1 << 16, 64
@@ -30,7 +30,7 @@ class SummedGradient:
         self.each, self.width, self.spark = each, width, shards.sparkSession
         plain = shards.select(F.flatten("cells.x").alias("x"), F.col("cells.y").alias("y"), F.col("cells.w").alias("w"))
         path = scratch_path(self.spark, "gradient-shards")
-        plain.write.parquet(path)
+        spread(plain).write.parquet(path)
         self.table = self.spark.read.schema(plain.schema).parquet(path)
         self.rows = self.table.agg(F.sum(F.aggregate("w", F.lit(0.0), lambda a, b: a + b))).first()[0] or 0.0
 

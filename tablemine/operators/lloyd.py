@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablemine.session import scratch_path
+from tablemine.session import scratch_path, spread
 
 #: Points in a leaf, and points that are dealt out to leaves at once.
 LEAF, AT_ONCE = 512, 200_000
@@ -78,7 +78,7 @@ class Leaves:
                 yield leaves()
 
         path = scratch_path(self.spark, "kmeans-leaves")
-        points.select("v", "w").mapInArrow(each, "x binary, w binary").write.parquet(path)
+        spread(points.select("v", "w"), "v").mapInArrow(each, "x binary, w binary").write.parquet(path)
         self.table = self.spark.read.schema("x binary, w binary").parquet(path)
 
     def variance(self) -> float:

@@ -26,6 +26,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` dealt evenly over all cores, for a table that is written once and read in many passes: input files and
+    adaptive execution may have left it in a few tasks."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *by)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and forget its lineage; survives the loss of executors."""
     shared_dir(df.sparkSession)
