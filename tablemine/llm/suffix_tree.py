@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,29 +35,40 @@ _END = np.uint64(0x5851F42D4C957F2D)
 # --- packed arrays ----------------------------------------------------------------------------------------------------
 
 
+def _packed(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(data)
+
+
+def _unpacked(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """First bytes of all values, second bytes, and so on: high bytes are alike and take little room once compressed."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
+
+
+def _from_planes(data: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, len(data) // size).T).reshape(-1).view(kind)
+
+
 def pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted keys: the first, then the steps in as few of 3, 4 or 8 bytes as hold them all."""
-    steps = np.diff(keys)
-    most = int(steps.max()) if len(steps) else 0
-    width = 3 if most < 1 << 24 else 4 if most < 1 << 32 else 8
-    return bytes([width]) + keys[:1].astype("<u8").tobytes() + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    """Sorted keys as the first and the steps to the next ones."""
+    return _packed(_planes(np.r_[keys[:1], np.diff(keys)].astype("<u8")))
 
 
 def unpack_keys(data: bytes) -> np.ndarray:
-    if len(data) == 1:
-        return np.empty(0, np.uint64)
-    width = data[0]
-    steps = np.zeros(((len(data) - 9) // width, 8), np.uint8)
-    steps[:, :width] = np.frombuffer(data, np.uint8, offset=9).reshape(-1, width)
-    return np.cumsum(np.concatenate([np.frombuffer(data, "<u8", 1, 1), steps.view("<u8").ravel()]), dtype=np.uint64)
+    return np.cumsum(_from_planes(_unpacked(data), "<u8"), dtype=np.uint64)
 
 
 def pack_counts(n: np.ndarray) -> bytes:
     """Counts as bytes; those from 255 on follow in full."""
-    return np.minimum(n, 255).astype(np.uint8).tobytes() + n[n >= 255].astype("<i8").tobytes()
+    return _packed(np.minimum(n, 255).astype(np.uint8).tobytes() + n[n >= 255].astype("<i8").tobytes())
 
 
 def unpack_counts(data: bytes, size: int) -> np.ndarray:
+    data = _unpacked(data)
     n = np.frombuffer(data, np.uint8, size).astype(np.int64)
     n[n == 255] = np.frombuffer(data, "<i8", offset=size)
     return n
@@ -64,11 +76,11 @@ def unpack_counts(data: bytes, size: int) -> np.ndarray:
 
 def pack_gains(gain: np.ndarray) -> bytes:
     """Four bytes each, 24 bits of precision."""
-    return np.asarray(gain).astype("<f4").tobytes()
+    return _packed(_planes(np.asarray(gain).astype("<f4")))
 
 
 def unpack_gains(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, "<f4").astype(float)
+    return _from_planes(_unpacked(data), "<f4").astype(float)
 
 
 # --- one block --------------------------------------------------------------------------------------------------------
@@ -80,7 +92,7 @@ class Block:
     def __init__(self, words: bytes, stream: bytes, lengths: bytes, held: bytes, depth: int, bits: int):
         self.depth, self.bits = depth, bits
         hashes = np.append(np.frombuffer(words, "<u8"), _END)
-        self.symbols = hashes[np.frombuffer(stream, "<i4")]
+        self.symbols = hashes[_from_planes(_unpacked(stream), "<i4")]
         self.lengths = np.frombuffer(lengths, "<i4").astype(np.int64)
         self.begin = np.cumsum(self.lengths) - self.lengths
         self.held = np.frombuffer(held, np.uint8).astype(bool)
@@ -180,7 +192,7 @@ def blocks(df: DataFrame, held: Column, *, text: str = "text", key: str = "doc_i
             n = np.diff(begin)
             stream = np.full(len(index) + len(n), len(words), "<i4")
             stream[np.arange(len(index)) + np.repeat(np.arange(len(n)), n)] = index
-            data = [word_hashes(words).astype("<u8").tobytes(), stream.tobytes(), (n + 1).astype("<i4").tobytes(), np.array(out, np.uint8).tobytes()]
+            data = [word_hashes(words).astype("<u8").tobytes(), _packed(_planes(stream)), (n + 1).astype("<i4").tobytes(), np.array(out, np.uint8).tobytes()]
             columns = [pa.array([task << 32 | number], pa.int64()), pa.array([ids], pa.list_(kind_of)), *[pa.array([x], pa.binary()) for x in data]]
             columns.append(pa.array([len(stream)], pa.int64()))
             return pa.RecordBatch.from_arrays(columns, ["block", "ids", "words", "stream", "lengths", "held", "size"])
