@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablemine.domain import CONTINUOUS, DISCRETE, META, ColumnSpec, col, domain_of, stamp
-from tablemine.functions.ordering import hash_key, quantiles_of
+from tablemine.functions.ordering import hash_cut, hash_key, quantiles_of
 from tablemine.operators.neighbors import feature_vector, nearest, weighted_points
 from tablemine.session import cut
 
@@ -21,6 +21,8 @@ LOF_NEIGHBOURS = 20
 TREES, TREE_ROWS = 100, 256
 #: Share of rows that each concentration step of the robust covariance keeps.
 SUPPORT = 0.5
+#: Its starts: groups of the sample, rows in each, random subsets tried in each, and how many of them go on to the whole table.
+GROUPS, GROUP_ROWS, STARTS, BEST = 5, 400, 100, 2
 
 
 def outlier_scores(
@@ -40,7 +42,7 @@ def outlier_scores(
     if method == "isolation_forest":
         scored = _isolation(df, vector, seed, key, trees, tree_rows)
     elif method == "covariance":
-        scored = _covariance(df, vector, len(names), max_steps)
+        scored = _covariance(df, vector, len(names), max_steps, seed, key)
     else:
         scored = _lof(df, vector)
     scored = cut(scored)
@@ -181,20 +183,6 @@ def _isolation(df: DataFrame, vector: Column, seed: int, key: Sequence[str], tre
     return df.withColumn("score", forest_scorer(forest)(vector))
 
 
-def _moments(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Mean and population covariance of the array column ``v``: one aggregate of width^2 / 2 covariances."""
-    pairs = [(i, j) for i in range(width) for j in range(i, width)]
-    r = rows.agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.avg(F.get("v", F.lit(i))).alias(f"m{i}") for i in range(width)],
-        *[F.covar_pop(F.get("v", F.lit(i)), F.get("v", F.lit(j))).alias(f"c{i}_{j}") for i, j in pairs],
-    ).first()
-    cov = np.zeros((width, width))
-    for i, j in pairs:
-        cov[i, j] = cov[j, i] = r[f"c{i}_{j}"] or 0.0
-    return np.array([r[f"m{i}"] or 0.0 for i in range(width)]), cov, r.n
-
-
 def mahalanobis(mean: np.ndarray, cov: np.ndarray) -> Column:
     """Squared Mahalanobis distance of the array column ``v`` as a plain expression."""
     inv = np.linalg.pinv(cov)
@@ -208,38 +196,142 @@ def mahalanobis(mean: np.ndarray, cov: np.ndarray) -> Column:
     return total
 
 
-def _covariance(df: DataFrame, vector: Column, width: int, max_steps: int) -> DataFrame:
-    """Robust distance by concentration steps (Rousseeuw and Van Driessen 1999).
-
-    Each step keeps the half of the rows nearest to the current centre and refits, until the determinant stops
-    falling. Which distance holds half of the rows is read off a histogram of distances: steps of 1/256 of a standard
-    deviation up to one, and of 1/256 of the distance's logarithm above, so every distance has a bin of its own size and
-    there are at most some 180,000 bins. A step is two aggregates over the table and depends on nothing but the data. The start is the median and the spread of each column, which a minority of outliers cannot move far.
+def _nearness(z: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> np.ndarray:
+    dev = z - mean
+    return np.maximum(np.einsum("ij,jk,ik->i", dev, np.linalg.pinv(cov, hermitian=True), dev), 0.0)
+
+
+def _log_volume(cov: np.ndarray) -> float:
+    return float(np.linalg.slogdet(cov + np.eye(len(cov)) * 1e-12)[1])
+
+
+def _bins(squared: np.ndarray) -> np.ndarray:
+    """Bins of distances: 1/256 of a standard deviation up to one, and 1/256 of the distance's logarithm above."""
+    far = np.sqrt(squared)
+    return np.floor(np.where(far < 1, far * 256, 256 + 256 * np.log(np.maximum(far, 1)))).astype(np.int32)
+
+
+def best_starts(z: np.ndarray, rng: np.random.Generator, starts: int, best: int) -> list[tuple[float, np.ndarray, np.ndarray]]:
+    """(log volume, centre, covariance) of the ``best`` of ``starts`` random subsets of width + 1 rows, each refitted twice to
+    the half of ``z`` nearest to it."""
+    n, width = z.shape
+    out = []
+    for _ in range(starts):
+        part = z[rng.choice(n, min(n, width + 1), replace=False)]
+        for _ in range(2):
+            near = _nearness(z, part.mean(axis=0), np.cov(part.T, bias=True).reshape(width, width))
+            part = z[np.argsort(near, kind="stable")[: max(1, math.ceil(n * SUPPORT))]]
+        cov = np.cov(part.T, bias=True).reshape(width, width)
+        out.append((_log_volume(cov), part.mean(axis=0), cov))
+    return sorted(out, key=lambda x: x[0])[:best]
+
+
+def _group_starts(rows: DataFrame, width: int, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The best starts of every hash group of a sample of at most GROUPS x GROUP_ROWS rows ``(h, z)``, one task a group."""
+    edge = hash_cut(rows, ["h"], GROUPS * GROUP_ROWS, seed=seed)
+    mixed = hash_key(["h"], seed)
+    chosen = rows.where(mixed <= F.lit(edge)).select("z", mixed.alias("h")).orderBy("h").limit(GROUPS * GROUP_ROWS)
+
+    def each(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.assign(t=[tuple(v) for v in group["z"]]).sort_values(["h", "t"])
+        found = best_starts(np.stack(group["z"].to_numpy()), np.random.default_rng([seed, int(group["g"].iloc[0])]), STARTS, BEST)
+        return pd.DataFrame({"g": int(group["g"].iloc[0]), "i": range(len(found)), "mean": [m for _, m, _ in found], "cov": [c.ravel() for _, _, c in found]})
+
+    groups = chosen.withColumn("g", F.pmod(F.crc32(F.col("h").cast("binary")), F.lit(GROUPS)).cast("int"))
+    got = groups.groupBy("g").applyInPandas(each, "g int, i int, mean array<double>, cov array<double>").orderBy("g", "i").collect()
+    return [(np.array(r["mean"]), np.array(r["cov"]).reshape(width, width)) for r in got]
+
+
+def _held_edges(rows: DataFrame, fits: list[tuple[np.ndarray, np.ndarray]]) -> list[int]:
+    """For every fit, the bin of distances that fills the half of the rows nearest to it; one pass for all fits."""
+
+    def tally(parts):
+        found = [{} for _ in fits]
+        for part in parts:
+            if len(part):
+                z = np.stack(part["z"].to_numpy())
+                for at, fit in zip(found, fits):
+                    for b, n in zip(*np.unique(_bins(_nearness(z, *fit)), return_counts=True)):
+                        at[b] = at.get(b, 0) + n
+        yield pd.DataFrame([(k, b, n) for k, at in enumerate(found) for b, n in at.items()], columns=["k", "b", "n"]).astype({"k": "int32", "b": "int32", "n": "int64"})
+
+    counts: list[list] = [[] for _ in fits]
+    for r in rows.select("z").mapInPandas(tally, "k int, b int, n long").groupBy("k", "b").agg(F.sum("n").alias("n")).orderBy("k", "b").collect():
+        counts[r.k].append((r.b, r.n))
+    out = []
+    for at in counts:
+        held = np.cumsum([n for _, n in at])
+        out.append(at[int(np.searchsorted(held, SUPPORT * held[-1]))][0])
+    return out
+
+
+def _refitted(rows: DataFrame, fits: list[tuple[np.ndarray, np.ndarray]], edges: list[int], width: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Centre and covariance of the rows within each fit's edge; one pass for all fits, tasks send sums."""
+
+    def sums(parts):
+        total = np.zeros((len(fits), 1 + width + width * width))
+        for part in parts:
+            if len(part):
+                z = np.stack(part["z"].to_numpy())
+                for k, (fit, edge) in enumerate(zip(fits, edges)):
+                    near = z[_bins(_nearness(z, *fit)) <= edge] - fit[0]
+                    total[k] += np.concatenate([[len(near)], near.sum(axis=0), (near.T @ near).ravel()])
+        yield pd.DataFrame({"k": np.arange(len(fits), dtype="int32"), "s": list(total)})
+
+    each = rows.select("z").mapInPandas(sums, "k int, s array<double>").select("k", F.posexplode("s").alias("i", "x"))
+    total = np.zeros((len(fits), 1 + width + width * width))
+    for r in each.groupBy("k", "i").agg(F.sum("x").alias("x")).collect():
+        total[r.k, r.i] = r.x
+    out = []
+    for (mean, _), t in zip(fits, total):
+        shift = t[1 : 1 + width] / t[0]
+        out.append((mean + shift, t[1 + width :].reshape(width, width) / t[0] - np.outer(shift, shift)))
+    return out
+
+
+def _covariance(df: DataFrame, vector: Column, width: int, max_steps: int, seed: int, key: Sequence[str]) -> DataFrame:
+    """Robust distance by concentration steps from many starts (Rousseeuw and Van Driessen 1999).
+
+    Hash groups of a bounded sample each try STARTS random subsets of width + 1 rows, refit them twice to the nearest half
+    and send their BEST; the median and spread of each column are one start more. All starts then take steps over the whole
+    table together: keep the half of the rows nearest to the centre, refit, until the determinant stops falling. The lowest
+    determinant wins, so an outlying cluster of up to almost half of the rows doesn't mislead the result as it would mislead
+    the median. A step is two passes whatever the number of starts; a start that meets another one's fit is dropped. The
+    sample only proposes starts: every step and the winner's determinant are those of all rows.
     """
-    rows = df.withColumn("v", vector).select("v").persist()
+    mixed = F.md5(F.concat(hash_key(key, seed), F.xxhash64("v").cast("string")))  # rows of a key shared by many are told apart
+    keyed = df.withColumn("v", vector).select(mixed.alias("h"), "v")
+    long = keyed.select(F.posexplode("v").alias("feature", "value"))
+    quart: dict[int, dict[float, float]] = {i: {} for i in range(width)}
+    for r in quantiles_of(long, [0.25, 0.5, 0.75], groups=width).collect():
+        quart[r.feature][r.p] = r.q
+    middle = np.array([quart[i].get(0.5, 0.0) for i in range(width)])
+    spread = np.array([(quart[i].get(0.75, 0.0) - quart[i].get(0.25, 0.0)) / 1.349 for i in range(width)])
+    spread = np.where(spread > 0, spread, 1.0)
+    scaled = F.array(*[(F.get("v", F.lit(i)) - F.lit(float(middle[i]))) / F.lit(float(spread[i])) for i in range(width)])
+    rows = keyed.select("h", scaled.alias("z")).persist()
     try:
-        long = rows.select(F.posexplode("v").alias("feature", "value"))
-        quart: dict[int, dict[float, float]] = {i: {} for i in range(width)}
-        for r in quantiles_of(long, [0.25, 0.5, 0.75], groups=width).collect():
-            quart[r.feature][r.p] = r.q
-        mean = np.array([quart[i].get(0.5, 0.0) for i in range(width)])
-        spread = np.array([(quart[i].get(0.75, 0.0) - quart[i].get(0.25, 0.0)) / 1.349 for i in range(width)])
-        cov = np.diag(np.where(spread > 0, spread, 1.0) ** 2)
-        last = math.inf
+        if rows.isEmpty():
+            return df.withColumn("score", F.lit(0.0))
+        fits = [(np.zeros(width), np.eye(width)), *_group_starts(rows, width, seed)]
+        live, best = [(math.inf, f) for f in fits], (math.inf, fits[0])
         for _ in range(max_steps):
-            dist = rows.select("v", mahalanobis(mean, cov).alias("d"))
-            far = F.sqrt(F.greatest("d", F.lit(0.0)))
-            bin_ = F.floor(F.when(far < 1, far * 256).otherwise(256 + 256 * F.ln(far))).cast("int")
-            counts = sorted((r["b"], r["count"]) for r in dist.groupBy(bin_.alias("b")).count().collect())
-            held = np.cumsum([c for _, c in counts])
-            edge = counts[int(np.searchsorted(held, SUPPORT * held[-1]))][0]
-            mean, cov, _ = _moments(dist.where(bin_ <= edge), width)
-            det = float(np.linalg.slogdet(cov + np.eye(width) * 1e-12)[1])
-            if not det < last - 1e-6:
+            fits = [f for _, f in live]
+            following, seen = [], []
+            for (last, _), fit in zip(live, _refitted(rows, fits, _held_edges(rows, fits), width)):
+                size = _log_volume(fit[1])
+                if size < best[0]:
+                    best = (size, fit)
+                met = any(abs(size - other) < 1e-9 and np.allclose(fit[0], centre, atol=1e-9) for other, centre in seen)
+                if size < last - 1e-6 and not met:
+                    following.append((size, fit))
+                    seen.append((size, fit[0]))
+            live = following
+            if not live:
                 break
-            last = det
         else:
             raise RuntimeError(f"the covariance did not settle within {max_steps} steps")
     finally:
         rows.unpersist()
+    mean, cov = middle + spread * best[1][0], best[1][1] * np.outer(spread, spread)
     return df.withColumn("v", vector).withColumn("score", mahalanobis(mean, cov)).drop("v")

@@ -15,6 +15,7 @@ from tablemine.operators.clusters import kmeans
 from tablemine.operators.learners import (
     AdaBoost, DecisionTree, Knn, LinearRegression, LogisticRegression, NaiveBayes, NeuralNetwork, RandomForest, Sgd, Svm,
 )
+from tablemine.operators.outliers import outlier_scores
 from tablemine.operators.prep import Preprocessor
 from tablemine.plans.registry import query, rounded, table
 
@@ -100,3 +101,17 @@ def _kmeans(spark, sf):
 SELECT (c_nationkey % 3 * 1000)::DOUBLE AS far, round(avg(c_acctbal / 10000), 6) + 0.0 AS near FROM customer GROUP BY c_nationkey % 3""")
 def _centroids(spark, sf):
     return rounded(kmeans(_customers(spark, sf), k=3)[1].select("far", "near"))
+
+
+@query("outliers_covariance_planted", """
+SELECT o_orderkey, CASE WHEN o_orderkey % 5 < 2 THEN 'outlier' ELSE 'inlier' END AS part FROM orders""")
+def _covariance_planted(spark, sf):
+    """Two of five orders lie in a tight cluster far off: too many for a start from the medians alone."""
+    far = F.col("o_orderkey") % 5 < 2
+    wide = lambda c, a: F.crc32(F.concat(F.lit(a), c.cast("string")).cast("binary")) / F.lit(2.0**32)
+    a, b = wide(F.col("o_orderkey"), "a"), wide(F.col("o_orderkey"), "b")
+    df = table(spark, sf, "orders").select(
+        "o_orderkey", F.when(far, a / 10 + 500).otherwise(a).alias("a"), F.when(far, b / 10 - 500).otherwise(a + b).alias("b"),
+    )
+    scored = outlier_scores(set_roles(df, metas=["o_orderkey"]), method="covariance", key=["o_orderkey"])
+    return scored.select("o_orderkey", F.when(F.col("score") > 1000, "outlier").otherwise("inlier").alias("part"))

@@ -93,6 +93,36 @@ def test_other_detectors(spark, method):
     assert again == out
 
 
+@pytest.mark.parametrize("share", [0.4, 0.45])
+def test_covariance_sees_a_cluster_that_misleads_the_median(spark, share):
+    rng = np.random.default_rng(5)
+    n, far = 1000, int(1000 * share)
+    x = np.vstack([rng.normal(size=(n - far, 3)) @ np.array([[1, 0.9, 0], [0, 0.3, 0], [0, 0, 2.0]]), rng.normal((6, -6, 9), 0.5, (far, 3))])
+    df = set_roles(spark.createDataFrame(pd.DataFrame(x, columns=list("abc")).assign(id=range(n))), metas=["id"])
+    got = outlier_scores(df, method="covariance", key=["id"]).toPandas().sort_values("id")["score"].to_numpy()
+    assert got[n - far :].min() > 50 and np.median(got[: n - far]) < 10
+    again = outlier_scores(df.repartition(7), method="covariance", key=["id"]).toPandas().sort_values("id")["score"].to_numpy()
+    assert np.allclose(got, again)
+
+
+def test_covariance_is_a_fixed_point_of_its_half(spark):
+    """The scores are distances from the fit to the rows with the smaller half of the scores, up to one bin of distances."""
+    rng = np.random.default_rng(6)
+    x = rng.standard_t(3, size=(600, 2))
+    df = set_roles(spark.createDataFrame(pd.DataFrame(x, columns=list("ab")).assign(id=range(600))), metas=["id"])
+    got = outlier_scores(df, method="covariance", key=["id"]).toPandas().sort_values("id")["score"].to_numpy()
+    half = x[np.argsort(got)[:300]]
+    dev = x - half.mean(axis=0)
+    again = np.einsum("ij,jk,ik->i", dev, np.linalg.inv(np.cov(half.T, bias=True)), dev)
+    assert np.corrcoef(got, again)[0, 1] > 0.999
+
+
+def test_covariance_with_few_rows(spark):
+    df = set_roles(spark.createDataFrame([(1, 2.0, None), (2, 2.0, 1.0), (3, None, 1.0)], "id long, a double, b double"), metas=["id"])
+    for n in (0, 1, 3):
+        assert outlier_scores(df.where(F.col("id") <= n), method="covariance", key=["id"]).where("score >= 0").count() == n
+
+
 def brute_dbscan(x, eps, minimum, metric):
     d = distances(x, x, metric)
     near = d <= eps
