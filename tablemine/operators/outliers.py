@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +24,8 @@ TREES, TREE_ROWS = 100, 256
 SUPPORT = 0.5
 #: Its starts: groups of the sample, rows in each, random subsets tried in each, and how many of them go on to the whole table.
 GROUPS, GROUP_ROWS, STARTS, BEST = 5, 400, 100, 2
+#: Steps over the whole table that all starts take, and how many of them then go on until they settle.
+SHARED_STEPS, FINALISTS = 2, 2
 
 
 def outlier_scores(
@@ -198,7 +201,7 @@ def mahalanobis(mean: np.ndarray, cov: np.ndarray) -> Column:
 
 def _nearness(z: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> np.ndarray:
     dev = z - mean
-    return np.maximum(np.einsum("ij,jk,ik->i", dev, np.linalg.pinv(cov, hermitian=True), dev), 0.0)
+    return np.maximum((dev @ np.linalg.pinv(cov, hermitian=True) * dev).sum(axis=1), 0.0)
 
 
 def _log_volume(cov: np.ndarray) -> float:
@@ -242,21 +245,26 @@ def _group_starts(rows: DataFrame, width: int, seed: int) -> list[tuple[np.ndarr
     return [(np.array(r["mean"]), np.array(r["cov"]).reshape(width, width)) for r in got]
 
 
-def _held_edges(rows: DataFrame, fits: list[tuple[np.ndarray, np.ndarray]]) -> list[int]:
+def _matrix(part: pa.RecordBatch, width: int) -> np.ndarray:
+    return part.column("z").flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+
+
+def _held_edges(rows: DataFrame, fits: list[tuple[np.ndarray, np.ndarray]], width: int) -> list[int]:
     """For every fit, the bin of distances that fills the half of the rows nearest to it; one pass for all fits."""
 
     def tally(parts):
         found = [{} for _ in fits]
         for part in parts:
-            if len(part):
-                z = np.stack(part["z"].to_numpy())
-                for at, fit in zip(found, fits):
-                    for b, n in zip(*np.unique(_bins(_nearness(z, *fit)), return_counts=True)):
-                        at[b] = at.get(b, 0) + n
-        yield pd.DataFrame([(k, b, n) for k, at in enumerate(found) for b, n in at.items()], columns=["k", "b", "n"]).astype({"k": "int32", "b": "int32", "n": "int64"})
+            z = _matrix(part, width)
+            for at, fit in zip(found, fits):
+                counts = np.bincount(_bins(_nearness(z, *fit)), minlength=1)
+                for b in np.flatnonzero(counts).tolist():
+                    at[b] = at.get(b, 0) + int(counts[b])
+        rows = [(k, b, n) for k, at in enumerate(found) for b, n in at.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int64()))], ["k", "b", "n"])
 
     counts: list[list] = [[] for _ in fits]
-    for r in rows.select("z").mapInPandas(tally, "k int, b int, n long").groupBy("k", "b").agg(F.sum("n").alias("n")).orderBy("k", "b").collect():
+    for r in rows.select("z").mapInArrow(tally, "k int, b int, n long").groupBy("k", "b").agg(F.sum("n").alias("n")).orderBy("k", "b").collect():
         counts[r.k].append((r.b, r.n))
     out = []
     for at in counts:
@@ -271,14 +279,13 @@ def _refitted(rows: DataFrame, fits: list[tuple[np.ndarray, np.ndarray]], edges:
     def sums(parts):
         total = np.zeros((len(fits), 1 + width + width * width))
         for part in parts:
-            if len(part):
-                z = np.stack(part["z"].to_numpy())
-                for k, (fit, edge) in enumerate(zip(fits, edges)):
-                    near = z[_bins(_nearness(z, *fit)) <= edge] - fit[0]
-                    total[k] += np.concatenate([[len(near)], near.sum(axis=0), (near.T @ near).ravel()])
-        yield pd.DataFrame({"k": np.arange(len(fits), dtype="int32"), "s": list(total)})
-
-    each = rows.select("z").mapInPandas(sums, "k int, s array<double>").select("k", F.posexplode("s").alias("i", "x"))
+            z = _matrix(part, width)
+            for k, (fit, edge) in enumerate(zip(fits, edges)):
+                near = z[_bins(_nearness(z, *fit)) <= edge] - fit[0]
+                total[k] += np.concatenate([[len(near)], near.sum(axis=0), (near.T @ near).ravel()])
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(fits)), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], ["k", "s"])
+
+    each = rows.select("z").mapInArrow(sums, "k int, s array<double>").select("k", F.posexplode("s").alias("i", "x"))
     total = np.zeros((len(fits), 1 + width + width * width))
     for r in each.groupBy("k", "i").agg(F.sum("x").alias("x")).collect():
         total[r.k, r.i] = r.x
@@ -294,8 +301,8 @@ def _covariance(df: DataFrame, vector: Column, width: int, max_steps: int, seed:
 
     Hash groups of a bounded sample each try STARTS random subsets of width + 1 rows, refit them twice to the nearest half
     and send their BEST; the median and spread of each column are one start more. All starts then take steps over the whole
-    table together: keep the half of the rows nearest to the centre, refit, until the determinant stops falling. The lowest
-    determinant wins, so an outlying cluster of up to almost half of the rows doesn't mislead the result as it would mislead
+    table together: keep the half of the rows nearest to the centre, refit. After SHARED_STEPS the FINALISTS of lowest determinant go
+    on until it stops falling. The lowest determinant wins, so an outlying cluster of up to almost half of the rows doesn't mislead the result as it would mislead
     the median. A step is two passes whatever the number of starts; a start that meets another one's fit is dropped. The
     sample only proposes starts: every step and the winner's determinant are those of all rows.
     """
@@ -315,10 +322,10 @@ def _covariance(df: DataFrame, vector: Column, width: int, max_steps: int, seed:
             return df.withColumn("score", F.lit(0.0))
         fits = [(np.zeros(width), np.eye(width)), *_group_starts(rows, width, seed)]
         live, best = [(math.inf, f) for f in fits], (math.inf, fits[0])
-        for _ in range(max_steps):
+        for step in range(max_steps):
             fits = [f for _, f in live]
             following, seen = [], []
-            for (last, _), fit in zip(live, _refitted(rows, fits, _held_edges(rows, fits), width)):
+            for (last, _), fit in zip(live, _refitted(rows, fits, _held_edges(rows, fits, width), width)):
                 size = _log_volume(fit[1])
                 if size < best[0]:
                     best = (size, fit)
@@ -326,7 +333,7 @@ def _covariance(df: DataFrame, vector: Column, width: int, max_steps: int, seed:
                 if size < last - 1e-6 and not met:
                     following.append((size, fit))
                     seen.append((size, fit[0]))
-            live = following
+            live = sorted(following, key=lambda x: x[0])[:FINALISTS] if step + 1 >= SHARED_STEPS else following
             if not live:
                 break
         else:
