@@ -6,20 +6,21 @@ import re
 import sys
 import types
 from collections.abc import Iterable, Sequence
-from itertools import accumulate, chain
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pieces a worker remembers before the older ones are forgotten (twice as many in all); bounds its memory, never the result.
+#: Parts a worker remembers from call to call, the last used ones; bounds its memory, never the result.
 PIECES = 300_000
 
 _UNSAFE = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S)(?= )")
 _STOPS = re.compile(r"(?<=[^\W_])(?=[.,;:!?])|(?<=\S)(?=\n)")
-#: White space before a space, or the mark that :meth:`Pieces.encode` uses: such texts are cut one by one.
-_ODD = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] |\x00"
+_BLANK = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: White space before a space: such texts are cut one by one.
+_ODD = rf"[{_BLANK}] "
 
 
 def segments(text: str) -> list[str]:
@@ -34,11 +35,13 @@ def segments(text: str) -> list[str]:
 _KEPT = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _OTHERS = [b for b in range(256) if b not in _KEPT]
 BYTE_SYMBOLS = {b: 256 + i for i, b in enumerate(_OTHERS)}
+_SYMBOLS = np.array([BYTE_SYMBOLS.get(b, b) for b in range(256)], "<u4")
 
 
-def symbols(piece: str) -> str:
-    """The UTF-8 bytes of ``piece`` as byte-level files spell them."""
-    return piece.encode().decode("latin-1").translate(BYTE_SYMBOLS)
+def symbols(words: Sequence[str]) -> list[str]:
+    """The UTF-8 bytes of each word as byte-level files spell them; no word holds a line end."""
+    data = np.frombuffer("\n".join(words).encode(), np.uint8)
+    return _SYMBOLS[data].tobytes().decode("utf-32-le").split(chr(BYTE_SYMBOLS[10]))
 
 
 def _plain(piece: str) -> bool:
@@ -47,21 +50,37 @@ def _plain(piece: str) -> bool:
     return body.isalpha() and (body.isascii() or max(body) < "\u0100")
 
 
-def _parts(piece: str) -> list[str]:
-    """``piece`` cut between a letter or digit and a stop, and before a line end; the usual case without the pattern."""
-    if piece[-1:] in ".,;:!?" and piece[1:-1].isalnum() and piece[-2:-1] != "":
-        return [piece[:-1], piece[-1:]]
-    return _STOPS.split(piece)
+def _unused(texts: pa.Array) -> str:
+    """A character that no text holds, to mark cuts with."""
+    return next(c for c in map(chr, chain(range(9), range(0xF0000, 0x10FFFE))) if not pc.any(pc.match_substring(texts, c)).as_py())
+
+
+def _parted(pieces: pa.Array, mark: str) -> pa.ListArray:
+    """Each piece cut as by ``_STOPS``, all at once; no piece holds the mark."""
+    stop = pc.match_substring_regex(pieces, r"[.,;:!?\n]")
+    cut = pc.replace_substring_regex(pieces.filter(stop), rf"([\p{{L}}\p{{N}}])([.,;:!?])", rf"\1{mark}\2")
+    cut = pc.replace_substring_regex(cut, rf"([^{_BLANK}])\n", f"\\1{mark}\n")
+    return pc.split_pattern(pc.replace_with_mask(pieces, stop, cut), mark)
+
+
+def _runs(flat: np.ndarray, size: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the runs ``at`` of ``flat`` one after the other, where each ends); ``size`` holds the lengths of all runs of ``flat``."""
+    n = size[at]
+    end = np.cumsum(n)
+    start = (np.cumsum(size) - size)[at]
+    return flat[np.arange(end[-1] if len(end) else 0) + np.repeat(start - (end - n), n)], end
 
 
 class Pieces:
     """Encodes texts as little-endian unsigned 32-bit ids.
 
     Where the tokenizer itself always parts a text, it may be cut without changing its tokens: before white space that
-    follows other characters, and between a letter or digit and a stop. That holds for byte-level files that split by the usual
-    pattern and for files that drop white space. Others encode every text whole. Special strings are never cut. A text is cut
-    before spaces; pieces met for the first time are cut further, so that the tokenizer sees each word without its stops. A word of
-    plain letters is left whole by all steps before the tokenizer's model, so the model alone encodes it, in half the time.
+    follows other characters, and between a letter or digit and a stop. That holds for
+    byte-level files that split by the usual pattern and for files that drop white space. Others encode every text whole.
+    Special strings are never cut. A text is cut before spaces; each distinct piece of a call is cut further, so that the
+    tokenizer sees each word without its stops. A word of plain letters is left whole by all steps before the tokenizer's model,
+    so the model alone encodes it, in half the time. What is known lies in arrays: all look-ups of a call are one, and a part
+    takes about as many bytes as it and its ids have.
     """
 
     def __init__(self, path: str):
@@ -89,69 +108,86 @@ class Pieces:
             if own:
                 self.spell = symbols
             elif byte_level and not byte_level[0].get("add_prefix_space") and len(kinds) == 2 and "Lowercase" in steps and {*steps} <= {"NFC", "Replace", "Lowercase"}:
-                self.spell = lambda piece: symbols(piece.lstrip(" ").lower())
+                self.spell = lambda words: symbols("\n".join(words).replace(" ", "").lower().split("\n"))
         self.width = self.tokenizer.get_vocab_size()
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.parts = pa.array([], pa.large_string())
+        self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, "<u4")
+        self.calls, self.used = 0, np.zeros(0, np.int64)
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         """Ids of each text, begin, end and padding left out; NULL is empty.
 
-        The texts of a call are cut together, each distinct piece is looked up once, and the ids are laid out by arrays.
+        The texts of a call are cut together, each distinct piece is cut further once, each distinct part is looked up once,
+        and the ids are laid out by arrays.
         """
-        if len(self.known) > PIECES:
-            self.known, self.older = {}, self.known
+        self._trim()
         clean = [t or "" for t in texts]
         rows = pa.array(clean, pa.large_string())
         even = np.asarray(pc.invert(pc.match_substring_regex(rows, _ODD))) if self.separable else np.zeros(len(clean), bool)
         out = [b""] * len(clean)
-        for i in np.flatnonzero(~even).tolist():
-            cut = segments(clean[i]) if self.separable else [clean[i]]
-            self._learn(set(cut))
-            out[i] = b"".join(map(self.known.__getitem__, cut))
-        split = pc.split_pattern(pc.replace_substring(rows.filter(pa.array(even)), " ", "\0 "), "\0")
-        coded = pc.list_flatten(split).dictionary_encode()
-        pieces = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # many times as fast as to_pylist
-        self._learn(set(pieces))
-        found = [self.known[p] for p in pieces]
-        size = np.array([len(x) // 4 for x in found], np.int64)
-        flat, start = np.frombuffer(b"".join(found), "<u4"), np.cumsum(size) - size
-        piece = np.asarray(coded.indices)
-        n = size[piece]
-        end = np.cumsum(n)
-        ids = flat[np.arange(end[-1] if len(end) else 0) + np.repeat(start[piece] - (end - n), n)]
-        word_end = np.cumsum(np.asarray(pc.list_value_length(split)))
-        last = np.r_[0, end][word_end]
-        for i, a, b in zip(np.flatnonzero(even).tolist(), np.r_[0, last[:-1]].tolist(), last.tolist()):
-            out[i] = ids[a:b].tobytes()
+        odd = np.flatnonzero(~even).tolist()
+        if odd:
+            cut = [segments(clean[i]) if self.separable else [clean[i]] for i in odd]
+            self._deal(out, odd, pa.array(chain.from_iterable(cut), pa.large_string()), np.fromiter(map(len, cut), np.int64, len(cut)))
+        if len(odd) < len(clean):
+            rows = rows.filter(pa.array(even))
+            mark = _unused(rows)
+            split = pc.split_pattern(pc.replace_substring(rows, " ", mark + " "), mark)
+            self._deal(out, np.flatnonzero(even).tolist(), pc.list_flatten(split), np.asarray(pc.list_value_length(split)))
         return out
 
-    def _learn(self, pieces: set[str]) -> None:
-        """Make sure the pieces are known: from before, from their parts between stops, or from the tokenizer."""
-        unknown = pieces.difference(self.known)
-        again = unknown.intersection(self.older)
-        self.known.update(zip(again, map(self.older.__getitem__, again)))
-        new = list(unknown.difference(again))
+    def _deal(self, out: list[bytes], rows: list[int], pieces: pa.Array, counts: np.ndarray) -> None:
+        """Give each of the ``rows`` the ids of its ``counts`` pieces."""
+        coded = pieces.dictionary_encode()
         if self.separable:
-            parted = {p: x for p in new if not p[1:].isalnum() and len(x := _parts(p)) > 1}
-            if parted:
-                self._learn(set().union(*parted.values()).difference(parted))
-                for p, x in parted.items():
-                    self.known[p] = b"".join(map(self.known.__getitem__, x))
-                new = [p for p in new if p not in self.known]
+            parted = _parted(coded.dictionary, _unused(coded.dictionary))
+            ids, end = self._ids(pc.list_flatten(parted))
+            last = np.cumsum(np.asarray(pc.list_value_length(parted)))
+        else:
+            ids, end = self._ids(coded.dictionary)
+            last = np.arange(1, len(end) + 1)
+        size = np.diff(np.r_[0, end][np.r_[0, last]])
+        ids, end = _runs(ids, size, np.asarray(coded.indices))
+        cut = np.r_[0, end][np.r_[0, np.cumsum(counts)]].tolist()
+        for i, a, b in zip(rows, cut, cut[1:]):
+            out[i] = ids[a:b].tobytes()
+
+    def _ids(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the parts one after the other, where those of each part end)."""
+        coded = parts.dictionary_encode()
+        at = np.array(pc.fill_null(pc.index_in(coded.dictionary, value_set=self.parts), -1))
+        self.calls += 1
+        self.used[at[at >= 0]] = self.calls
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            at[new] = len(self.parts) + np.arange(len(new))
+            self._learn(coded.dictionary.take(pa.array(new)))
+        return _runs(self.flat, self.size, at[np.asarray(coded.indices)])
+
+    def _learn(self, new: pa.Array) -> None:
+        """Encode parts met for the first time and remember them."""
+        parts = new.to_numpy(zero_copy_only=False).tolist()  # many times as fast as to_pylist
+        found: list[list[int] | None] = [None] * len(parts)
         if self.spell is not None:
-            tokens, spell = self.tokenizer.model.tokenize, self.spell
-            plain = [p for p in new if _plain(p)]
-            self._keep(plain, [[t.id for t in tokens(spell(p))] for p in plain])
-            new = [p for p in new if p not in self.known]
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            self._keep(part, [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)])
-
-    def _keep(self, pieces: list[str], found: list[list[int]]) -> None:
-        data = np.fromiter(chain.from_iterable(found), "<u4").tobytes()
-        ends = list(accumulate(4 * len(x) for x in found))
-        self.known.update(zip(pieces, (data[a:b] for a, b in zip([0, *ends], ends))))
+            tokens, plain = self.tokenizer.model.tokenize, [i for i, p in enumerate(parts) if _plain(p)]
+            for i, p in zip(plain, self.spell([parts[i] for i in plain])):
+                found[i] = [t.id for t in tokens(p)]
+        other = [i for i, x in enumerate(found) if x is None]
+        for k in range(0, len(other), 4096):
+            some = other[k : k + 4096]
+            for i, e in zip(some, self.tokenizer.encode_batch_fast([parts[i] for i in some], add_special_tokens=False)):
+                found[i] = e.ids
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), "<u4", int(size.sum()))])
+        self.size, self.used = np.concatenate([self.size, size]), np.concatenate([self.used, np.full(len(new), self.calls)])
+        self.parts = pa.concat_arrays([self.parts, new])
+
+    def _trim(self) -> None:
+        """Forget the parts used longest ago, beyond PIECES."""
+        if len(self.parts) > PIECES:
+            keep = np.argpartition(-self.used, PIECES)[:PIECES]
+            self.flat, _ = _runs(self.flat, self.size, keep)
+            self.size, self.used, self.parts = self.size[keep], self.used[keep], self.parts.take(pa.array(keep))
 
 
 def pieces_of(path: str) -> Pieces:

@@ -1,6 +1,7 @@
 """Token counts, binary records and packing against the tokenizers library."""
 
 import random
+import sys
 import zlib
 
 import numpy as np
@@ -33,6 +34,32 @@ def test_pieces_give_the_ids_of_the_whole(path, monkeypatch):
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_known_parts_cost_no_step_of_python_each(path):
+    p, rng = encoding.Pieces(path), random.Random(4)
+    text = " ".join("".join(rng.choice("abcdeé") for _ in range(8)) + rng.choice(["", ",", ".\nA"]) for _ in range(5000))
+    steps = []
+    first = p.encode([text])
+    sys.setprofile(lambda frame, event, arg: steps.append(event))
+    try:
+        again = p.encode([text])
+    finally:
+        sys.setprofile(None)
+    assert again == first and np.frombuffer(first[0], "<u4").tolist() == ids(path, text)
+    assert len(steps) < 1000
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_any_character_may_be_in_a_text(path):
+    p = encoding.Pieces(path)
+    texts = ["", "\0 a.\nb \1\2 c, d", "".join(map(chr, range(12))) + "x.y  z", "a.\n\nb", None, "\U000f0000.\n"]
+    for separable in (p.separable, False):
+        p.separable = separable
+        for some in (texts, [x for x in texts if x != texts[2]]):
+            assert [np.frombuffer(x, "<u4").tolist() for x in p.encode(some)] == [ids(path, x or "") for x in some]
+    assert p.encode([]) == []
+
+
 def test_transducer_counts_like_the_library(monkeypatch):
     monkeypatch.setattr(token_counts, "PARTS", 200)
     monkeypatch.setattr(token_counts, "STATES", 300)
