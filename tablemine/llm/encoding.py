@@ -17,7 +17,12 @@ PIECES = 300_000
 
 _UNSAFE = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S)(?= )")
-_STOPS = re.compile(r"(?<=[^\W_])(?=[.,;:!?])|(?<=\S)(?=\n)")
+# Letters that end in a mark once composed and in lower case, so a stop behind them may belong to the mark's token.
+_MARKED = (
+    "\u0130\u0958-\u095f\u09dc\u09dd\u09df\u0a33\u0a36\u0a59-\u0a5b\u0a5e\u0b5c\u0b5d\u0f43\u0f4d\u0f52\u0f57\u0f5c\u0f69"
+    "\ufb1d\ufb1f\ufb2a-\ufb36\ufb38-\ufb3c\ufb3e\ufb40\ufb41\ufb43\ufb44\ufb46-\ufb4e"
+)
+_STOPS = re.compile(rf"(?<=[^\W_{_MARKED}])(?=[.,;:!?])|(?<=\S)(?=\n)")
 _BLANK = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 #: White space before a space: such texts are cut one by one.
 _ODD = rf"[{_BLANK}] "
@@ -58,7 +63,7 @@ def _unused(texts: pa.Array) -> str:
 def _parted(pieces: pa.Array, mark: str) -> pa.ListArray:
     """Each piece cut as by ``_STOPS``, all at once; no piece holds the mark."""
     stop = pc.match_substring_regex(pieces, r"[.,;:!?\n]")
-    cut = pc.replace_substring_regex(pieces.filter(stop), rf"([\p{{L}}\p{{N}}])([.,;:!?])", rf"\1{mark}\2")
+    cut = pc.replace_substring_regex(pieces.filter(stop), rf"([^\P{{L}}{_MARKED}]|\p{{N}})([.,;:!?])", rf"\1{mark}\2")
     cut = pc.replace_substring_regex(cut, rf"([^{_BLANK}])\n", f"\\1{mark}\n")
     return pc.split_pattern(pc.replace_with_mask(pieces, stop, cut), mark)
 
@@ -75,7 +80,7 @@ class Pieces:
     """Encodes texts as little-endian unsigned 32-bit ids.
 
     Where the tokenizer itself always parts a text, it may be cut without changing its tokens: before white space that
-    follows other characters, and between a letter or digit and a stop. That holds for
+    follows other characters, and between a letter or digit (but for those that end in a mark) and a stop. That holds for
     byte-level files that split by the usual pattern and for files that drop white space. Others encode every text whole.
     Special strings are never cut. A text is cut before spaces; each distinct piece of a call is cut further, so that the
     tokenizer sees each word without its stops. A word of plain letters is left whole by all steps before the tokenizer's model,

@@ -60,6 +60,12 @@ def test_any_character_may_be_in_a_text(path):
     assert p.encode([]) == []
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_stops_behind_letters_that_end_in_a_mark(path):
+    texts = [f"x{c}.y {c}, {c}\n{c}! {c} ." for c in "\u0130\u0958\u095f\u09dc\u09df\u0a33\u0a5e\u0b5d\u0f43\u0f69\ufb1d\ufb2a\ufb4e" + "é日²"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoding.Pieces(path).encode(texts)] == [ids(path, x) for x in texts]
+
+
 def test_transducer_counts_like_the_library(monkeypatch):
     monkeypatch.setattr(token_counts, "PARTS", 200)
     monkeypatch.setattr(token_counts, "STATES", 300)
