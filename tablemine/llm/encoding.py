@@ -222,3 +222,12 @@ def batches(texts: Iterable, most_chars: int = 4_000_000) -> Iterable[tuple[int,
             start, total = i + 1, 0
     if start < len(texts):
         yield start, len(texts)
+
+
+def slices(texts: pa.Array, most_bytes: int = 4_000_000) -> Iterable[tuple[int, list[str | None]]]:
+    """(from, texts) of runs of about ``most_bytes`` bytes each, one text at least; only the run at hand is Python strings."""
+    end = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    cut = [0, *(np.flatnonzero(np.diff(end // most_bytes)) + 1).tolist(), len(texts)]
+    for i, j in zip(cut, cut[1:]):
+        if i < j:
+            yield i, texts.slice(i, j - i).to_pylist()

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -127,6 +128,52 @@ def test_damage_is_noticed():
     assert records.unframe(records.frame(None, np.array([70000]), True), 0)[:2] == (None, np.array([70000]))
 
 
+def test_a_shard_is_read_in_splits(spark):
+    """No reader holds a whole shard, and splits that end anywhere, also inside a mark, lose and repeat nothing."""
+    rng = random.Random(11)
+    texts = ["".join(rng.choice(PARTS) for _ in range(rng.randrange(0, 40))) for _ in range(80)]
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "211")
+    try:
+        folder = records.records_folder(spark)
+        records.write_records(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), folder, BYTE, shards=1)
+        read = records.read_records(spark, folder)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "307")  # splits may change between two jobs
+        tasks, got = read.rdd.getNumPartitions(), sorted(read.collect(), key=lambda r: r.doc_id)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    want = [[*ids(BYTE, x), 2] for x in texts]
+    assert tasks > 10
+    assert [(r.doc_id, np.frombuffer(bytes(r.ids), "<u4").tolist()) for r in got] == list(enumerate(want))
+    starts = [0, *np.cumsum([len(w) for w in want]).tolist()[:-1]]
+    assert [r.start for r in got] == starts
+    (shard,) = (bytes(f.content) for f in spark.read.format("binaryFile").load(f"{folder}/data").where("length > 0").collect())
+    index = sorted(spark.read.parquet(f"{folder}/index").collect(), key=lambda e: e.offset)
+    assert [(e.doc_id, e.start, e.n_tokens) for e in index] == [(i, s, len(w)) for i, (s, w) in enumerate(zip(starts, want))]
+    for e in index:
+        doc_id, found, after = records.unframe(shard, e.offset)
+        assert (doc_id, found.tolist(), after) == (e.doc_id, want[e.doc_id], e.offset + e.length)
+
+
+def test_a_cut_or_lengthened_record_is_noticed():
+    whole = records.frame(7, np.arange(10), False)
+    for bad in (whole[:-1], whole[:20], b"", whole + b"\0", whole + b"\n" + whole):
+        batch = pa.RecordBatch.from_pydict({"shard": ["s"], "record": [bad]})
+        heads = pa.RecordBatch.from_pydict({"shard": ["s"], "head": [bad[: records.HEAD + records.INFO]], "size": [len(bad)]})
+        for read, b in ((records._sequences, batch), (records._entries, heads)):
+            with pytest.raises(ValueError):
+                list(read(iter([b])))
+
+
+def test_slices_hold_every_text_once():
+    texts = ["abc", None, "", "日本", "x" * 30, "y", None]
+    for most in (1, 4, 7, 1000):
+        got = list(encoding.slices(pa.array(texts), most))
+        assert [x for _, some in got for x in some] == texts and [i for i, _ in got] == [0, *np.cumsum([len(s) for _, s in got]).tolist()[:-1]]
+        assert all(sum(len((x or "").encode()) for x in some[1:]) < most for _, some in got)
+    assert list(encoding.slices(pa.array([], pa.string()))) == []
+
+
 def test_records_of_awkward_and_empty_tables(spark, awkward, empty):
     for df in (awkward, empty):
         folder = records.records_folder(spark)
