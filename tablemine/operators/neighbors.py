@@ -11,7 +11,8 @@ tree of its own, built where its points lie: leaves stay as small as they are, a
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import itertools
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import Window as W
 
 from tablemine.domain import col, finite
 from tablemine.functions.ordering import hash_cut
-from tablemine.session import cut
+from tablemine.session import cut, scratch_path
 
 #: Points per block and queries per chunk (what one task compares at a time).
 BLOCK, CHUNK = 2000, 1000
@@ -36,6 +37,8 @@ INNER_ROWS = 50_000
 INNER_BITS = 24
 #: Rows of the sample that shapes the tree.
 TREE_SAMPLE = 100_000
+#: For :func:`fold_nearest`: points of a leaf, points of a cell inside it, points a task holds before it drops those nobody needs.
+GROUP, CELL, HELD = 32_768, 128, 200_000
 
 METRICS = ("euclidean", "manhattan", "chebyshev", "minkowski")
 
@@ -407,3 +410,166 @@ def weighted_points(df: DataFrame, vector: Column, label: Column | None = None,
     return df.select(vector.alias("v"), label.cast("int").alias("label"), *[e.alias(n) for n, e in extra.items()]).groupBy(
         "v", "label"
     ).agg(F.count(F.lit(1)).alias("w"), *[F.min(n).alias(n) for n in extra])
+
+
+# --- neighbours that never leave the task that finds them ---------------------------------------------------------------
+
+#: (query, neighbour, take) of some queries, as row numbers, by query and rank.
+Lists = Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+
+def _vectors(rows: pa.Table | pa.RecordBatch, width: int) -> np.ndarray:
+    column = rows.column("v")
+    return np.asarray(column.combine_chunks().flatten() if isinstance(column, pa.ChunkedArray) else column.flatten()).reshape(-1, width)
+
+
+def _cells(x: np.ndarray, rows: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    """``rows`` of ``x`` in parts of at most ``size`` that lie together, by halving at the median of the widest dimension."""
+    stack = [rows]
+    while stack:
+        rows = stack.pop()
+        if len(rows) <= size:
+            yield rows
+            continue
+        part = x[rows]
+        order = rows[np.argsort(part[:, int(np.argmax(part.max(0) - part.min(0)))] if x.shape[1] else np.arange(len(rows)), kind="stable")]
+        stack += [order[len(order) // 2 :], order[: len(order) // 2]]
+
+
+def _bounded_cells(x: np.ndarray, own: np.ndarray, asks: np.ndarray, k: int, metric: str, p: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(queries, radius): the queries of each cell of the rows ``own``, and a distance within which each has k others at least."""
+    for cell in _cells(x, own, max(CELL, 2 * (k + 1))):
+        q = cell[asks[cell]]
+        if len(q):
+            yield q, np.partition(distances(x[q], x[cell], metric, p), k, 1)[:, k] if len(cell) > k else np.full(len(q), np.inf)
+
+
+def _lists(x: np.ndarray, w: np.ndarray, own: np.ndarray, asks: np.ndarray, k: int, metric: str, p: float) -> Lists:
+    """The nearest of the points ``x``, which are in order, to those of ``own`` that ask, until their weights reach k."""
+    for q, radius in _bounded_cells(x, own, asks, k, metric, p):
+        reach = radius.max() * (1 + 1e-9) + 1e-12
+        near = np.ones(len(x), bool)
+        for j in range(x.shape[1]):
+            near &= (x[:, j] >= x[q, j].min() - reach) & (x[:, j] <= x[q, j].max() + reach)
+        at = np.flatnonzero(near)
+        for some in np.array_split(np.arange(len(q)), max(1, len(q) * len(at) >> 21)):
+            d = distances(x[q[some]], x[at], metric, p)
+            self = np.searchsorted(at, q[some])
+            alone = w[q[some]] <= 1
+            d[np.flatnonzero(alone), self[alone]] = np.inf
+            edge = np.partition(d, k - 1, 1)[:, k - 1] if len(at) > k else np.full(len(d), np.inf)
+            row, place = np.nonzero((d <= edge[:, None]) & np.isfinite(d))
+            order = np.lexsort((place, d[row, place], row))  # points are in order, so the place settles ties
+            row, place = row[order], place[order]
+            weight = w[at[place]] - (place == self[row])
+            upto = np.cumsum(weight)
+            start = np.searchsorted(row, row)
+            take = np.minimum(weight, k - (upto - weight - (upto - weight)[start]))
+            keep = take > 0
+            yield q[some][row[keep]], at[place[keep]], take[keep]
+
+
+def _meeting(tree: Tree, low: np.ndarray, high: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, leaf) of each point of ``x`` and each leaf whose box ``low``, ``high`` holds it."""
+    inner = tree.dim >= 0
+    lows, highs = (np.empty((len(tree.dim), x.shape[1])) for _ in range(2))
+    lows[~inner], highs[~inner] = low[tree.left[~inner]], high[tree.left[~inner]]
+    for n in np.flatnonzero(inner)[::-1]:  # children come after their parent
+        a, b = tree.left[n], tree.right[n]
+        lows[n], highs[n] = np.minimum(lows[a], lows[b]), np.maximum(highs[a], highs[b])
+    row, node, found = np.arange(len(x)), np.zeros(len(x), dtype=int), []
+    while len(row):
+        inside = ((x[row] >= lows[node]) & (x[row] <= highs[node])).all(1)
+        row, node = row[inside], node[inside]
+        leaf = ~inner[node]
+        found.append((row[leaf], tree.left[node[leaf]]))
+        row, node = row[~leaf], node[~leaf]
+        row, node = np.r_[row, row], np.r_[tree.left[node], tree.right[node]]
+    return tuple(np.concatenate(c).astype(np.int64) if found else np.empty(0, np.int64) for c in zip(*found)) if found else (row, row)
+
+
+def _by_leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[pa.RecordBatch]]]:
+    """Each leaf with the pieces of its rows, of batches in order of leaves."""
+
+    def pieces():
+        for b in batches:
+            leaf = np.asarray(b.column("leaf"))
+            edges = np.flatnonzero(np.r_[True, leaf[1:] != leaf[:-1], True]) if len(leaf) else []
+            for i, j in itertools.pairwise(edges):
+                yield int(leaf[i]), b.slice(i, j - i)
+
+    for leaf, group in itertools.groupby(pieces(), key=lambda x: x[0]):
+        yield leaf, (b for _, b in group)
+
+
+def fold_nearest(
+    points: DataFrame, k: int, fold: Callable[[pa.Table, Lists], Iterator[pa.RecordBatch]], schema: str, *, metric: str = "euclidean", p: float = 2.0, seed: int = 42
+) -> DataFrame:
+    """The rows that ``fold`` makes of points and their k nearest others: those of :func:`nearest` with ``exclude_self``.
+
+    ``points``: distinct v, weight w, asks, and what ``fold`` reads; read several times. A leaf's points come to a task
+    with those of other leaves near enough to be neighbours, so lists of neighbours are neither sent nor kept. In many
+    dimensions all points are near; a task holds about HELD of them and drops those in no list so far.
+    """
+    if metric not in METRICS:
+        raise ValueError(f"unknown metric {metric!r}; known: {', '.join(METRICS)}")
+    n, width = points.count(), len((points.select("v").first() or [[]])[0])
+    columns, cores = points.columns, 4 * points.sparkSession.sparkContext.defaultParallelism
+    leaves = max(1, min(MAX_LEAVES, max(-(-n // GROUP), min(-(-n // BLOCK), cores))))
+    share = F.pmod(F.xxhash64("v", F.lit(seed)), F.lit(1 << 30)) < F.lit(round(min(1.0, 64 * leaves / max(n, 1)) * (1 << 30)))
+    drawn = points.where(share).select("v").toPandas()["v"] if leaves > 1 else []
+    tree = grow_tree(np.stack(drawn.to_numpy()) if len(drawn) else np.zeros((1, width)), leaves)
+
+    def dealt(df: DataFrame, *order: str) -> DataFrame:
+        return df.repartition(tree.leaves, "leaf").sortWithinPartitions("leaf", *order)
+
+    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for leaf, pieces in _by_leaf(batches):
+            rows = pa.Table.from_batches(pieces)
+            x, asks = _vectors(rows, width), np.asarray(rows.column("asks"))
+            low, high = np.full(width, np.inf), np.full(width, -np.inf)
+            for q, radius in _bounded_cells(x, np.arange(len(x)), asks, k, metric, p):
+                r = (radius * (1 + 1e-9) + 1e-12)[:, None]
+                low, high = np.minimum(low, (x[q] - r).min(0)), np.maximum(high, (x[q] + r).max(0))
+            yield pa.RecordBatch.from_arrays([pa.array([leaf]), pa.array([low.tolist()]), pa.array([high.tolist()])], ["leaf", "low", "high"])
+
+    low, high = np.full((tree.leaves, width), np.inf), np.full((tree.leaves, width), -np.inf)
+    if tree.leaves > 1:
+        for r in dealt(with_leaf(points.select("v", "asks"), tree)).mapInArrow(reach, "leaf long, low array<double>, high array<double>").collect():
+            low[r.leaf], high[r.leaf] = r.low, r.high
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = _vectors(b, width)
+            own = tree.leaf_of(x)
+            row, leaf = _meeting(tree, low, high, x)
+            other = leaf != own[row]
+            row, leaf = np.r_[np.arange(len(x)), row[other]], np.r_[own, leaf[other]]
+            out = b.take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(leaf, pa.int32()), pa.array(np.arange(len(row)) >= len(x))], [*columns, "leaf", "foreign"])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, pieces in _by_leaf(batches):
+            held, limit = [], HELD
+            for piece in pieces:
+                held.append(piece)
+                if sum(h.num_rows for h in held) > limit and piece.column("foreign")[-1].as_py():
+                    rows, x, own, asks = ready(held)
+                    needed = ~np.asarray(rows.column("foreign"))
+                    for _, near, _ in _lists(x, np.asarray(rows.column("w")), own, asks, k, metric, p):
+                        needed[near] = True
+                    held = rows.filter(pa.array(needed)).to_batches()
+                    limit = max(HELD, 2 * int(needed.sum()))
+            rows, x, own, asks = ready(held)
+            yield from fold(rows, _lists(x, np.asarray(rows.column("w")), own, asks, k, metric, p))
+
+    def ready(held: list[pa.RecordBatch]) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
+        """Rows in order of their vectors, the vectors, which rows are the leaf's own, which ask."""
+        rows = pa.Table.from_batches(held)
+        x = _vectors(rows, width)
+        order = np.lexsort(x.T[::-1]) if width else np.arange(len(x))
+        rows, x = rows.take(pa.array(order)), x[order]
+        return rows, x, np.flatnonzero(~np.asarray(rows.column("foreign"))), np.asarray(rows.column("asks"))
+
+    sent_schema = T.StructType([*points.schema.fields, T.StructField("leaf", T.IntegerType()), T.StructField("foreign", T.BooleanType())])
+    return dealt(points.mapInArrow(send, sent_schema), "foreign").mapInArrow(search, schema)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -12,11 +13,11 @@ from pyspark.sql import Window as W
 from tablemine.domain import CONTINUOUS, DISCRETE, META, STRING, ColumnSpec, col, discrete_values, domain_of, finite, stamp
 from tablemine.functions.ordering import cumulative, hash_cut, hash_key
 from tablemine.operators.correlation import pearson_pairs
-from tablemine.operators.neighbors import nearest
+from tablemine.operators.neighbors import Lists, fold_nearest
 from tablemine.operators.prep import bin_index, equal_freq_cuts
 from tablemine.operators.rows import select_columns
 from tablemine.operators.statistics import CHUNK
-from tablemine.session import cut
+from tablemine.session import cut, scratch_path
 
 #: Continuous attributes are cut into this many equal-frequency bins before counting.
 BINS = 4
@@ -151,36 +152,29 @@ def rrelieff(
 
     known = df.where(col(target).isNotNull())
     vector = F.array(*[scaled(e, i) for i, e in enumerate(numbers.values())])
-    count_up = lambda rows: rows.select(vector.alias("v"), scaled(y, len(names)).alias("y")).groupBy("v", "y").agg(F.count(F.lit(1)).alias("n"))
-    rows = asking = cut(count_up(known))
-    if rows.isEmpty():
+    asked = F.lit(1) if samples is None else (hash_key(key, seed) <= F.lit(hash_cut(known, key, samples, seed=seed) or "")).cast("int")
+    rows = known.select(vector.alias("v"), scaled(y, len(names)).alias("y"), asked.alias("a")).groupBy("v", "y").agg(F.count(F.lit(1)).alias("n"), F.sum("a").alias("a"))
+    # A point of more values than ``few`` has no neighbour but itself, and ends the list of any other.
+    few = max(64, neighbours + 1)
+    kinds = rows.withColumn("kinds", F.count(F.lit(1)).over(W.partitionBy("v")))
+    cells = F.array_sort(F.collect_list(F.when(F.col("kinds") <= few, F.struct("y", "n", "a"))))
+    path = scratch_path(df.sparkSession, "rrelieff-points")
+    small = F.max("kinds") <= few
+    kinds.groupBy("v").agg(F.sum("n").alias("w"), (small & (F.sum("a") > 0)).alias("asks"), cells.alias("cells")).write.parquet(path)
+    points = df.sparkSession.read.parquet(path)
+    if points.isEmpty():
         return df.sparkSession.createDataFrame([(n, 0.0) for n in names], "feature string, RReliefF double")
-    if samples is not None:
-        asking = cut(count_up(known.where(hash_key(key, seed) <= F.lit(hash_cut(known, key, samples, seed=seed) or ""))))
-    points = rows.groupBy("v").agg(F.sum("n").alias("w")).withColumn("label", F.lit(0))
-    queries = asking.select("v").distinct().withColumn("label", F.lit(0))
-    found = nearest(queries, points, neighbours, metric="manhattan", exclude_self=True)
-    # A neighbour that stands for ``take`` rows covers that many ranks.
-    upto = [0.0]
-    for i in range(1, neighbours + 1):
-        upto.append(upto[-1] + math.exp(-((i / 20.0) ** 2)))
-    sums = F.array(*[F.lit(x) for x in upto])
-    last = F.sum("take").over(W.partitionBy("v").orderBy("rank")).cast("int")
-    raw = found.select("v", "nv", (F.get(sums, last) - F.get(sums, last - F.col("take").cast("int"))).alias("raw"))
-    near = raw.select("v", "nv", (F.col("raw") / F.sum("raw").over(W.partitionBy("v"))).alias("w"))
-    of = rows.groupBy(F.col("v").alias("nv")).agg(F.min("y").alias("least"), F.max("y").alias("most"))
-    asked = cut(near.join(of, "nv").join(asking, "v"))
-    same = F.col("least") == F.col("most")
-    one = asked.where(same).select("v", "nv", "n", "w", F.abs(F.col("y") - F.col("least")).alias("dy"))
-    many = _mean_gaps(asked.where(~same).select("v", "nv", "y", "n", "w"), rows)
-    rate, dy = F.col("n") * F.col("w"), F.col("dy")
-    diff = [F.abs(F.get("v", F.lit(i)) - F.get("nv", F.lit(i))) for i in range(len(names))]
-    sums = one.unionByName(many).agg(
-        F.sum(rate * dy).alias("c"),
-        F.sum(rate).alias("m"),
-        *[F.sum(rate * d).alias(f"a{i}") for i, d in enumerate(diff)],
-        *[F.sum(rate * dy * d).alias(f"ca{i}") for i, d in enumerate(diff)],
-    )
+    found = cut(fold_nearest(points, neighbours, _summed_gaps(len(names), neighbours), _SUMS, metric="manhattan"))
+    large = points.where(F.size("cells") == 0).select("v")
+    if not large.isEmpty():
+        alone = rows.join(large, "v").where("a > 0").select("v", F.col("v").alias("nv"), "y", F.col("a").alias("n"), F.lit(1.0).alias("w"))
+        gaps = _mean_gaps(found.where("sums IS NULL").drop("sums").unionByName(alone), rows)
+        rate, dy = F.col("n") * F.col("w"), F.col("dy")
+        diff = [F.abs(F.get("v", F.lit(i)) - F.get("nv", F.lit(i))) for i in range(len(names))]
+        parts = F.array(rate * dy, rate, *[rate * d for d in diff], *[rate * dy * d for d in diff])
+        found = found.select("sums").unionByName(gaps.select(parts.alias("sums")))
+    labels = ["c", "m", *[f"a{i}" for i in range(len(names))], *[f"ca{i}" for i in range(len(names))]]
+    sums = found.agg(*[F.sum(F.get("sums", F.lit(i))).alias(n) for i, n in enumerate(labels)])
     facts = [
         F.struct(
             F.lit(n).alias("feature"),
@@ -196,6 +190,65 @@ def rrelieff(
     return sums.select(F.inline(F.array(*facts))).select("feature", (F.col("both") - F.col("only")).alias("RReliefF"))
 
 
+_SUMS = "v array<double>, nv array<double>, y double, n long, w double, sums array<double>"
+
+
+def _summed_gaps(width: int, neighbours: int) -> Callable[[pa.Table, Lists], Iterator[pa.RecordBatch]]:
+    """A fold of :func:`fold_nearest` over points with ``cells``, their values y with the rows n and the asking rows a.
+
+    One row per leaf: the sums of dy, 1, the attributes' gaps and those times dy. Besides, a row without sums for each asking
+    value next to a point whose values are too many to be there.
+    """
+    # A neighbour that stands for ``take`` rows covers that many ranks.
+    upto = np.r_[0.0, np.cumsum(np.exp(-((np.arange(1, neighbours + 1) / 20.0) ** 2)))]
+    names = [f.split()[0] for f in _SUMS.split(", ")]
+
+    def fold(rows: pa.Table, lists: Lists) -> Iterator[pa.RecordBatch]:
+        x = np.asarray(rows.column("v").combine_chunks().flatten()).reshape(-1, width)
+        cells = rows.column("cells").combine_chunks()
+        size, flat = np.asarray(cells.value_lengths()), cells.flatten()
+        y, n, a = (np.asarray(flat.field(c)) for c in ("y", "n", "a"))
+        first, weight = np.cumsum(size) - size, np.asarray(rows.column("w"))
+        total = np.zeros(2 + 2 * width)
+        for q, near, take in lists:
+            start = _starts(q)
+            last = np.cumsum(take)
+            last = last - (last - take)[start]
+            raw = upto[last] - upto[last - take]
+            w = raw / np.bincount(start, raw, len(raw))[start]
+            pair, own = _spread(size[q], first[q])  # each asking value with each neighbour
+            keep = a[own] > 0
+            pair, own = pair[keep], own[keep]
+            large = size[near[pair]] == 0
+            if large.any():
+                at, of = pair[large], own[large]
+                columns = [pa.array(list(x[q[at]])), pa.array(list(x[near[at]])), pa.array(y[of]), pa.array(a[of]), pa.array(w[at]), pa.nulls(len(at), pa.list_(pa.float64()))]
+                yield pa.RecordBatch.from_arrays(columns, names)
+                pair, own = pair[~large], own[~large]
+            each, other = _spread(size[near[pair]], first[near[pair]])
+            gap = np.bincount(each, n[other] * np.abs(y[own[each]] - y[other]), len(pair))
+            dy = gap / (weight[near[pair]] - (near[pair] == q[pair]))
+            rate = a[own] * w[pair]
+            diff = np.abs(x[q[pair]] - x[near[pair]])
+            total += np.r_[rate @ dy, rate.sum(), rate @ diff, (rate * dy) @ diff]
+        empty = [pa.nulls(1, t) for t in (pa.list_(pa.float64()), pa.list_(pa.float64()), pa.float64(), pa.int64(), pa.float64())]
+        yield pa.RecordBatch.from_arrays([*empty, pa.array([total.tolist()])], names)
+
+    return fold
+
+
+def _starts(group: np.ndarray) -> np.ndarray:
+    """For each entry the place where its run of equal entries begins."""
+    new = np.r_[True, group[1:] != group[:-1]][: len(group)]
+    return np.maximum.accumulate(np.where(new, np.arange(len(group)), 0))
+
+
+def _spread(size: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(i, place): the places ``first[i]``, ``first[i]`` + 1, ... of each i, ``size[i]`` of them."""
+    i = np.repeat(np.arange(len(size)), size)
+    return i, np.arange(len(i)) - np.repeat(np.cumsum(size) - size, size) + first[i]
+
+
 def _mean_gaps(asked: DataFrame, rows: DataFrame) -> DataFrame:
     """v, nv, n, w, dy of ``asked(v, nv, y, n, w)``: dy is the mean of abs(y - other) over the other rows of the point ``nv``.
 

@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from tablemine.operators import neighbors, ranking
 from tablemine.operators.ranking import rrelieff
 
 
@@ -56,3 +57,30 @@ def test_awkward_tables(spark):
     df = spark.createDataFrame([(1, 1.0, 2.0), (2, None, 3.0), (3, 1.0, None)], "id long, x double, y double")
     for t in (df, df.where("id = 1"), df.limit(0), df.where("id = 3")):
         assert [(r.feature, r.RReliefF) for r in rrelieff(t, "y", ["x"], key=["id"]).collect()] == [("x", 0.0)]
+
+
+def test_neighbours_stay_in_their_tasks(spark, monkeypatch):
+    """Many leaves, points dropped on the way, one point of more values than travel with it: never a row per neighbour."""
+    rng = random.Random(6)
+    rows = [(0.5, 0.5, rng.random()) if i < 120 else (rng.random(), rng.random(), rng.randrange(9) / 8) for i in range(900)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id long, x double, z double, y double").repartition(3)
+    made = []
+
+    def counted(table, cut=ranking.cut):
+        made.append((out := cut(table)).count())
+        return out
+
+    monkeypatch.setattr(ranking, "cut", counted)
+    monkeypatch.setattr(neighbors, "BLOCK", 64)
+    monkeypatch.setattr(neighbors, "HELD", 100, raising=False)
+    got = {r.feature: r.RReliefF for r in rrelieff(df, "y", ["x", "z"], key=["id"]).collect()}
+    assert [got["x"], got["z"]] == pytest.approx(plain(rows, 50), abs=1e-9)
+    assert max(made) < 900
+
+
+def test_some_rows_ask(spark):
+    """With ``samples`` every row is still a neighbour: asking with all rows by number is asking with all."""
+    rows = [(i, (i * 37 % 101) / 101, (i * 53 % 97) / 97, (i % 7) / 7) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, x double, z double, y double")
+    scores = lambda **k: sorted((r.feature, round(r.RReliefF, 9)) for r in rrelieff(df, "y", ["x", "z"], neighbours=7, key=["id"], **k).collect())
+    assert scores() == scores(samples=300) != scores(samples=40)
