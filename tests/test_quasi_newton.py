@@ -87,3 +87,22 @@ def test_whole_gradient_is_not_worse_than_averaged_shards(spark):
 def test_unknown_solver():
     with pytest.raises(ValueError):
         NeuralNetwork(solver="newton")
+
+
+def test_sums_of_tasks_meet_either_way(spark, monkeypatch):
+    """Few numbers come straight from the tasks, many in two rounds; shards keep their rows as bytes."""
+    from tablemine.operators.learners import quasi_newton
+
+    table = spark.range(0, 100, 1, 6)
+    each = lambda parts: np.array([float(sum(np.asarray(b.column(0)).sum() for b in parts)), 1.0, 0.5])
+    assert quasi_newton.summed(table, 6, 3, each).tolist() == [4950.0, 6.0, 3.0]
+    monkeypatch.setattr(quasi_newton, "DIRECT", 0)
+    assert quasi_newton.summed(table, 6, 3, each).tolist() == [4950.0, 6.0, 3.0]
+
+
+def test_rounds_average_shards_by_their_rows(spark, monkeypatch):
+    data = spark.range(1000).select(F.array(F.col("id").cast("double")).alias("raw"), F.array(F.col("id") * 1.0).alias("x"), (F.col("id") % 2 * 1.0).alias("y"))
+    monkeypatch.setattr(descent, "SHARD", 100)
+    seen = lambda params, x, y, w, r: ([np.array([(x[:, 0] * w).sum() / w.sum(), (y * w).sum() / w.sum()])], float(w.sum()))
+    (mean,) = descent.average_rounds(data, [np.zeros(2)], seen, rounds=1, tol=0.0)
+    assert mean == pytest.approx([499.5, 0.5])
