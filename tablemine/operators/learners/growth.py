@@ -114,6 +114,43 @@ class Tree:
         return at
 
 
+class Paths:
+    """Leaves of a tree of few inner nodes, for many rows: each attribute's bin stands for the outcomes of the nodes that ask it, and
+    the outcomes of all together for the leaf. :meth:`Tree.leaf_of` for others."""
+
+    MOST = 8
+
+    def __init__(self, tree: Tree):
+        inner = np.flatnonzero(tree.feature >= 0)
+        self.tree, self.few = tree, len(inner) <= self.MOST
+        if not self.few:
+            return
+        self.parts = []
+        for f in np.unique(tree.feature[inner]):
+            right = np.zeros(256, np.uint8)
+            for bit, n in enumerate(inner):
+                if tree.feature[n] == f:
+                    right |= np.where(np.arange(256) > tree.bin[n], 1 << bit, 0).astype(np.uint8)
+            self.parts.append((int(f), right))
+        place = np.full(len(tree.feature), -1)
+        place[inner] = np.arange(len(inner))
+        self.leaf = np.zeros(1 << len(inner), np.int64)
+        for code in range(len(self.leaf)):
+            n = 0
+            while tree.feature[n] >= 0:
+                n = tree.left[n] + (code >> place[n] & 1)
+            self.leaf[code] = n
+
+    def values(self, bins: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """``value`` of the leaf that each row of ``bins`` reaches."""
+        if not self.few:
+            return value[self.tree.leaf_of(bins)]
+        code = np.zeros(len(bins), np.uint8)
+        for f, right in self.parts:
+            code |= right[bins[:, f]]
+        return value[self.leaf][code]
+
+
 def stats_of(label: np.ndarray, weight: np.ndarray, times: np.ndarray, rule: Rule) -> np.ndarray:
     """Rows as node statistics. ``times`` is how often resampling took a row."""
     w = weight * times
@@ -209,6 +246,15 @@ class Binned:
     table: DataFrame
     cuts: list[np.ndarray]
     rows: int
+    #: Whether ``id`` is the number of equal rows that a row stands for.
+    counted: bool = False
+
+    def combined(self) -> Binned:
+        """Rows of equal bins, label and weight as one, for trees that do not resample."""
+        alike = self.table.groupBy("label", "weight", "bins").agg(F.count(F.lit(1)).alias("id")).select("id", "label", "weight", "bins")
+        path = scratch_path(self.table.sparkSession, "tree-counts")
+        spread(alike).write.parquet(path)
+        return Binned(self.table.sparkSession.read.schema(self.table.schema).parquet(path), self.cuts, self.rows, True)
 
 
 def cut_points(df: DataFrame, width: int) -> list[np.ndarray]:
@@ -306,14 +352,14 @@ def _histograms(data: Binned, tops: list[_Top], nodes: list[tuple[int, int]], ru
     for i, (t, n) in enumerate(nodes):
         slots.setdefault(t, np.full(len(tops[t].feature), -1, np.int64))[n] = i
     sent = spark.sparkContext.broadcast({t: (tops[t].frozen(), s, tops[t].seed, tops[t].tree) for t, s in slots.items()})
-    k, width, size = len(nodes), rule.width, rule.stats
+    k, width, size, counted = len(nodes), rule.width, rule.stats, data.counted
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros((width, size, k * BINS))
         for b in parts:
             ids, label, weight, bins = read_rows(b, width, weigh)
             for tree, slot_of, seed, number in sent.value.values():
-                times = _times(ids, seed, number, resample)
+                times = ids.astype(np.float64) if counted else _times(ids, seed, number, resample)
                 slot = slot_of[tree.leaf_of(bins)]
                 take = np.flatnonzero((slot >= 0) & (times > 0))
                 stats = stats_of(label[take], weight[take], times[take], rule)
@@ -363,13 +409,13 @@ def _dealt(data: Binned, tops: list[_Top], nodes: list[tuple[int, int, int]], ru
         maps.setdefault(t, np.full((len(tops[t].feature), 2), -1, np.int32))[n] = (g, i)
     sent = spark.sparkContext.broadcast({t: (tops[t].frozen(), m, tops[t].seed, tops[t].tree) for t, m in maps.items()})
     facts = spark.sparkContext.broadcast([[(tops[t].hash[n], tops[t].depth[n], t, n) for t, n in members] for members in groups])
-    width = rule.width
+    width, counted = rule.width, data.counted
 
     def send(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
             ids, label, weight, bins = read_rows(b, width, weigh)
             for tree, where, seed, number in sent.value.values():
-                times = _times(ids, seed, number, resample)
+                times = ids.astype(np.float64) if counted else _times(ids, seed, number, resample)
                 at = where[tree.leaf_of(bins)]
                 take = np.flatnonzero((at[:, 0] >= 0) & (times > 0))
                 if len(take):

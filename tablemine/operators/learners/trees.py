@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tablemine.domain import col, finite
 from tablemine.operators.learners.base import PREDICTION, PROBABILITIES, Design, Learner, Model, class_code
-from tablemine.operators.learners.growth import Binned, Rule, Tree, binned, grow, read_rows, to_bins
+from tablemine.operators.learners.growth import Binned, Paths, Rule, Tree, binned, grow, read_rows, to_bins
 
 
 class TreesModel(Model):
@@ -31,9 +31,9 @@ class TreesModel(Model):
 
         def reached(x: pd.Series) -> np.ndarray:
             cuts, trees, values, weights = sent.value
-            bins = binned(np.stack(x.to_numpy()), cuts)
+            bins, place = distinct_rows(binned(np.stack(x.to_numpy()), cuts))
             found = [v[Tree(*t, None).leaf_of(bins)] for t, v in zip(trees, values)]
-            return sum(found) if weights is None else weighted_median(np.stack(found, 1), np.array(weights))
+            return (sum(found) if weights is None else weighted_median(np.stack(found, 1), np.array(weights)))[place]
 
         if self.classes is None:
 
@@ -52,6 +52,16 @@ class TreesModel(Model):
         return out.withColumn(PREDICTION, self.label_of_best(F.col(PROBABILITIES)))
 
 
+def distinct_rows(bins: np.ndarray) -> tuple[np.ndarray, np.ndarray | slice]:
+    """The distinct rows of ``bins``, and where each row is among them; all of them if a row takes over eight bytes."""
+    if not 0 < bins.shape[1] <= 8:
+        return bins, slice(None)
+    key = np.zeros((len(bins), 8), np.uint8)
+    key[:, : bins.shape[1]] = bins
+    _, first, place = np.unique(key.view(np.uint64).ravel(), return_index=True, return_inverse=True)
+    return bins[first], place
+
+
 def weighted_median(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """The value of each row at which half of the weight is reached, in ascending order."""
     order = values.argsort(1, kind="stable")
@@ -131,8 +141,9 @@ class AdaBoost(Learner):
     """Boosted trees: SAMME over stumps for classes (Hastie et al. 2009), AdaBoost.R2 with linear loss over trees of depth 3
     for numbers (Drucker 1997).
 
-    The table is never rewritten: a row's weight is computed from the trees so far wherever the row is read. A round for
-    classes is one histogram pass, which gives the stump and, by the weights in its leaves, its error.
+    The table is never rewritten: a row's weight is computed from the trees so far wherever the row is read, by lookups for
+    trees of so few nodes. A round for classes is one histogram pass, which gives the stump and, by the weights in its leaves,
+    its error; rows of equal bins and class are one row with their number.
     """
 
     default_name = "AdaBoost"
@@ -145,6 +156,7 @@ class AdaBoost(Learner):
         design = Design.fit(df)
         data, offset = _prepared(df, target, classes, design)
         if classes is not None:
+            data = data.combined()
             trees, weights = self._classes(data, classes, len(design.parts))
             total = sum(weights)
             values = [np.eye(len(classes))[t.stats[:, :-1].argmax(1)] * (w / total) for t, w in zip(trees, weights)]
@@ -157,13 +169,19 @@ class AdaBoost(Learner):
         trees: list[Tree] = []
         alphas: list[float] = []
         for _ in range(self.n_estimators):
-            past = [(t.feature, t.bin, t.left, t.stats[:, :-1].argmax(1), a) for t, a in zip(trees, alphas)]
-
-            def weigh(bins: np.ndarray, label: np.ndarray, past=past) -> np.ndarray:
-                total = np.zeros(len(label))
-                for *t, vote, alpha in past:
-                    total += alpha * (vote[Tree(*t, None).leaf_of(bins)] != label)
-                return np.exp(total - sum(p[-1] for p in past))  # one factor for all rows keeps it in range
+            # A stump misses a class on one side of a cut: all past ones are a table per attribute, and a pass costs the same in any round.
+            missed, whole = {}, sum(alphas)
+            for t, alpha in zip(trees, alphas):
+                vote, f = t.stats[:, :-1].argmax(1), int(t.feature[0])
+                side = vote[np.where(np.arange(256) > t.bin[0], t.left[0] + 1, t.left[0]) if f >= 0 else np.zeros(256, int)]
+                table = missed.setdefault(max(f, 0), np.zeros((256, len(classes))))
+                table += alpha * (side[:, None] != np.arange(len(classes)))
+
+            def weigh(bins: np.ndarray, label: np.ndarray, missed=missed, whole=whole) -> np.ndarray:
+                total, kind = np.full(len(label), -whole), label.astype(np.int64)  # one factor for all rows keeps it in range
+                for f, table in missed.items():
+                    total += table.ravel()[bins[:, f] * np.int64(table.shape[1]) + kind]
+                return np.exp(total)
 
             (tree,) = grow(data, rule, seed=self.seed, weigh=weigh, deal=0)
             w = tree.stats[tree.left < 0, :-1]
@@ -188,9 +206,12 @@ class AdaBoost(Learner):
 
             def weigh(bins: np.ndarray, label: np.ndarray, past=now) -> np.ndarray:
                 total = np.zeros(len(label))
-                for *t, value, beta, rate, worst in past:
-                    miss = np.abs(value[Tree(*t, None).leaf_of(bins)] - label)
-                    total += math.log(beta) * rate * (1 - miss / worst)
+                for paths, value, factor, worst in past:
+                    miss = np.abs(paths.values(bins, value) - label)
+                    miss /= -worst
+                    miss += 1
+                    miss *= factor
+                    total += miss
                 return np.exp(total)
 
             (tree,) = grow(data, rule, seed=self.seed, weigh=weigh)
@@ -203,19 +224,19 @@ class AdaBoost(Learner):
             beta = max(error / (1 - error), 1e-12)
             trees.append(tree)
             weights.append(self.learning_rate * math.log(1 / beta))
-            past.append((tree.feature, tree.bin, tree.left, means(tree), beta, self.learning_rate, worst))
+            past.append((Paths(tree), means(tree), math.log(beta) * self.learning_rate, worst))
         return (trees, weights) if trees else ([tree], [1.0])
 
     @staticmethod
     def _loss(data: Binned, tree: Tree, weigh) -> tuple[float, float]:
         """(largest miss, weighted mean miss) of a tree: one pass, a row of sums per task."""
-        parts, width, value = (tree.feature, tree.bin, tree.left), len(data.cuts), means(tree)
+        paths, width, value = Paths(tree), len(data.cuts), means(tree)
 
         def each(batches):
             worst = loss = mass = 0.0
             for b in batches:
                 _, label, weight, bins = read_rows(b, width, weigh)
-                miss = np.abs(value[Tree(*parts, None).leaf_of(bins)] - label)
+                miss = np.abs(paths.values(bins, value) - label)
                 worst, loss, mass = max(worst, float(miss.max(initial=0))), loss + float(weight @ miss), mass + float(weight.sum())
             yield pa.RecordBatch.from_arrays([pa.array([worst]), pa.array([loss]), pa.array([mass])], ["worst", "loss", "mass"])
 

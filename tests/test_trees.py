@@ -129,3 +129,28 @@ def test_boosting_against_the_plain_rounds(spark):
 def test_weighted_median():
     v, w = np.array([[3.0, 1.0, 2.0], [5.0, 5.0, 9.0]]), np.array([1.0, 1.0, 3.0])
     assert weighted_median(v, w).tolist() == [2.0, 9.0]
+
+
+def test_lookups_reach_the_leaves():
+    """Outcomes as bits of one byte against walking down, for trees of depth 3 and larger ones."""
+    from tablemine.operators.learners.growth import Paths
+
+    rng = np.random.default_rng(3)
+    bins = rng.integers(0, 255, (4000, 3)).astype(np.uint8)
+    for depth in (0, 1, 3, 5):
+        stats = np.stack([rng.normal(size=4000), np.ones(4000), np.ones(4000) * 3, np.ones(4000)], 1)
+        (tree,) = growth.grow_rows(bins, stats, np.zeros(4000, int), np.array([7], np.uint64), np.zeros(1, int), growth.Rule(0, 3, 3, depth))
+        value = rng.normal(size=len(tree.feature))
+        assert (Paths(tree).values(bins, value) == value[tree.leaf_of(bins)]).all()
+
+
+def test_equal_rows_are_counted_once(spark):
+    """Boosting reads rows of equal bins and class as one; the stump is that of the single rows."""
+    df = spark.createDataFrame([([float(i % 7), float(i % 3)], float(i % 7 > 3 or i % 3 == 2)) for i in range(2000)], "features array<double>, label double")
+    data = growth.to_bins(df, 2)
+    few = data.combined()
+    assert few.table.count() == 21 and few.rows == 2000
+    rule = growth.Rule(2, 2, 2, 1)
+    weigh = lambda bins, label: np.exp(label - bins[:, 0])
+    (a,), (b,) = (growth.grow(x, rule, weigh=weigh, deal=0) for x in (data, few))
+    assert (a.feature == b.feature).all() and (a.bin == b.bin).all() and a.stats == pytest.approx(b.stats)
